@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import importlib
-
-from . import mixing
-
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources}
-
-SQL = {"op2_mix_sources": mixing.SQL}
+from . import html, mixing, quality
+
+QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_html_text": html.op4_html_text,
+    "op5_quality_rules": quality.op5_quality_rules,
+}
+
+SQL = {
+    "op2_mix_sources": mixing.SQL,
+    "op5_quality_rules": quality.SQL,
+}
 
 
 def queries() -> dict:
