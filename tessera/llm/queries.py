@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import html, mixing, quality
+from . import html, mixing, quality, tokens
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_html_text": html.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op9_token_ids": tokens.op9_token_ids,
 }
 
 SQL = {
