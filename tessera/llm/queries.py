@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import html, mixing, quality, tokens
+from . import html, mixing, quality, token_counts, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_html_text": html.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
     "op9_token_ids": tokens.op9_token_ids,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 SQL = {
