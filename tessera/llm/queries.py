@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import html, mixing, quality, token_counts, tokens, toxicity
+from . import decontaminate, html, mixing, pii, quality, token_counts, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_html_text": html.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_pii": pii.op7_pii,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -16,6 +18,7 @@ QUERIES = {
 SQL = {
     "op2_mix_sources": mixing.SQL,
     "op5_quality_rules": quality.SQL,
+    "op6_decontaminate": decontaminate.SQL,
 }
 
 
