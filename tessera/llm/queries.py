@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, pii, quality, token_counts, tokens, toxicity
+from . import decontaminate, html, jaccard, mixing, pii, quality, token_counts, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_html_text": html.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
 
 SQL = {
     "op2_mix_sources": mixing.SQL,
+    "op3_jaccard_join": jaccard.SQL,
     "op5_quality_rules": quality.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
