@@ -10,7 +10,7 @@ import numpy as np
 #: The vocabulary's end-of-document id, which no ordinary text is encoded to.
 END_OF_TEXT = 50256
 #: Pieces kept per worker, in each of two generations.
-MEMO = 200_000
+MEMO = 500_000
 #: Letters, and signs that often follow a word.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?%&*#$)"
 #: A text is cut before a space that follows no white space, and between letters and signs: no pre-token crosses such a place.
@@ -20,7 +20,7 @@ ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]|
 #: Longer pieces are not kept.
 LONGEST = 64
 #: New pieces encoded at a time.
-LINES = 512
+LINES = 128
 
 
 def vocabulary() -> str:

@@ -25,7 +25,7 @@ from .encoder import END_OF_TEXT, encoder
 
 #: Ids per block.
 BLOCK_IDS = 1 << 17
-TEXTS = 64
+TEXTS = 256
 
 
 def _flat(vocabulary: str | None, end_id: int, block_ids: int):

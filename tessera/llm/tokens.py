@@ -28,7 +28,7 @@ from .encoder import encoder
 #: A block ends once it has so many ids.
 BLOCK_IDS = 1 << 16
 #: Texts encoded at a time.
-TEXTS = 64
+TEXTS = 256
 #: A select sample for every so many entries.
 SAMPLE = 256
 MAGIC = b"TSEF0001"
