@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, mixing, pii, quality, token_counts, tokens, toxicity
+import importlib.util
+
+from . import decontaminate, html, jaccard, mixing, pii, quality, substrings, token_counts, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +14,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_pii": pii.op7_pii,
+    "op8_repeated_substrings": substrings.op8_repeated_substrings,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -24,8 +27,18 @@ SQL = {
 }
 
 
+def pipeline(spark, sf_dir: str):
+    """All stages of the pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    out = dict(QUERIES)
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        out["pipeline"] = pipeline
+    return out
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import join_small, materialize, new_path
 from .encoder import encoder
 
 #: A block ends once it has so many ids.
@@ -186,7 +186,7 @@ def read_blocks(spark, path: str) -> DataFrame:
     over = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
     starts = sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(shards, "shard").select("shard", "block", (F.col("base") + F.col("within")).alias("start"))
-    return blocks.join(starts, ["shard", "block"])
+    return join_small(blocks, materialize(starts, "starts"), ["shard", "block"], "inner")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
