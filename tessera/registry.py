@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .tables import Tables
 
@@ -14,6 +16,14 @@ SQL: dict[str, str] = {}
 ORIGIN: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let this session's Python workers import the package from where the driver has it, whatever their folder."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, root) if x)
+
+
 def query(sql: str | None = None, origin: str = "algebra"):
     """Register a function of Tables under its name, with an equivalent DuckDB statement where there is one."""
 
@@ -21,7 +31,12 @@ def query(sql: str | None = None, origin: str = "algebra"):
         name = f.__name__
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            importable(spark)
+            return f(Tables(spark, folder))
+
+        QUERIES[name] = run
         ORIGIN[name] = origin
         if sql is not None:
             SQL[name] = sql
