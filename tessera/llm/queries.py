@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
+from ..registry import importable
 from . import decontaminate, html, jaccard, mixing, pii, quality, substrings, token_counts, tokens, toxicity
 
 QUERIES = {
@@ -34,10 +35,18 @@ def pipeline(spark, sf_dir: str):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _run(f):
+    def run(spark, sf_dir: str):
+        importable(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    out = dict(QUERIES)
+    out = {name: _run(f) for name, f in QUERIES.items()}
     if importlib.util.find_spec("corpus_pipeline") is not None:
-        out["pipeline"] = pipeline
+        out["pipeline"] = _run(pipeline)
     return out
 
 
