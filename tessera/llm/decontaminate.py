@@ -32,26 +32,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def of_words(text: Column, f) -> Column:
+    """f(words), the words computed once: they are a lambda's argument, which no rule copies into the lambdas inside f."""
+    return F.transform(F.array(words(text)), f)[0]
+
+
 def runs(w: Column, k: int, make) -> Column:
     """make(i) for each start i of k words in a row; none if there are fewer."""
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), make)).otherwise(F.array())
 
 
-def shingle_hashes(w: Column, k: int) -> Column:
-    return runs(w, k, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+def hashed(k: int):
+    """words -> the hashes of all runs of k words."""
+    if k == WORDS_PER_SHINGLE:
+        return lambda w: runs(w, k, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return lambda w: runs(w, k, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")))
 
 
-def shingle_strings(w: Column, k: int) -> Column:
-    return F.array_distinct(runs(w, k, lambda i: F.array_join(F.slice(w, i + 1, k), " ")))
+def strung(k: int):
+    """words -> the distinct runs of k words as strings."""
+    return lambda w: F.array_distinct(runs(w, k, lambda i: F.array_join(F.slice(w, i + 1, k), " ")))
 
 
 def item_shingles(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, k, n, shingles) of each item that has words; k is the words per shingle, fewer only for a shorter item."""
-    w = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    text = F.col(text_col).cast("string")
+    w = benchmark.select(F.col(id_col).alias("item_id"), text.alias("text"), F.least(F.size(words(text)), F.lit(WORDS_PER_SHINGLE)).alias("k")).where("k > 0")
     cases = F.lit(None)
     for k in range(WORDS_PER_SHINGLE, 0, -1):
-        cases = F.when(F.col("k") == k, shingle_strings(F.col("w"), k)).otherwise(cases)
-    out = w.withColumn("k", F.least(F.size("w"), F.lit(WORDS_PER_SHINGLE))).withColumn("shingles", cases)
+        cases = F.when(F.col("k") == k, of_words(F.col("text"), strung(k))).otherwise(cases)
+    out = w.withColumn("shingles", cases)
     return out.select("item_id", "k", F.size("shingles").alias("n"), "shingles")
 
 
@@ -75,24 +85,22 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     found = None
     for k in lengths:
         minima = sketch.where(F.col("k") == k).select("h", "item_id")
-        if k == WORDS_PER_SHINGLE:
-            hashes = shingle_hashes(F.col("w"), k)
-        else:
-            hashes = runs(F.col("w"), k, lambda i, k=k: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, k), " ")))
-        rows = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= k).select("doc_id", "text", F.explode(hashes).alias("h")) if small else texts.withColumn("w", words(F.col("text"))).select("doc_id", F.md5("text").alias("digest"), F.explode(F.array_distinct(hashes)).alias("h"))
+        hashes = of_words(F.col("text"), hashed(k))
         if small:
+            rows = texts.select("doc_id", "text", F.explode(hashes).alias("h"))
             hits = rows.join(F.broadcast(minima), "h").select("doc_id", "text", "item_id").distinct()
         else:
+            rows = texts.select(F.md5("text").alias("digest"), F.explode(F.array_distinct(hashes)).alias("h"))
             pairs = rows.join(minima, "h").select("digest", "item_id").distinct()
             hits = pairs.join(texts.withColumn("digest", F.md5("text")), "digest").select("doc_id", "text", "item_id").distinct()
         found = hits if found is None else found.unionAll(hits)
     schema = "doc_id long, item_id long, n_item int, n_shared int"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    held = join_small(found, items, "item_id", "inner").withColumn("w", words(F.col("text")))
+    held = join_small(found, items, "item_id", "inner")
     cases = F.lit(None)
     for k in lengths:
-        cases = F.when(F.col("k") == k, shingle_strings(F.col("w"), k)).otherwise(cases)
+        cases = F.when(F.col("k") == k, of_words(F.col("text"), strung(k))).otherwise(cases)
     held = held.withColumn("n_shared", F.size(F.array_intersect("shingles", cases)))
     held = held.where(100 * F.col("n_shared") >= least * F.col("n"))
     return held.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item"), F.max("n_shared").alias("n_shared"))
