@@ -43,7 +43,9 @@ LENGTH, GRAM = 50, 24
 #: Grams in a string.
 WIDTH = LENGTH - GRAM + 1
 #: Bytes of a batch, and bytes that are hashed at a time.
-BATCH, PIECE = 4 << 20, 1 << 20
+BATCH, PIECE = 2 << 20, 1 << 19
+#: Bytes of rows that Spark hands to a Python worker at a time.
+HANDED = "8m"
 #: Bytes of input for each range of keys.
 RANGE = 16 << 20
 #: Bits of a key that are compared in step 2; more keys than documents have them by chance only.
@@ -86,6 +88,12 @@ def keys(data: np.ndarray) -> np.ndarray:
     return x if size == WIDTH else np.minimum(x[: len(x) - (WIDTH - size)], x[WIDTH - size :])
 
 
+def spread(k: np.ndarray) -> np.ndarray:
+    """Keys as evenly spread values: minima crowd at the low end, and ranges of keys are to be of like size."""
+    k = (k ^ (k >> np.uint64(31))) * ODD[5]
+    return k ^ (k >> np.uint64(30))
+
+
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, number of strings) of each run in documents that end at `ends`; no run leaves its document."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -113,7 +121,7 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             place = np.flatnonzero(new)
             count = np.diff(np.append(place, len(k)))
             good = ~bad[place]
-            out.append((k[place[good]], place[good] + low, count[good]))
+            out.append((spread(k[place[good]]), place[good] + low, count[good]))
             if high == last:
                 break
         begin, at = last, stop
@@ -431,6 +439,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row; spans are byte ranges that go."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", HANDED)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = materialize(texts.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.octet_length("text") < LENGTH, F.sha2("text", 256)).alias("sha")), "texts")
