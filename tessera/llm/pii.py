@@ -56,16 +56,21 @@ def feistel(values: Column, radices: Column, key: str, kind: str) -> Column:
     def mixed(side: Column, radix: Column, other: Column, turn: int) -> Column:
         """Each digit of a side, plus a hash of the key, the round, the place and the other side."""
         secret = F.concat_ws("|", F.lit(f"{key}|{kind}|{turn}"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        if not isinstance(turn, int):
+            raise TypeError("a round is a number")
         noise = F.transform(side, lambda x, i: F.conv(F.substring(F.sha2(F.concat_ws("|", secret, i.cast("string")), 256), 1, 12), 16, 10).cast("long"))
         return F.transform(F.arrays_zip(side.alias("v"), radix.alias("r"), noise.alias("n")), lambda z: ((z["v"] + z["n"]) % z["r"]).cast("int"))
 
+    def left_turn(turn: int):
+        return lambda s: F.struct(mixed(s["l"], l_radix, s["r"], turn).alias("l"), s["r"].alias("r"))
+
+    def right_turn(turn: int):
+        return lambda s: F.struct(s["l"].alias("l"), mixed(s["r"], r_radix, s["l"], turn).alias("r"))
+
     out = F.struct(left.alias("l"), right.alias("r"))
     for turn in range(ROUNDS):
         # each step is bound to a name by a transform over one element, so that no expression doubles with each round
-        if turn % 2 == 0:
-            out = F.transform(F.array(out), lambda s, t=turn: F.struct(mixed(s["l"], l_radix, s["r"], t).alias("l"), s["r"].alias("r")))[0]
-        else:
-            out = F.transform(F.array(out), lambda s, t=turn: F.struct(s["l"].alias("l"), mixed(s["r"], r_radix, s["l"], t).alias("r")))[0]
+        out = F.transform(F.array(out), (left_turn if turn % 2 == 0 else right_turn)(turn))[0]
     return F.transform(F.array(out), lambda s: F.concat(s["l"], s["r"]))[0]
 
 

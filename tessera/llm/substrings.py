@@ -42,11 +42,11 @@ from .tokens import EliasFano
 LENGTH, GRAM = 50, 24
 #: Grams in a string.
 WIDTH = LENGTH - GRAM + 1
-#: Bytes of a batch, and bytes that are hashed at a time.
+#: Least bytes of a batch, and bytes that are hashed at a time.
 BATCH, PIECE = 2 << 20, 1 << 19
 #: Bytes of rows that Spark hands to a Python worker at a time.
 HANDED = "8m"
-#: Bytes of input for each range of keys.
+#: Least bytes of input for each range of keys.
 RANGE = 16 << 20
 #: Bits of a key that are compared in step 2; more keys than documents have them by chance only.
 KEY_BITS = 44
@@ -147,7 +147,21 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sizes(total: int) -> tuple[int, int]:
+    """(bytes of a batch, number of ranges) for so many bytes of input.
+
+    A batch sends a slice to each range. From about 30 GB on both grow with the root of the input, so
+    that slices keep their length and their number grows in proportion to the input.
+    """
+    root = math.isqrt(total)
+    return max(BATCH, 6 * root), max(16, math.ceil(total / max(RANGE, 100 * root)))
+
+
+def _batched(most: int):
+    return lambda batches: _in_batches(batches, most)
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     base, made = TaskContext.get().partitionId() << 32, 0
@@ -166,7 +180,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(key)
             texts.append(raw)
             size += len(raw)
-            if size >= BATCH:
+            if size >= most:
                 yield batch()
                 made, size = made + 1, 0
                 ids.clear(), texts.clear()
@@ -452,12 +466,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small = rows.where(f"doc_id IS NOT NULL AND n_bytes < {LENGTH}").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), nothing.alias("spans"))
     without = texts.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), nothing.alias("spans"))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    n = max(16, math.ceil(total / RANGE))
+    most, n = sizes(total)
 
     long = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     copies = later.select("doc_id", "digest").distinct()
     unique = join_small(long.withColumn("digest", F.md5("text")), copies, ["doc_id", "digest"], "left_anti", IDS).select("doc_id", "text")
-    batches = materialize(unique.mapInArrow(_batched, "batch long, data binary"), "batches")
+    batches = materialize(unique.mapInArrow(_batched(most), "batch long, data binary"), "batches")
     sent = batches.mapInArrow(_keyed(n), "range int, batch long, keys binary, several binary")
     bits = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared, "batch long, range int, bits binary")
     bits = materialize(bits, "bits").groupBy("batch").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))  # at most n of them

@@ -91,7 +91,7 @@ class Model:
     rate: float = 1.0  # lambda
     log_k: float = 0.0
     slope: float = 0.0
-    offset: float = 0.0
+    offset: float = -1.0  # without labels every text is more likely clean
 
     def word(self, w: str) -> float:
         get = self.scores.get

@@ -115,7 +115,7 @@ def test_toxicity_learns_words(spark):
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     scores = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
-    assert len(scores) == len(ODD) and {r["score"] for r in scores} == {0.5}
+    assert len(scores) == len(ODD) and len({r["score"] for r in scores}) == 1 and scores[0]["score"] < 0.5
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
 
 
@@ -382,6 +382,7 @@ def test_pii_links_and_permutes(spark):
     out = replaced(spark, texts)
     assert len(set(out)) == len(texts)
     assert replaced(spark, ["x " + texts[7] + " y"])[0] == "x " + out[7] + " y"
+    assert replaced(spark, ["4111111111111111 on 1984-02-29"]) == ["9946067425559066 on 2027-05-05"]
     assert replaced(spark, texts[:5], "other") != out[:5]
     days = replaced(spark, [f"{1990 + i // 365}-{1 + i % 12:02d}-{1 + i % 28:02d}" for i in range(1000)])
     assert all(len(x) == 10 for x in days)
