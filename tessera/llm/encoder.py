@@ -30,6 +30,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def places_of_none(values: list) -> list[int]:
+    """Where a list has None, by as many calls as there are places."""
+    out, i, n = [], -1, values.count(None)
+    for _ in range(n):
+        i = values.index(None, i + 1)
+        out.append(i)
+    return out
+
+
 class Encoder:
     """Encodes texts; words seen before come from a memo of bounded size, as equal pieces have equal ids.
 
@@ -86,16 +95,16 @@ class Encoder:
             else:
                 pieces = PIECES(text)
                 ids = list(map(get, pieces))
-                if None in ids:
-                    missing.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-                found.append((pieces, ids))
+                unknown = places_of_none(ids)
+                missing.update([pieces[i] for i in unknown])
+                found.append((pieces, ids, unknown))
         learned = self.learn(missing) if missing else {}
         out = []
         for x in found:
             if isinstance(x, tuple):
-                pieces, ids = x
-                if None in ids:
-                    ids = [learned[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+                pieces, ids, unknown = x
+                for i in unknown:
+                    ids[i] = learned[pieces[i]]
                 x = np.frombuffer(b"".join(ids), self.width)
             out.append(x)
         self.new.update(learned if max(map(len, learned), default=0) <= LONGEST else {p: ids for p, ids in learned.items() if len(p) <= LONGEST})
