@@ -62,7 +62,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and that nothing will read again."""
+    drop_path(df.sparkSession, df._written_to)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

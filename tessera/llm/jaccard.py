@@ -17,8 +17,9 @@ Copies and groups. Equal sets are one class, collapsed within each task before a
 class is first compared to one class of its buckets only (the smallest id, by most shared signatures);
 verified links contract the classes to components, and only pairs between different components are
 looked at after that, so that a large group of near copies costs a comparison for each member rather
-than each pair. No pair that could link two components is left out. Candidates are verified on the
-whole sets.
+than each pair. Classes that share a good part of their signatures with a bucket's head are in one hub,
+and a hub's members are searched in blocks that put out only what a tight bound leaves; all others by the signatures they share. No pair that could
+link two components is left out. Candidates are verified on the whole sets.
 
 Cases. NULL or empty text, or one without words: no shingles, linked with nothing, its own component.
 Fewer than five words: one shingle of all words. NULL id: in no component. Repeated rows: each has a
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, free_name, join_small, materialize
+from .common import components, free_name, join_small, materialize, release
 
 WORDS_PER_SHINGLE = 5
 #: Least similarity, in per cent; the bounds below hold for it.
@@ -52,7 +53,9 @@ MARGIN = 6.0
 #: Words kept per worker.
 MEMO = 400_000
 #: Most sets compared to one in a row, and most ids that are sent to every executor.
-RUN, IDS = 500, 500_000
+RUN, IDS = 300, 500_000
+#: Bytes of a run's bins, and the share of its signatures, in per cent, that puts a class into the hub of a bucket's head.
+RUN_BYTES, HUB = 4 << 20, 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,6 +101,17 @@ def band(n: int) -> tuple[int, int, int]:
     return number, low, high
 
 
+def _highs() -> list[int]:
+    out = [SMALL]
+    while out[-1] < 1 << 30:
+        out.append(int(out[-1] * GROWTH))
+    return out
+
+
+#: The largest size of each band.
+HIGHS = _highs()
+
+
 @lru_cache(maxsize=None)
 def segments_of(high: int) -> int:
     """The fewest segments that let a set of the band's largest size meet enough of them."""
@@ -200,24 +214,111 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py()).tobytes() for x in b.column(1)], pa.binary())], names=["id", "elements"])
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity in per cent; what reaches LEAST is decided on whole numbers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return float(LEAST) if 100 * both == LEAST * either else 100 * both / either
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (a, run, member): first a's own set, then those to compare with it."""
+    """(a, b, per cent). Rows come sorted by (a, run, member): first a's own set, then those to compare with it."""
     key, mine = None, np.empty(0, np.uint64)
     for b in batches:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, float]] = []
         for a, run, other, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             s = np.frombuffer(data.as_py(), np.uint64)
             if other is None:
                 key, mine = (a, run), s
             elif key == (a, run):
-                both = len(np.intersect1d(mine, s, assume_unique=True))
-                if 100 * both >= LEAST * (len(mine) + len(s) - both):
-                    out.append((a, other))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                out.append((a, other, similar(mine, s)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "percent"])
+
+
+def bins_of(n: int) -> int:
+    """Bins for the sets of a hub whose largest has n shingles: a power of two above n."""
+    return 1 << max(6, n.bit_length())
+
+
+def binned(s: np.ndarray, bins: int) -> bytes:
+    """The number of a set's shingles in each bin, in a byte each; larger numbers count as 255."""
+    return np.minimum(np.bincount((s % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [binned(shingles(text.as_py()), bins_of(n)) for n, text in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["id", "top", "bins"])
+
+
+def close_pairs(left: list[tuple], right: list[tuple] | None) -> list[tuple[int, int]]:
+    """Pairs of different components between two lists of (id, component, size, bins), or within one, that may be linked.
+
+    The bins' differences bound the difference of two sets from below, tightly, as most bins have one
+    shingle or none; a pair beyond the largest difference of linked sets is none.
+    """
+    other = left if right is None else right
+    table = lambda rows: np.frombuffer(b"".join(x[3] for x in rows), np.uint8).reshape(len(rows), -1).astype(np.int16)
+    mine, theirs = table(left), table(other)
+    component, size = np.array([x[1] for x in other]), np.array([x[2] for x in other])
+    out = []
+    for i, (key, group, n, _) in enumerate(left):
+        some = np.flatnonzero(component != group)
+        if right is None:
+            some = some[some > i]
+        if len(some):
+            apart = np.abs(theirs[some] - mine[i]).sum(axis=1, dtype=np.int64)
+            out += [(key, other[j][0]) for j in some[9 * apart <= size[some] + n].tolist()]
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) between the components of a hub; rows (hub, i, j, run, id, component, n, bins) come sorted by their block."""
+    key, sides = None, ([], [])
+
+    def pairs() -> pa.RecordBatch:
+        found = []
+        if sides[0] and (key[1] == key[2] or sides[1]):
+            found = close_pairs(sides[0], None if key[1] == key[2] else sides[1])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for hub, i, j, run, member, component, n, data in zip(*columns, strict=True):
+            if key != (hub, i, j):
+                if key:
+                    yield pairs()
+                key, sides = (hub, i, j), ([], [])
+            sides[0 if run == i else 1].append((member, component, n, data))
+    if key:
+        yield pairs()
+
+
+def hub_pairs(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of different components of each hub's members (hub, id, component, n) that may be linked, block by block.
+
+    A hub's members are dealt into runs of bounded bytes, and each pair of runs is a block. Members travel
+    as bins, a fraction of their sets; pairs live in a block's task only, but for those the bins leave.
+    """
+    # linked sets share the smaller one's band, as in places(); a hub is searched band by band
+    number = F.size(F.filter(F.array(*[F.lit(h) for h in HIGHS]), lambda h: F.col("n") > h))
+    below = F.when((F.col("number") > 0) & (4 * F.col("n") <= 5 * F.get(F.array(*[F.lit(h) for h in HIGHS]), F.col("number") - 1)), F.col("number") - 1)
+    banded = members.withColumn("number", number).withColumn("band", F.explode(F.array_compact(F.array("number", below))))
+    members = materialize(banded.select(F.concat_ws(":", "hub", "band").alias("hub"), "id", "component", "n"), "hub-banded")
+    some = members.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    runs = F.greatest(F.ceil(F.col("k") / RUN), F.ceil(F.col("k") * F.col("top") * 2 / RUN_BYTES)).cast("int")
+    members = materialize(members.join(some.select("hub", "top", runs.alias("runs")), "hub").select("hub", "id", "component", "n", "top", F.pmod(F.xxhash64("id"), F.col("runs")).cast("int").alias("run"), "runs"), "hub-members")
+    ids = materialize(members.select("id", F.col("top").cast("int").alias("top")).distinct(), "hub-ids")
+    bins = materialize(join_small(texts, ids, "id", "inner", IDS).select("id", "top", "text").mapInArrow(_binned, "id long, top int, bins binary"), "hub-bins")
+    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    placed = placed.select("hub", F.least("run", "other").alias("i"), F.greatest("run", "other").alias("j"), "run", "id", "component", "n", "top").join(bins, ["id", "top"])
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.select("hub", "i", "j", "run", "id", "component", "n", "bins").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return materialize(ordered.mapInArrow(_blocks, "a long, b long"), "hub-pairs").distinct()
 
 
 def verify(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar, written. Each b travels once per pair, each a once per run of b's."""
+    """(a, b, percent) of the pairs (a, b) of ids, written. Each b travels once per pair, each a once per run of b's."""
     pairs = materialize(pairs, f"{name}-pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
     sets = materialize(join_small(texts, ids, "id", "inner", IDS).select("id", "text").mapInArrow(_sets, "id long, elements binary"), f"{name}-sets")
@@ -228,7 +329,7 @@ def verify(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     both = members.unionAll(heads.select(F.col("id").alias("a"), "run", F.lit(None).cast("long").alias("b"), "elements"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = both.repartition(n, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
-    return materialize(ordered.mapInArrow(_verified, "a long, b long"), f"{name}-links").distinct()
+    return materialize(ordered.mapInArrow(_verified, "a long, b long, percent double"), f"{name}-links")
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -261,46 +362,56 @@ def shared_signatures(texts: DataFrame, rows: DataFrame, classes: DataFrame) ->
 def link_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n, rep, component) for each row of docs (doc_id, text); rep is the smallest id of an equal set."""
     spark = docs.sparkSession
-    rows = index(docs)
+    listed = index(docs)
+    rows = materialize(listed.select("doc_id", "n", "digest", F.size("own").alias("c")), "documents")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     full = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "n", "digest")
     clash = full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     if clash.limit(1).count():
+        release(listed)
         return with_own_ids(docs, materialize(clash, "clash"))
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(full.join(reps, "digest").select("doc_id", "n", "rep").distinct(), "classes")
-    buckets = shared_signatures(texts, rows, classes)
+    # distinct comes first, so that nothing above the join keeps a digest's rows together and a hot one can be split
+    classes = materialize(full.distinct().join(reps, "digest").select("doc_id", "n", "rep"), "classes")
+    buckets = shared_signatures(texts, listed, classes)
+    release(listed)
 
     # what a class needs: of c segments met, H + 1; its most frequent ones are left out
-    sizes = rows.where("doc_id IS NOT NULL").select("doc_id", "n", F.size("own").alias("c")).where("c > 0").groupBy("doc_id", "n").agg(F.max("c").alias("c"))
+    sizes = rows.where("doc_id IS NOT NULL AND c > 0").groupBy("doc_id", "n").agg(F.max("c").alias("c"))
     sizes = sizes.join(classes.select("doc_id", "rep").distinct(), "doc_id").groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.max("c").alias("c"))
     sizes = sizes.withColumn("spare", F.greatest(F.col("c") - F.floor(F.col("n") / 4) - 1, F.lit(0)))
     known = materialize(buckets.join(sizes, "id"), "known")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("often"), "sig"))
     probes = known.where("own").withColumn("rank", rank).where(F.col("rank") > F.col("spare"))
-    probes = materialize(probes.withColumn("kept", F.col("c") - F.col("spare")).drop("rank", "own", "c", "spare"), "probes")
+    probes = materialize(probes.select("sig", "id", "n", (F.col("c") - F.col("spare")).alias("kept")), "probes")
 
     # one comparison per class, with the head of a bucket
-    heads = probes.where("head <> id").groupBy("id", "head").agg(F.count(F.lit(1)).alias("k"))
-    first = heads.groupBy("id").agg(F.max(F.struct("k", (-F.col("head")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("id").alias("b"))
-    links = verify(texts, first, "first")
-    one = components(spark, links, "first")
-
-    # all that may link two components
+    heads = materialize(known.where("own AND head <> id").groupBy("id", "head").agg(F.count(F.lit(1)).alias("k"), F.first("c").alias("c")), "heads")
+    close = heads.where(100 * F.col("k") >= HUB * F.col("c"))
+    first = close.groupBy("id").agg(F.max(F.struct("k", (-F.col("head")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("id").alias("b"))
+    compared = verify(texts, first, "first")
+    one = components(spark, compared.where(F.col("percent") >= LEAST).select("a", "b"), "first")
+    hubs = components(spark, close.select(F.col("head").alias("a"), F.col("id").alias("b")), "hubs").select("id", F.col("component").alias("hub"))
+
+    # all that may link two components: within a hub block by block, between hubs by what the classes share
     at = lambda df: df.join(one.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    indexed = materialize(at(known.select("sig", "id", "n")), "indexed")
-    mixed_sigs = indexed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+    gathered = materialize(at(sizes.select("id", "n").join(known.select("id").distinct(), "id", "left_semi").join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id"))), "hubs")
+    inside = hub_pairs(texts, gathered)
+    placed = gathered.select("id", "hub", "component")
+    indexed = materialize(known.select("sig", "id", "n").join(placed, "id"), "indexed")
+    mixed_sigs = indexed.groupBy("sig").agg(F.min(F.struct("component", "hub")).alias("x"), F.max(F.struct("component", "hub")).alias("y")).where("x.component < y.component").select("sig")
     indexed = materialize(indexed.join(mixed_sigs, "sig", "left_semi"), "mixed")
-    search = at(probes.join(mixed_sigs, "sig", "left_semi").select("sig", "id", "n", "kept")).alias("p")
-    groups = indexed.select("sig", "component").distinct().alias("g")
-    across = search.join(groups, (F.col("p.sig") == F.col("g.sig")) & (F.col("p.component") != F.col("g.component")))
-    across = across.select("p.sig", F.col("p.id").alias("a"), F.col("p.n").alias("m"), "p.kept", F.col("g.component").alias("component")).alias("q")
+    search = probes.join(mixed_sigs, "sig", "left_semi").select("sig", "id", "n", "kept").join(placed, "id").alias("p")
+    groups = indexed.select("sig", "component", "hub").distinct().alias("g")
+    across = search.join(groups, (F.col("p.sig") == F.col("g.sig")) & (F.col("p.component") != F.col("g.component")) & (F.col("p.hub") != F.col("g.hub")))
+    across = across.select("p.sig", F.col("p.id").alias("a"), F.col("p.n").alias("m"), "p.kept", F.col("g.component").alias("component"), F.col("g.hub").alias("hub")).alias("q")
     fits = (F.col("i.n") > F.col("q.m")) | ((F.col("i.n") == F.col("q.m")) & (F.col("i.id") > F.col("q.a")))
     near = 4 * F.col("i.n") <= 5 * F.col("q.m")
-    pairs = across.join(indexed.alias("i"), (F.col("q.sig") == F.col("i.sig")) & (F.col("q.component") == F.col("i.component")) & fits & near)
+    same = (F.col("q.sig") == F.col("i.sig")) & (F.col("q.component") == F.col("i.component")) & (F.col("q.hub") == F.col("i.hub"))
+    pairs = across.join(indexed.alias("i"), same & fits & near)
     pairs = pairs.groupBy("q.a", F.col("i.id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("q.kept").alias("kept"), F.first(F.col("q.m") + F.col("i.n")).alias("both"))
     pairs = pairs.where(F.col("k") >= F.col("kept") - F.floor(F.col("both") / 9)).select("a", "b")
-    more = verify(texts, pairs, "more")
+    more = verify(texts, pairs.unionAll(inside), "more").where(F.col("percent") >= LEAST).select("a", "b")
     joined = at(more.select(F.col("a").alias("id"), "b")).select(F.col("component").alias("a"), F.col("b").alias("id"))
     joined = at(joined).select("a", F.col("component").alias("b"))
     two = components(spark, joined, "more").select(F.col("id").alias("component"), F.col("component").alias("final"))
