@@ -164,17 +164,17 @@ def places(n: int) -> list[tuple[int, int, bool]]:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, digest, own, low, chosen): the signatures only once per digest and task."""
+    """(doc_id, n, digest, own, low, chosen): the signatures only once per digest and task, on a row that has an id."""
     seen: set[bytes] = set()
     nothing = np.empty(0, np.int64)
     for b in batches:
         rows: list[list] = [[] for _ in range(5)]
-        for text in b.column(1):
+        for listed, text in zip(b.column(0).is_valid().to_pylist(), b.column(1), strict=True):
             s = shingles(text.as_py())
             own = low = nothing
             chosen: list[int] = []
             digest = hashlib.md5(s).digest() if len(s) else None
-            if digest and digest not in seen:
+            if digest and listed and digest not in seen:
                 seen.add(digest)
                 for number, high, mine in places(len(s)):
                     sigs = signatures(s, number, high)

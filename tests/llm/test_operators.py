@@ -239,6 +239,16 @@ def test_jaccard_keep_one_and_odd_rows(odd, none):
     assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_jaccard_copy_without_id_first(spark):
+    """A row without an id ahead of an equal one in a task must not take its signatures along."""
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:-1], "other"]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert found == {None: None, 1: 1, 2: 1}
+
+
 # 4
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>A</a></li></ul></nav>
