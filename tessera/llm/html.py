@@ -8,6 +8,11 @@ footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 never chosen. Where a page marks its article, lines in it are content at any positive ratio, and the
 threshold only decides on pages that mark none.
 
+A class or id names a block by its last word that is no part of a block (comments in comments-area), and
+not by what it has or is filed under (has-sidebar, category-legal). A block so named never drops a main or
+article element, nor one inside it. Only among comments, related pages, sidebars and widgets, where each
+entry may be an article element, articles count only if the page marks no other.
+
 Cases. NULL or empty html, or a page without content: an empty text. Unclosed elements end with the
 element around them. White space inside a line becomes one space. NULL id: kept. Repeated rows: each
 has its own result. Empty table: empty result.
@@ -33,12 +38,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: A p, li and so on ends where the next of its kind begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words of class and id that name what is no article; compared to whole words.
+#: Words of class and id that name what is no article; see named().
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer foot masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "comment comments commentlist disqus replies reply respond related recommended recommendations widget widgets pagination pager toolbar skip copyright legal disclaimer paywall".split()
 )
+#: Of these, blocks whose entries may be article elements of their own.
+ENTRIES = frozenset("sidebar sidebars comment comments commentlist disqus replies reply respond related recommended recommendations widget widgets".split())
+#: After these words a class or id says what an element has, lacks or is filed under.
+MODIFIERS = frozenset("has have with without no not category cat tag tagged topic type format status".split())
+#: Words for a part or a box of what the word before them names.
+PARTS = frozenset("area areas list box block wrap wrapper container section inner outer left right top bottom primary secondary button buttons link links icon icons item items bar slot unit row col column panel group posts articles stories title heading".split())
 #: The same for a page's header, which an article may have too.
 HEADER_HINTS = frozenset("header head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
@@ -55,8 +66,21 @@ CHUNK = 1 << 16
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+def named(token: str) -> str:
+    """The word by which a class or id names its element; empty if it only says what the element has or is filed under."""
+    words = [x for x in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x and not x.isdigit()]
+    words = words[: next((i for i, x in enumerate(words) if x in MODIFIERS), len(words))]
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return words[-1] if words else ""
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, kind, heading) per line; kind: 0 dropped, 1 open, 2 within an article."""
+    """Collects (text, tags, link characters, kind, heading) per line.
+
+    Kinds: 0 dropped, 1 open, 2 within an article, 3 within an article's header, 4 within an article among
+    entries, 5 dropped by a class or id, 6 the same among entries.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -78,33 +102,37 @@ class Lines(HTMLParser):
         """The kind of what stands in an element."""
         if self.kind == 0 or tag in DROPPED:
             return 0
-        if tag == "header":
+        if tag == "header" and self.kind in (1, 2, 3):
             return 0 if self.kind == 1 else 3
         if self.kind == 3:
             return 2 if tag in HEADINGS else 3
-        kind = 2 if tag in ("article", "main") else self.kind
+        whole = tag in ("article", "main")
+        kind = 2 if tag == "main" else self.kind
+        if tag == "article":
+            kind = 4 if self.kind in (4, 6) else 2
         for name, value in attrs:
             if not value:
                 if name == "hidden":
                     return 0
                 continue
             if name in ("class", "id"):
-                for token in value.split():
-                    low = token.lower()
-                    words = SPLIT.split(token.lower()) if token.islower() else [x.lower() for x in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower())]
-                    if tag not in ("body", "html") and not HINTS.isdisjoint(words):
-                        return 0
-                    if kind == 1 and tag not in ("body", "html") and not HEADER_HINTS.isdisjoint(words):
+                for token in value.split() if tag not in ("body", "html") else ():
+                    word = named(token)
+                    if word in ENTRIES and tag != "main":
+                        kind = 4 if tag == "article" else 6
+                    elif word in HINTS and not whole and kind != 6:
+                        kind = 5
+                    if kind == 1 and word in HEADER_HINTS:
                         return 0
-                    if low in ARTICLE_HINTS and tag not in ("body", "html"):
-                        kind = 2
+                    if token.lower() in ARTICLE_HINTS and not whole:
+                        kind = 4 if kind in (4, 5, 6) else 2
             elif name == "role":
                 if value.lower() in ROLES:
                     return 0
                 if value.lower() in MARKS:
-                    kind = 2
+                    kind = 2 if kind != 6 or value.lower() == "main" else 4
             elif name == "itemprop" and value.lower() in MARKS:
-                kind = 2
+                kind = 4 if kind in (4, 6) else 2
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
                 return 0
             elif name == "aria-hidden" and value.lower() == "true":
@@ -157,7 +185,7 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.kind:
+        if self.kind not in (0, 5, 6):
             self.text.append(data)
             if self.link:
                 self.links += len(data)
@@ -182,7 +210,8 @@ def extract(page: str | None) -> str:
         parser.feed(page[at : at + CHUNK])
     parser.close()
     parser.cut()
-    lines = [(text, tags, links, 2 if kind == 2 else 0 if kind in (0, 3) else 1, heading) for text, tags, links, kind, heading in parser.lines]
+    article = 2 if any(line[3] == 2 for line in parser.lines) else 4
+    lines = [(text, tags, links, 2 if kind == article else 0 if kind == 3 else 1, heading) for text, tags, links, kind, heading in parser.lines if kind in (1, 3, article)]
     if not lines:
         return ""
     marked = any(kind == 2 for _, _, _, kind, _ in lines)

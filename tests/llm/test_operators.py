@@ -281,6 +281,27 @@ def test_html_chunks_do_not_matter(monkeypatch):
     assert html.extract(PAGE % f"<article>{BODY}</article>") == whole
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='layout has-sidebar'><article>%s</article></div>",
+        "<main class='with-sidebar'>%s</main>",
+        "<article class='post category-legal'>%s</article>",
+        "<article class='post' id=sponsored>%s</article>",
+        "<div class='content-sidebar-wrap'><main>%s</main></div>",
+        "<div class=overlay><article>%s</article></div>",
+        "<div class='sidebar'><article>%s</article></div>",
+    ],
+)
+def test_html_hints_never_drop_the_article(wrap):
+    assert html.extract(PAGE % (wrap % BODY)) == TEXT
+
+
+def test_html_entries_of_others_stay_out():
+    others = "<div class='comments-area'><article class=comment><p>Nice words</p></article></div><div class='related-posts'><article><p>Other page</p></article></div>"
+    assert html.extract(PAGE % (f"<article>{BODY}</article>{others}")) == TEXT
+
+
 # 5
 
 
