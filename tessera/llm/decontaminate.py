@@ -13,7 +13,8 @@ functions only.
 
 Cases. NULL or empty text or item: no shingles, never a match. An item shorter than a shingle matches a
 text that has the item's words in a row. NULL ids: kept in the pairs. Repeated rows: equal pairs appear
-once. Items of equal text: each is reported. Empty tables: empty result.
+once. Items of equal text: each is reported. An item is its text: a NULL item id is reported as NULL, and
+an id with several texts has a row for each that is found. Empty tables: empty result.
 """
 
 from __future__ import annotations
@@ -55,55 +56,58 @@ def strung(k: int):
 
 
 def item_shingles(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, k, n, shingles) of each item that has words; k is the words per shingle, fewer only for a shorter item."""
+    """(item_id, item, k, n, shingles) of each item that has words; k is the words per shingle, fewer only for a shorter item, and item the digest of its text."""
     text = F.col(text_col).cast("string")
     w = benchmark.select(F.col(id_col).alias("item_id"), text.alias("text"), F.least(F.size(words(text)), F.lit(WORDS_PER_SHINGLE)).alias("k")).where("k > 0")
     cases = F.lit(None)
     for k in range(WORDS_PER_SHINGLE, 0, -1):
         cases = F.when(F.col("k") == k, of_words(F.col("text"), strung(k))).otherwise(cases)
     out = w.withColumn("shingles", cases)
-    return out.select("item_id", "k", F.size("shingles").alias("n"), "shingles")
+    return out.select("item_id", F.md5("text").alias("item"), "k", F.size("shingles").alias("n"), "shingles")
 
 
 def sketches(items: DataFrame, least: int = LEAST) -> DataFrame:
-    """(k, h, item_id, ...): the minima of each item; partitions are by the power of two below its size."""
+    """(k, h, item): the minima of each item; partitions are by the power of two below its size."""
     hashed = items.withColumn("part", F.floor(F.log2("n")))
     sizes = hashed.groupBy("part").agg(F.max("n").alias("m"))
     hashed = hashed.join(sizes, "part").withColumn("minima", F.floor((100 - least) * F.col("m") / 100).cast("int") + 1)
     mins = F.slice(F.array_sort(F.transform("shingles", lambda s: F.xxhash64(*[F.get(F.split(s, " "), j) for j in range(WORDS_PER_SHINGLE)]))), 1, F.col("minima"))
     short = F.slice(F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s))), 1, F.col("minima"))
-    return hashed.select("k", "item_id", F.explode(F.when(F.col("k") == WORDS_PER_SHINGLE, mins).otherwise(short)).alias("h"))
+    return hashed.select("k", "item", F.explode(F.when(F.col("k") == WORDS_PER_SHINGLE, mins).otherwise(short)).alias("h"))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) of each document that holds at least `least` per cent of an item's shingles."""
-    items = materialize(item_shingles(benchmark, item_col, item_text), "items")
+    listed = materialize(item_shingles(benchmark, item_col, item_text), "listed")
+    items = materialize(listed.drop("item_id").dropDuplicates(["item"]), "items")
+    names = materialize(listed.select("item", "item_id").distinct(), "names")
     sketch = materialize(sketches(items, least), "sketch")
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # five numbers at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = None
     for k in lengths:
-        minima = sketch.where(F.col("k") == k).select("h", "item_id")
+        minima = sketch.where(F.col("k") == k).select("h", "item")
         hashes = of_words(F.col("text"), hashed(k))
         if small:
             rows = texts.select("doc_id", "text", F.explode(hashes).alias("h"))
-            hits = rows.join(F.broadcast(minima), "h").select("doc_id", "text", "item_id").distinct()
+            hits = rows.join(F.broadcast(minima), "h").select("doc_id", "text", "item").distinct()
         else:
             rows = texts.select(F.md5("text").alias("digest"), F.explode(F.array_distinct(hashes)).alias("h"))
-            pairs = rows.join(minima, "h").select("digest", "item_id").distinct()
-            hits = pairs.join(texts.withColumn("digest", F.md5("text")), "digest").select("doc_id", "text", "item_id").distinct()
+            pairs = rows.join(minima, "h").select("digest", "item").distinct()
+            hits = pairs.join(texts.withColumn("digest", F.md5("text")), "digest").select("doc_id", "text", "item").distinct()
         found = hits if found is None else found.unionAll(hits)
     schema = "doc_id long, item_id long, n_item int, n_shared int"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    held = join_small(found, items, "item_id", "inner")
+    held = join_small(found, items, "item", "inner")
     cases = F.lit(None)
     for k in lengths:
         cases = F.when(F.col("k") == k, of_words(F.col("text"), strung(k))).otherwise(cases)
     held = held.withColumn("n_shared", F.size(F.array_intersect("shingles", cases)))
     held = held.where(100 * F.col("n_shared") >= least * F.col("n"))
-    return held.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    held = held.groupBy("doc_id", "item").agg(F.max("n").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    return join_small(held, names, "item", "inner").select("doc_id", "item_id", "n_item", "n_shared")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

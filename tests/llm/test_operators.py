@@ -380,6 +380,17 @@ def test_containment_empty_tables(spark, none):
     assert decontaminate.search(none, some).count() == 0 and decontaminate.search(none, items).count() == 0
 
 
+@pytest.mark.parametrize("rows", [10_000, 0])
+def test_containment_of_items_without_or_with_repeated_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    items = spark.createDataFrame([(None, a), (1, b), (1, c), (1, c), (2, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {c} y"), (4, f"{b} {c}"), (5, "x y z")], "doc_id long, text string")
+    found = [tuple(r) for r in decontaminate.search(docs, items).collect()]
+    assert sorted(found, key=str) == sorted([(1, None, 8, 8), (2, 1, 8, 8), (2, 2, 8, 8), (3, 1, 8, 8), (4, 1, 8, 8), (4, 1, 8, 8), (4, 2, 8, 8)], key=str)
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [5]
+
+
 # 7
 
 
