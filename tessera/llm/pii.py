@@ -7,7 +7,10 @@ the vector to each digit of the other half, modulo the digit's radix. Each round
 whole is a permutation: different values never meet, and equal values have equal pseudonyms in every
 document. Check digits are computed anew, days stay days, signs between digits stay in place.
 
-What fails its validation stays as it is. Native DataFrame functions only: one row in, one row out, no
+A pattern takes the longest value, which may reach into what stands beside a card or an IBAN (an expiry
+date, a code, a currency). Where a match fails its validation, its groups are searched for a card or an
+IBAN that passes, from each group on and down to the shortest, and what lies around it is searched again.
+What fails then too stays as it is. Native DataFrame functions only: one row in, one row out, no
 shuffle.
 
 Cases. NULL text: stays NULL, nothing found. Empty text: stays empty. Repeated rows, NULL ids and extra
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 6
 #: The days that a date's permutation covers: 400 years, 189 * 773 days.
 FIRST_DAY, DAY_RADICES = "1800-01-01", (189, 773)
@@ -189,18 +194,65 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.transform(F.array(F.struct(kind.alias("k"), new.alias("n"))), lambda s: F.struct(F.when(s["n"].isNotNull(), s["k"]).alias("kind"), F.coalesce(s["n"], m).alias("text")))[0]
 
 
+def longest(candidate: Column, passes) -> Column:
+    """The longest start of a candidate that ends with one of its groups and passes; NULL if none does."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(candidate)), lambda i: at(candidate, i).rlike("[A-Z0-9]") & ~at(candidate, i + 1).rlike("[A-Z0-9]"))
+    return F.try_element_at(F.filter(F.transform(ends, lambda i: F.substr(candidate, F.lit(1), i)), passes), F.lit(-1))
+
+
+def is_card(m: Column) -> Column:
+    d = digits(m)
+    return F.length(d).between(13, 19) & (luhn_rest(d) == 0) & ~d.rlike("^(.)\\1*$")
+
+
+def is_iban(m: Column) -> Column:
+    compact = F.regexp_replace(m, " ", "")
+    return F.length(compact).between(15, 34) & (iban_rest(compact) == 1)
+
+
+def shorter(text: Column) -> Column:
+    """The cards and IBANs that start at any group of a text, the longest first."""
+    at_each = lambda pattern, passes: F.transform(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)), lambda c: longest(c, passes))
+    found = F.concat(at_each(IBAN, is_iban), at_each(CARD, is_card))
+    return F.array_sort(F.array_distinct(F.array_compact(found)), lambda a, b: F.length(b) - F.length(a))
+
+
+def unsettled(m: Column) -> Column:
+    """Whether a match has a card's, an IBAN's or a phone's form and reaches too far or is none."""
+    return F.when(m.rlike(f"^(?:{CARD})$"), ~is_card(m)).when(m.rlike(f"^(?:{IBAN})$"), ~is_iban(m)).otherwise(m.startswith("+") & (F.length(digits(m)) > 15))
+
+
+def cut(text: Column) -> Column:
+    """struct(gaps, values): a text's matches in order, and what stands before, between and behind them."""
+    none = F.array().cast("array<string>")
+    some = text.rlike("[0-9@]")
+    return F.struct(F.when(some, F.split(text, ANY, -1)).otherwise(F.array(text)).alias("gaps"), F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none).alias("values"))
+
+
+def cut_around(text: Column, values: Column) -> Column:
+    """cut(text) with these cards and IBANs as matches, and what is found between them."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(values, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pieces = F.transform(F.split(text, pattern, -1), cut)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    found = F.zip_with(pieces, hits, lambda p, h: F.concat(p["values"], F.array_compact(F.array(h))))
+    return F.struct(F.flatten(pieces["gaps"]).alias("gaps"), F.flatten(found).alias("values"))
+
+
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "found_kinds") -> DataFrame:
     """docs with the text's values replaced, and the kinds of the replaced values in order in `found_col`.
 
     Texts without a digit or an @ pass untouched, before any pattern is tried.
     """
     text = F.col(text_col)
-    some = text.rlike("[0-9@]")
-    matches = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    made = docs.withColumn(found_col, F.transform(matches, lambda m: pseudonym(m, key)))
-    pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, F.col(found_col), lambda p, m: F.concat(p, F.coalesce(m["text"], F.lit("")))), "")
-    made = made.withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text))
+    parts, shorts = (free_name([*docs.columns, found_col], x) for x in ("text_parts", "shorter_values"))
+    made = docs.withColumn(parts, cut(text))
+    # what no match holds for good; a line end stands for each other match, so that nothing reaches across it
+    left = F.array_join(F.zip_with(F.col(parts)["gaps"], F.col(parts)["values"], lambda p, m: F.concat(p, F.when(unsettled(m), m).otherwise("\n"))), "")
+    made = made.withColumn(shorts, F.when(F.exists(F.col(parts)["values"], unsettled), shorter(left)).otherwise(F.array().cast("array<string>")))
+    made = made.withColumn(parts, F.when(F.size(shorts) > 0, cut_around(text, F.col(shorts))).otherwise(F.col(parts)))
+    made = made.withColumn(found_col, F.transform(F.col(parts)["values"], lambda m: pseudonym(m, key)))
+    joined = F.array_join(F.zip_with(F.col(parts)["gaps"], F.col(found_col), lambda p, m: F.concat(p, F.coalesce(m["text"], F.lit("")))), "")
+    made = made.withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text)).drop(parts, shorts)
     return made.withColumn(found_col, F.coalesce(F.filter(F.col(f"{found_col}.kind"), lambda k: k.isNotNull()), F.array().cast("array<string>")))
 
 

@@ -438,6 +438,16 @@ def test_pii_is_native_and_keeps_rows(spark, odd, none):
     assert pii.pseudonymize(none, "k").count() == 0
 
 
+def test_pii_values_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    new_card, new_iban, new_date = replaced(spark, [card, iban, "12/31/1999"])
+    assert card != new_card and iban != new_iban
+    forms = ["%s 12/27", "%s 123", "%s 12/27 123", "exp 12/27 %s", "12 %s 123", "1234 12 %s", "no 300.1.1.1, card %s 12", "+49 %s"]
+    out = replaced(spark, [x % card for x in forms] + ["4111111111111111 123", "%s EUR" % iban, "%s PAID BACK" % iban, f"{card} 12/31/1999", f"{card} 12/27 and {card} 123", "4111 1111 1111 1112 123"])
+    assert out[: len(forms)] == [x % new_card for x in forms]
+    assert out[len(forms) :] == [new_card.replace(" ", "") + " 123", f"{new_iban} EUR", f"{new_iban} PAID BACK", f"{new_card} {new_date}", f"{new_card} 12/27 and {new_card} 123", "4111 1111 1111 1112 123"]
+
+
 # 8
 
 
