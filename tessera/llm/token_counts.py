@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .encoder import END_OF_TEXT, encoder
+from .encoder import END_OF_TEXT, encoder, with_ends
 
 #: Ids per block.
 BLOCK_IDS = 1 << 17
-TEXTS = 256
 
 
 def _flat(vocabulary: str | None, end_id: int, block_ids: int):
@@ -34,25 +33,23 @@ def _flat(vocabulary: str | None, end_id: int, block_ids: int):
 
         file, made = TaskContext.get().partitionId(), 0
         enc = encoder(vocabulary, True)
-        end = np.array([end_id], enc.width)
         parts: list[np.ndarray] = []
         keys: list = []
         size = 0
 
         def block(ids: np.ndarray) -> pa.RecordBatch:
             nonlocal made
-            out = pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([list(keys)], pa.list_(pa.int64()))], names=["file", "block", "ids", "manifest"])
+            columns = [pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([ids.dtype.itemsize], pa.int32()), pa.array([end_id], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([list(keys)], pa.list_(pa.int64()))]
             made += 1
             keys.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, names=["file", "block", "width", "end_id", "ids", "manifest"])
 
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                some = b.slice(at, TEXTS)
-                for key, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    parts += [ids, end]
-                    keys.append(key)
-                    size += len(ids) + 1
+            listed = b.column(0).to_pylist()
+            for at, ids, counts in enc.encode_column(b.column(1)):
+                parts.append(with_ends(ids, counts, end_id))
+                keys.extend(listed[at : at + len(counts)])
+                size += len(parts[-1])
                 if size >= block_ids:
                     flat = np.concatenate(parts)
                     whole = size - size % block_ids
@@ -68,31 +65,33 @@ def _flat(vocabulary: str | None, end_id: int, block_ids: int):
 def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_OF_TEXT, block_ids: int = BLOCK_IDS) -> None:
     """Write flat token files: a file per partition, documents in the order of the input.
 
-    Beside the ids, the container has a manifest column: the document ids in the order of the files,
-    without places. Scans don't read it.
+    Beside the ids, a block has the bytes of an id and the end id, and a manifest: the document ids in the
+    order of the files, without places. Scans don't read the manifest.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = narrow.mapInArrow(_flat(vocabulary, end_id, block_ids), "file int, block int, ids binary, manifest array<bigint>")
+    rows = narrow.mapInArrow(_flat(vocabulary, end_id, block_ids), "file int, block int, width int, end_id long, ids binary, manifest array<bigint>")
     rows.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
-def _searched(end_id: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, found = [], []
-            for x in b.column(2):
-                ids = np.frombuffer(x.as_buffer() if hasattr(x, "as_buffer") else x.as_py(), f"<u{width}")
-                sizes.append(len(ids))
-                found.append(np.flatnonzero(ids == end_id))
-            places = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), places], names=["file", "block", "n_ids", "ends"])
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes, found = [], []
+        for width, end_id, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+            ids = np.frombuffer(x.as_buffer() if hasattr(x, "as_buffer") else x.as_py(), f"<u{width}")
+            sizes.append(len(ids))
+            found.append(np.flatnonzero(ids == end_id))
+        places = pa.array(found, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), places], names=["file", "block", "n_ids", "ends"])
 
-    return run
 
+def scan(blocks: DataFrame, end_id: int | None = None, width: int | None = None) -> DataFrame:
+    """(ordinal, start, n_tokens, closed) of each document in blocks (file, block, ids), the end ids not counted.
 
-def scan(blocks: DataFrame, end_id: int = END_OF_TEXT, width: int = 2) -> DataFrame:
-    """(ordinal, start, n_tokens, closed) of each document in blocks (file, block, ids), the end ids not counted."""
-    each = blocks.select("file", "block", "ids").mapInArrow(_searched(end_id, width), "file int, block int, n_ids long, ends array<bigint>")
+    The end id and an id's bytes are read from the blocks' columns `end_id` and `width` where they are not given.
+    """
+    bytes_of_id = F.col("width") if width is None else F.lit(width)
+    separator = F.col("end_id") if end_id is None else F.lit(end_id)
+    each = blocks.select("file", "block", bytes_of_id.cast("int").alias("width"), separator.cast("long").alias("end_id"), "ids").mapInArrow(_searched, "file int, block int, n_ids long, ends array<bigint>")
     each = each.withColumn("n_ends", F.size("ends").cast("long")).withColumn("last", F.when(F.col("n_ends") > 0, F.element_at("ends", -1)))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -8,7 +8,8 @@ Parquet container, so that writing is atomic, survives retried tasks, and works
 can reach. Documents are never split between blocks.
 
 Cases. NULL or empty text: only the end id. NULL document ids: first in order. Repeated rows and equal
-ids: each has its own entry, in no set order among equals. Empty table: a container without blocks.
+ids: each has its own entry, by the digest of its text, so that reruns agree. Empty table: a container
+without blocks.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, materialize, new_path
-from .encoder import encoder
+from .encoder import encoder, with_ends
 
 #: A block ends once it has so many ids.
 BLOCK_IDS = 1 << 16
-#: Texts encoded at a time.
-TEXTS = 256
+#: Bytes of input for each range of ids, as the planner knows them.
+RANGE = 128 << 20
 #: A select sample for every so many entries.
 SAMPLE = 256
 MAGIC = b"TSEF0001"
@@ -100,12 +101,11 @@ class EliasFano:
         return ((at - np.arange(self.n)) << self.bits) | self.lows(0, self.n)
 
 
-def pack_block(ids: list[int | None], tokens: list[np.ndarray], end_id: int) -> bytes:
-    """The image of a block; ids ascend, NULLs first, and tokens have the end id."""
+def pack_block(ids: list[int | None], flat: np.ndarray, counts: np.ndarray, end_id: int) -> bytes:
+    """The image of a block; ids ascend, NULLs first, flat has each document's ids with its end id, counts their numbers."""
     known = np.array([x for x in ids if x is not None], np.int64)
     first = int(known[0]) if len(known) else 0
-    ends = EliasFano.of(np.cumsum([len(x) for x in tokens]))
-    flat = np.concatenate(tokens)
+    ends = EliasFano.of(np.cumsum(counts))
     return HEAD.pack(MAGIC, flat.dtype.itemsize, end_id, len(ids) - len(known), len(ids), len(flat), first) + ends.pack() + EliasFano.of(known - first).pack() + flat.tobytes()
 
 
@@ -129,11 +129,18 @@ class Block:
         return [None] * self.nulls + (self.keys.all() + self.first).tolist()
 
 
-def sorted_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) dealt by ranges of the id and sorted, NULL first."""
+def ranges_of(docs: DataFrame) -> int:
+    """Ranges of ids: the session's number of shuffle partitions, or more where the planner's size of the input asks for them."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, -(-size // RANGE)) if size < 1 << 50 else n  # larger ones mean that it is unknown
+
+
+def sorted_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) dealt by ranges of the id and sorted, NULL first; equal ids by their texts' digests, so that they can be dealt to several ranges."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    keyed = narrow.withColumn("digest", F.md5("text"))
+    return keyed.repartitionByRange(ranges_of(docs), "doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
 
 
 def _blocks(path: str | None, end_id: int, block_ids: int):
@@ -142,28 +149,36 @@ def _blocks(path: str | None, end_id: int, block_ids: int):
 
         shard, made = TaskContext.get().partitionId(), 0
         enc = encoder(path, False)
-        end = np.array([end_id], enc.width)
-        ids: list = []
-        tokens: list = []
+        keys: list = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            image = pack_block(ids, tokens, end_id)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([image], pa.binary())], names=["shard", "block", "n_docs", "n_ids", "image"])
+            nonlocal made, size
+            image = pack_block(keys, np.concatenate(parts), np.concatenate(sizes), end_id)
+            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([image], pa.binary())], names=["shard", "block", "n_docs", "n_ids", "image"])
+            made, size = made + 1, 0
+            keys.clear(), parts.clear(), sizes.clear()
+            return out
 
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                some = b.slice(at, TEXTS)
-                for key, one in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(key)
-                    tokens.append(np.concatenate((one, end)))
-                    size += len(tokens[-1])
+            listed = b.column(0).to_pylist()
+            for at, ids, counts in enc.encode_column(b.column(1)):
+                flat, counts = with_ends(ids, counts, end_id), counts + 1
+                ends = np.cumsum(counts)
+                low = done = 0
+                while low < len(counts):
+                    # documents until the block has enough ids
+                    high = min(int(np.searchsorted(ends, done + block_ids - size)) + 1, len(counts))
+                    keys.extend(listed[at + low : at + high])
+                    parts.append(flat[done : ends[high - 1]])
+                    sizes.append(counts[low:high])
+                    size += int(ends[high - 1]) - done
+                    low, done = high, int(ends[high - 1])
                     if size >= block_ids:
                         yield block()
-                        made, size = made + 1, 0
-                        ids.clear()
-                        tokens.clear()
-        if ids:
+        if keys:
             yield block()
 
     return run

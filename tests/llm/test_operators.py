@@ -571,7 +571,7 @@ def test_token_files_round_trip(spark, odd, none):
 
 def test_block_gives_single_documents():
     parts = [np.arange(n, dtype="<u2") for n in (1, 7, 300, 1, 2)]
-    block = tokens.Block(tokens.pack_block([None, 3, 3, 9, 10**12], parts, 0))
+    block = tokens.Block(tokens.pack_block([None, 3, 3, 9, 10**12], np.concatenate(parts), np.array([len(x) for x in parts]), 0))
     assert block.doc_ids() == [None, 3, 3, 9, 10**12]
     assert all(block.document(i).tolist() == p.tolist() for i, p in enumerate(parts))
 
@@ -584,12 +584,41 @@ def test_token_counts(spark, odd, none, block):
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_token_counts_of_another_end_id(spark, odd):
+    """The end id and the width that a file was written with are what its scan looks for."""
+    e = Encoder(special_as_text=True)
+    found = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(odd, end_id=50255).collect())
+    assert found == Counter((r[0], len(e.encode([r[1]])[0])) for r in ODD)
+    wide = [(0, 0, 4, 70000, bytearray(np.array([1, 70000, 66000, 2, 70000, 4464], "<u4").tobytes()))]
+    blocks = spark.createDataFrame(wide, "file int, block int, width int, end_id long, ids binary")
+    assert sorted(tuple(r)[2] for r in token_counts.scan(blocks).where("closed").collect()) == [1, 2]
+
+
+def test_token_files_order_equal_ids_by_their_texts(spark):
+    rows = [(7, f"text number {i}") for i in range(50)]
+    found = [sorted(tuple(r) for r in tokens.round_trip(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(5)).collect()) for step in (1, -1)]
+    assert found[0] == found[1] and len(found[0]) == 50
+
+
+def test_encoder_forgets_and_cuts_long_texts(monkeypatch):
+    from tessera.llm import encoder as module
+
+    monkeypatch.setattr(module, "MEMO", 20)
+    monkeypatch.setattr(module, "TEXTS", 64)
+    e = Encoder()
+    random.seed(13)
+    texts = ["".join(random.choice("ab c\n.,'é１ ") for _ in range(random.randint(0, 200))) for _ in range(200)] + [None, "", "x" * 300]
+    for at in range(0, len(texts), 50):
+        for t, ids in zip(texts[at : at + 50], e.encode(texts[at : at + 50]), strict=True):
+            assert ids.tolist() == (e.tokenizer.encode(t, add_special_tokens=False).ids if t else []), repr(t)
+
+
 def test_scan_stitches_blocks_and_files(spark):
     ids = [5, 5, 9, 9, 7, 7, 7, 7, 7, 9, 1, 2]
     for size in (1, 2, 5, 12):
         rows = [(i // 2, i % 2, np.array(ids[x : x + size], "<u2").tobytes()) for i, x in enumerate(range(0, len(ids), size))]
         blocks = spark.createDataFrame([(f, b, bytearray(x)) for f, b, x in rows], "file int, block int, ids binary")
-        found = sorted(tuple(r) for r in token_counts.scan(blocks, end_id=9).collect())
+        found = sorted(tuple(r) for r in token_counts.scan(blocks, end_id=9, width=2).collect())
         assert found == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 5, True), (3, 10, 2, False)]
 
 
