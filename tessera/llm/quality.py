@@ -1,31 +1,37 @@
 """Operator 5: quality rules with host-level verdicts.
 
-Every document is measured against rules over its whole text. The failures are added up per host, and
-each host's failure rate is shrunk towards the rate that is usual over all hosts by a beta prior whose
-two parameters are fitted to the hosts' rates (method of moments). Where a host's shrunk rate says that
-most of its documents fail, the host's verdict rejects all of them; a document also goes if it fails
-the base rules itself.
+Every document is measured against five rules over its whole text: too few words, repeated words, symbols,
+duplicate lines, and the mean length of its words. The first two are the base rules, which any document
+must pass. Failures are added up per rule and host, and each rate is shrunk towards the rate that is usual
+over all hosts by a beta prior of the rule's own, whose two parameters are fitted to the hosts' rates
+(method of moments, with the rates' sampling noise taken off). A host whose shrunk rate is above the
+prior's upper `TAIL` deviations is suspect by that rule. The verdicts are joined back: a document goes if
+it fails a rule by which its host is suspect, and a host most of whose documents fail the base rules, by
+its shrunk rate, goes as a whole.
 
 Cases. NULL or empty text: no words, so the base rules fail. NULL host: no host, so no verdict; only
 the base rules decide. Repeated rows: each counts. Equal rates at all hosts, or a single host: the prior
-is as strong as `MOST_STRENGTH` documents. Empty table: empty result.
+is as strong as `MOST_STRENGTH` documents, and no host is suspect. Empty table: empty result.
 """
 
-from __future__ import annotations
-
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import free_name, join_small, materialize
 
-#: Rules: fewest words; most per cent of the words that lie in repeated windows of three.
+#: Base rules: fewest words; most per cent of the words that lie in repeated windows of three.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A host is rejected where its shrunk rate of failing documents is above this.
+#: Rules that count at suspect hosts: most symbols and most duplicate lines in per cent of the words and the lines; least and most mean length of a word.
+MOST_SYMBOLS, MOST_DUPLICATES, WORD_LENGTHS = 10, 30, (3, 10)
+#: A host is suspect by a rule if its shrunk rate is so many of the prior's deviations above the prior's mean.
+TAIL = 1.645
+#: A host goes as a whole where its shrunk rate of documents that fail the base rules is above this.
 MOST_FAILING = 0.6
 #: Bounds of the prior's strength, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
@@ -34,23 +40,32 @@ SYMBOLS = "[#*$%&|<>]"
 NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS[1:-1].encode()))
 SPACES = b" \t\n\v\f\r"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def measure(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
+#: What the rules need besides: the number of lines with a word.
+ALL = (*MEASURES, "n_lines")
+#: Rules, as SQL over the measures; the text of each is the same in Spark and in DuckDB.
+RULES = {
+    "few_words": f"n_words < {LEAST_WORDS}",
+    "repeated": f"100 * n_repeat_words > {MOST_REPEATED} * n_words",
+    "symbols": f"100 * n_symbols > {MOST_SYMBOLS} * n_words",
+    "duplicates": f"100 * n_dup_lines > {MOST_DUPLICATES} * n_lines",
+    "lengths": f"word_chars < {WORD_LENGTHS[0]} * n_words OR word_chars > {WORD_LENGTHS[1]} * n_words",
+}
+#: The base rules together are one more thing that is counted per host.
+FAILS = {"base": f"({RULES['few_words']}) OR ({RULES['repeated']})", **RULES}
+
+
+def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of a whole text."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     raw = text.encode()
     words = raw.split()
     n = len(words)
     in_words = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
     symbols = len(raw.translate(None, NOT_SYMBOLS))
     lines = raw.split(b"\n")
-    again = 0
-    if len(lines) > 1:
-        full = [x for x in lines if x.strip(SPACES)]
-        again = len(full) - len(set(full))
-    return n, in_words, symbols, again, repeated_words(words)
+    full = [x for x in lines if x.strip(SPACES)] if len(lines) > 1 else lines[: min(n, 1)]
+    return n, in_words, symbols, len(full) - len(set(full)), repeated_words(words), len(full)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -69,74 +84,82 @@ def repeated_words(words: list[bytes]) -> int:
     return count
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [measure(x.as_py()) for x in b.column(1)]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(x, pa.int64()) for x in columns]], names=["k", "host", *MEASURES])
-
-
-def measures(docs: DataFrame, key: Column, text_col: str, host_col: str) -> DataFrame:
-    """(k, host, the five measures, base_failed) of each row, written to the shared folder."""
-    narrow = docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
-    kind = narrow.schema["k"].dataType.simpleString()
-    rows = narrow.mapInArrow(_measured, f"k {kind}, host string, " + ", ".join(f"{x} long" for x in MEASURES))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return materialize(rows.withColumn("base_failed", failed), "quality")
+@F.arrow_udf(StructType([StructField(x, LongType()) for x in ALL]))
+def _measured(texts: pa.Array) -> pa.Array:
+    rows = [measure(x.as_py()) for x in texts]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(ALL)
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(ALL))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
-    """(host, n, failed, rate, host_kept) of each host that is not NULL.
+    """(host, n, rate_r and suspect_r of each rule r) of each host that is not NULL, for rows (host, fails_r).
 
-    With m and v the mean and variance of the hosts' rates, the prior is beta(m s, (1 - m) s) of strength
-    s = m (1 - m) / v - 1; the shrunk rate is (failed + m s) / (n + s).
+    With m and v the mean and variance of the hosts' rates, v less the mean of m (1 - m) / n for sampling
+    noise, the prior is beta(m s, (1 - m) s) of strength s = m (1 - m) / v - 1; the shrunk rate is
+    (failed + m s) / (n + s), and the prior's deviation sqrt(m (1 - m) / (s + 1)).
+    """
+    hosts = rows.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"fails_{r}").alias(f"failed_{r}") for r in FAILS])
+    hosts = materialize(hosts, "host-failures")
+    share = lambda r: F.col(f"failed_{r}") / F.col("n")
+    prior = hosts.agg(F.avg(1 / F.col("n")).alias("noise"), *[F.avg(share(r)).alias(f"m_{r}") for r in FAILS], *[F.var_pop(share(r)).alias(f"v_{r}") for r in FAILS]).first()  # a dozen numbers
+    out = [F.col("host"), F.col("n")]
+    for r in FAILS:
+        m = prior[f"m_{r}"] or 0.0
+        v = (prior[f"v_{r}"] or 0.0) - m * (1 - m) * (prior["noise"] or 0.0)
+        s = min(max(m * (1 - m) / v - 1, LEAST_STRENGTH), MOST_STRENGTH) if v > 0 else MOST_STRENGTH
+        rate = (F.col(f"failed_{r}") + F.lit(m * s)) / (F.col("n") + F.lit(s))
+        bound = m + TAIL * (m * (1 - m) / (s + 1)) ** 0.5
+        out += [rate.alias(f"rate_{r}"), (F.lit(v > 0) & (rate > bound)).alias(f"suspect_{r}")]
+    return hosts.select(*out)
+
+
+def judged(rows: DataFrame, host_col: str, names: dict[str, str]) -> DataFrame:
+    """rows, whose measures stand under names["measures"], with base_failed and kept under names["failed"] and names["kept"].
+
+    The rows are written once. Each carries its own measures, so only the hosts' verdicts are joined, and
+    no row is matched by its id.
     """
-    hosts = rows.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed"))
-    share = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(share).alias("m"), F.var_pop(share).alias("v")).first()  # two numbers
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    s = min(max(m * (1 - m) / v - 1, LEAST_STRENGTH), MOST_STRENGTH) if v > 0 else MOST_STRENGTH
-    rate = (F.col("failed") + F.lit(m * s)) / (F.col("n") + F.lit(s))
-    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate <= MOST_FAILING).alias("host_kept"))
+    host, fails = (free_name([*rows.columns, *names.values()], x) for x in ("quality_host", "quality_fails"))
+    got = names["measures"]
+    rows = materialize(rows.withColumn(host, F.col(f"`{host_col}`").cast("string")), "quality")
+    tested = lambda rule: F.expr(re.sub("|".join(ALL), lambda x: f"`{got}`.{x[0]}", rule))
+    rows = rows.withColumn(fails, F.struct(*[tested(rule).alias(r) for r, rule in FAILS.items()]))
+    found = verdicts(rows.select(F.col(host).alias("host"), *[F.col(f"`{fails}`.{r}").alias(f"fails_{r}") for r in FAILS]))
+    hosts = materialize(found.select(F.col("host").alias(host), F.struct((F.col("rate_base") > MOST_FAILING).alias("all"), *[F.col(f"suspect_{r}").alias(r) for r in RULES]).alias(names["kept"])), "hosts")
+    joined = join_small(rows, hosts, host)
+    base = F.col(f"`{fails}`.base")
+    bad = F.col(f"`{names['kept']}`.all")
+    for r in RULES:
+        bad = bad | (F.col(f"`{names['kept']}`.{r}") & F.col(f"`{fails}`.{r}"))
+    return joined.withColumn(names["failed"], base).withColumn(names["kept"], ~base & ~F.coalesce(bad, F.lit(False))).drop(host, fails)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, the five measures, base_failed, kept) of each row."""
-    rows = measures(docs, F.col(id_col), text_col, host_col)
-    hosts = materialize(verdicts(rows).select("host", "host_kept"), "hosts")
-    judged = join_small(rows, hosts, "host")
-    return judged.select(F.col("k").alias("doc_id"), *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), _measured(F.col(text_col).cast("string")).alias("m"))
+    found = judged(rows, "host", {"measures": "m", "failed": "base_failed", "kept": "kept"})
+    return found.select("doc_id", *[F.col(f"m.{x}").alias(x) for x in MEASURES], "base_failed", "kept")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with all their columns.
-
-    A row's own failure is a function of its text, so the rows are judged in place: only the hosts'
-    verdicts are joined to them, and no row is matched by its id.
-    """
-    rows = measures(docs, F.col(id_col), text_col, host_col)
-    host, verdict, ok = (free_name(docs.columns, x) for x in ("quality_host", "quality_verdict", "quality_ok"))
-    hosts = materialize(verdicts(rows).select(F.col("host").alias(host), F.col("host_kept").alias(verdict)), "hosts")
-    passes = docs.withColumn(ok, base_passes(F.col(text_col).cast("string"))).where(F.col(ok))
-    joined = join_small(passes.withColumn(host, F.col(host_col).cast("string")), hosts, host)
-    return joined.where(F.coalesce(F.col(verdict), F.lit(True))).select(*[F.col(f"`{x}`") for x in docs.columns])
-
-
-@F.pandas_udf(BooleanType())
-def _passes(texts):
-    found = (measure(x) for x in texts)
-    return texts.__class__([m[0] >= LEAST_WORDS and 100 * m[4] <= MOST_REPEATED * m[0] for m in found], dtype=bool)
-
-
-def base_passes(text: Column) -> Column:
-    """Whether a text passes the base rules."""
-    return _passes(text)
+    """The rows of docs that are kept, with all their columns."""
+    names = {x: free_name(docs.columns, f"quality_{x}") for x in ("measures", "failed", "kept")}
+    measured = docs.withColumn(names["measures"], _measured(F.col(f"`{text_col}`").cast("string")))
+    return judged(measured, host_col, names).where(F.col(names["kept"])).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
+def _prior_sql(r: str) -> str:
+    """The common tables of a rule's prior: its mean, strength and bound."""
+    return rf"""
+p_{r} AS (SELECT avg(failed_{r} / n) AS m, var_pop(failed_{r} / n) - avg(failed_{r} / n) * (1 - avg(failed_{r} / n)) * avg(1 / n) AS v FROM h),
+s_{r} AS (SELECT m, v > 0 AS spread, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, {LEAST_STRENGTH}), {MOST_STRENGTH}) ELSE {MOST_STRENGTH} END AS s FROM p_{r}),
+v_{r} AS (SELECT source, (failed_{r} + m * s) / (n + s) AS rate, spread AND (failed_{r} + m * s) / (n + s) > m + {TAIL} * sqrt(m * (1 - m) / (s + 1)) AS suspect FROM h, s_{r})"""
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM d),
@@ -144,15 +167,15 @@ t AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WI
 x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t WHERE c IS NOT NULL),
 y AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM x, range(3) r(j) WHERE n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-l2 AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-m AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+l2 AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS n_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, coalesce(l2.n_lines, 0)::BIGINT AS n_lines,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(l2.n, 0)::BIGINT AS n_dup_lines, coalesce(y.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN y USING (doc_id) LEFT JOIN l2 USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h),
-s AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END, 2), 1000) AS s FROM p),
-v AS (SELECT source, (failed + m * s) / (n + s) <= 0.6 AS host_kept FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, TRUE) AS kept
-FROM f LEFT JOIN v USING (source)
+f AS (SELECT *, FAILS FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, COUNTS FROM f WHERE source IS NOT NULL GROUP BY source),PRIORS
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails_base AS base_failed,
+  NOT fails_base AND NOT coalesce(v_base.rate > 0.6 OR BAD, FALSE) AS kept
+FROM f JOINS
 """
+SQL = SQL.replace("FAILS", ", ".join(f"({rule}) AS fails_{r}" for r, rule in FAILS.items())).replace("COUNTS", ", ".join(f"count(*) FILTER (fails_{r}) AS failed_{r}" for r in FAILS))
+SQL = SQL.replace("PRIORS", ",".join(map(_prior_sql, FAILS))).replace("BAD", " OR ".join(f"(v_{r}.suspect AND fails_{r})" for r in RULES)).replace("JOINS", " ".join(f"LEFT JOIN v_{r} ON f.source = v_{r}.source" for r in FAILS))
