@@ -6,7 +6,9 @@ set, and the sketch of an item keeps as many of its smallest shingle hashes as i
 m the partition's largest size and t the least containment, floor((1 - t) m) + 1 minima. A document
 that holds the share t of the item lacks at most floor((1 - t) m) of its shingles, so it has one of
 these minima, and the search misses nothing. The sketches' hashes are joined to the documents' shingle
-hashes on the map side; candidates are verified on the shingles' strings themselves.
+hashes on the map side while their bytes are within a bound; beyond it a filter of one bit per place,
+which is of a fixed size, drops on the map side nearly all shingles that no item has, and the rest is
+joined by a shuffle. Candidates are verified on the shingles' strings themselves.
 
 A shingle is five words in lower case; an item or text with fewer words is one shingle. Native DataFrame
 functions only.
@@ -22,11 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, free_name, join_small, materialize
+from .common import WORD, free_name, join_small, materialize
 
 WORDS_PER_SHINGLE = 5
 #: Least share of an item's shingles, in per cent.
 LEAST = 80
+#: Bytes of the minima, at ROW bytes each, that are sent to every executor.
+BROADCAST_BYTES, ROW = 32 << 20, 96
+#: Places of the filter that stands before the shuffle where the minima are more: a bit each, 16 MB in all.
+PLACES, BUCKET = 1 << 27, 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -76,6 +82,19 @@ def sketches(items: DataFrame, least: int = LEAST) -> DataFrame:
     return hashed.select("k", "item", F.explode(F.when(F.col("k") == WORDS_PER_SHINGLE, mins).otherwise(short)).alias("h"))
 
 
+def filtered(rows: DataFrame, minima: DataFrame) -> DataFrame:
+    """The rows whose h may be one of the minima's: those whose place in a bit array of PLACES is set.
+
+    The array is PLACES / BUCKET rows at most, whatever the minima's number, and is sent to every executor.
+    """
+    place = F.pmod("h", F.lit(PLACES))
+    bits = minima.select(place.alias("place")).groupBy((F.col("place") / BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("place") % BUCKET).alias("bits"))
+    bits = materialize(bits, "filter")
+    at = rows.withColumn("place", place).withColumn("bucket", (F.col("place") / BUCKET).cast("int"))
+    byte = F.conv(F.hex(F.substr("bits", ((F.col("place") % BUCKET) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return at.join(F.broadcast(bits), "bucket").where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) of each document that holds at least `least` per cent of an item's shingles."""
     listed = materialize(item_shingles(benchmark, item_col, item_text), "listed")
@@ -84,7 +103,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     sketch = materialize(sketches(items, least), "sketch")
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # five numbers at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = sketch.count() * ROW <= BROADCAST_BYTES
     found = None
     for k in lengths:
         minima = sketch.where(F.col("k") == k).select("h", "item")
@@ -94,7 +113,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
             hits = rows.join(F.broadcast(minima), "h").select("doc_id", "text", "item").distinct()
         else:
             rows = texts.select(F.md5("text").alias("digest"), F.explode(F.array_distinct(hashes)).alias("h"))
-            pairs = rows.join(minima, "h").select("digest", "item").distinct()
+            pairs = filtered(rows, minima).join(minima, "h").select("digest", "item").distinct()
             hits = pairs.join(texts.withColumn("digest", F.md5("text")), "digest").select("doc_id", "text", "item").distinct()
         found = hits if found is None else found.unionAll(hits)
     schema = "doc_id long, item_id long, n_item int, n_shared int"
@@ -132,7 +151,7 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-s AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, list_slice(w, x, x + least(len(w), 5) - 1) AS s FROM i, range(1, 20000) r(x) WHERE x <= len(w) - least(len(w), 5) + 1 AND len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, list_slice(w, x, x + k - 1) AS s FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS x FROM i WHERE len(w) > 0)),
 k AS (SELECT DISTINCT k FROM s),
 t AS (SELECT DISTINCT doc_id, k, list_slice(w, x, x + k - 1) AS s FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS x FROM d, k)),
 n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)

@@ -219,6 +219,41 @@ def test_jaccard_without_first_links(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
+def test_jaccard_family_of_families(spark, monkeypatch):
+    """A hub whose members form families of families: differences from a pivot, group by group, must find every link."""
+    monkeypatch.setattr(jaccard, "PAIRED", 6)
+    random.seed(14)
+    words = [f"w{i}" for i in range(20000)]
+    base = [random.choice(words) for _ in range(240)]
+
+    def edited(w, n):
+        w = list(w)
+        for at in random.sample(range(len(w)), n):
+            w[at] = random.choice(words)
+        return w
+
+    rows = []
+    for size in (90, 30, 12):
+        branch = edited(base, 14)
+        for _ in range(3):
+            twig = edited(branch, 7)
+            rows += [(7 * len(rows) + i, " ".join(edited(twig, random.choice([0, 1, 3, 6])))) for i in range(size // 3)]
+    random.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows)
+
+
+def test_some_sets_need_neighbourhoods():
+    """The allocation leaves some sets of a band's largest size with too few segments; their one-deletion neighbourhoods serve them."""
+    lacking = 0
+    for seed in range(3000):
+        s = np.sort(np.random.default_rng(seed).integers(0, (1 << 64) - 1, 48, dtype=np.uint64))
+        number, _, high = jaccard.band(48)
+        lacking += len(jaccard.signatures(s, number, high)) < 48 // 4 + 1
+    assert 0 < lacking < 300
+
+
 def test_one_deletion_neighbourhoods_find_what_segments_miss():
     random.seed(4)
     for n in (40, 100):
@@ -316,6 +351,16 @@ def test_quality_hosts(spark):
     assert {r["doc_id"] for r in quality.keep(docs).collect()} == {k for k, v in found.items() if v}
 
 
+def test_quality_suspect_hosts(spark):
+    """Documents with many symbols go at the one host where they are common, and stay where they are rare; the same by duplicate lines."""
+    plain_text = " ".join(f"word{i}" for i in range(60))
+    signs, lines = plain_text + " # # # # # # #", "\n".join([plain_text, "again", "again", "again"])
+    rows = [(100 * h + i, signs if i < (60 if h == 3 else 2) else lines if i >= (50 if h == 4 else 98) else plain_text, "en", f"h{h}", 0) for h in range(12) for i in range(100)]
+    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    gone = {d for d, t, _, h, _ in rows if (h == "h3" and t == signs) or (h == "h4" and t == lines)}
+    assert {d for d, r in found.items() if not r["kept"]} == gone and not any(r["base_failed"] for r in found.values())
+
+
 def test_quality_odd_rows(odd, none):
     assert quality.judge(odd).count() == len(ODD)
     assert quality.keep(odd).columns == odd.columns
@@ -364,7 +409,7 @@ def test_containment_equals_brute_force(spark):
 def test_containment_by_shuffle_equals_broadcast(spark, folder, monkeypatch):
     docs, items = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.search(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert whole and sorted(map(tuple, decontaminate.search(docs, items).collect())) == whole
 
 
@@ -380,9 +425,9 @@ def test_containment_empty_tables(spark, none):
     assert decontaminate.search(none, some).count() == 0 and decontaminate.search(none, items).count() == 0
 
 
-@pytest.mark.parametrize("rows", [10_000, 0])
-def test_containment_of_items_without_or_with_repeated_ids(spark, monkeypatch, rows):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("size", [1 << 20, 0])
+def test_containment_of_items_without_or_with_repeated_ids(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
     a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
     items = spark.createDataFrame([(None, a), (1, b), (1, c), (1, c), (2, b)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {c} y"), (4, f"{b} {c}"), (5, "x y z")], "doc_id long, text string")
