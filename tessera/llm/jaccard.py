@@ -8,25 +8,20 @@ one of these at least. Segments that a set doesn't meet are never indexed. Each
 own band, and in the band below where its size lets it link to sets of that band.
 
 The allocation of the search is by cost. A set that meets c segments needs H + 1 of them, so it leaves
-out the c - H - 1 whose signatures are the most frequent. More segments would spare every set a lack but
-give each more signatures to shuffle; m is chosen so that about one set in a hundred of the band's largest
-size meets too few. Such a set searches as many segments as it lacks by their one-deletion neighbourhoods
-as well, and all sets of its band index theirs for these segments. The smallest sets are partitioned into
-single shingles.
+out the c - H - 1 whose signatures are the most frequent. More segments give a set more signatures to
+shuffle, but more frequent ones to leave out, which saves far more rows than it costs; so m is chosen six
+deviations above what a set needs. A set that meets too few all the same searches as many segments as it
+lacks by their one-deletion neighbourhoods, and all sets of its band index theirs for these segments. The
+smallest sets are partitioned into single shingles.
 
 Copies and groups. Equal sets are one class, collapsed within each task before anything is shuffled. Each
 class is first compared to one class of its buckets only (the smallest id, by most shared signatures);
 verified links contract the classes to components, and only pairs between different components are
 looked at after that, so that a large group of near copies costs a comparison for each member rather
-than each pair. Classes that share a good part of their signatures with a bucket's head are in one hub.
-A hub's members are compared to one member, the pivot, and stand for their differences from it: two sets
-that are linked, but not both to the pivot, have a difference in common, since otherwise their distances
-from the pivot add up. The differences are joined by the rarest of them (prefix filtering). One that many
-members have makes a group of its own with a pivot that has it, and is searched in the next round; so a
-family costs its members' differences, not its pairs. Classes of different hubs are searched by the
-signatures they share. No pair that could link two components is left out. Candidates are verified on the
-whole sets, by 64-bit hashes of the shingles; among n shingles two are mistaken for one another with a
-probability of n * n / 2 ** 65 at most.
+than each pair. Classes that share a good part of their signatures with a bucket's head are in one hub,
+and a hub's members are searched in blocks that put out only what a tight bound leaves; all others by the signatures they share. No pair that could
+link two components is left out. Candidates are verified on the whole sets, by 64-bit hashes of the
+shingles; among n shingles two are mistaken for one another with a probability of n * n / 2 ** 65 at most.
 
 Cases. NULL or empty text, or one without words: no shingles, linked with nothing, its own component.
 Fewer than five words: one shingle of all words. NULL id: in no component. Repeated rows: each has a
@@ -57,17 +52,15 @@ LEAST = 80
 SMALL = 32
 GROWTH = 1.5
 #: Deviations by which the expected number of segments that a set meets is above what it needs.
-MARGIN = 2.3
+MARGIN = 6.0
 #: Digests kept per task.
 MEMO = 200_000
 #: Bytes of texts whose shingles are made at a time; a longer text by itself.
 TEXTS = 1 << 22
 #: Most sets compared to one in a row, and most ids that are sent to every executor.
 RUN, IDS = 300, 500_000
-#: The share of its signatures, in per cent, that puts a class into the hub of a bucket's head.
-HUB = 20
-#: Holders of a difference that are joined pair by pair; more make a group with a pivot of its own.
-PAIRED = 24
+#: Members and bytes of bins in a hub's run, and the share of its signatures, in per cent, that puts a class into the hub of a bucket's head.
+BLOCK, RUN_BYTES, HUB = 4000, 4 << 20, 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -280,142 +273,142 @@ def similar(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, per cent). Rows come sorted by (a, run, member): first a's own set, then those to compare with it."""
-    for names, rows in _compared(batches):
-        out = [(a, b, similar(mine, s)) for (a, _, b), mine, s in rows]
+    key, mine = None, np.empty(0, np.uint64)
+    for b in batches:
+        out: list[tuple[int, int, float]] = []
+        for a, run, other, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            s = np.frombuffer(data.as_py(), np.uint64)
+            if other is None:
+                key, mine = (a, run), s
+            elif key == (a, run):
+                out.append((a, other, similar(mine, s)))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "percent"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Iterator[tuple[tuple, np.ndarray, np.ndarray]]]]:
-    """For each batch the (key columns, a's set, the member's set) of rows (..., run, member, elements); a set of a alone has no member."""
-    key, mine = None, np.empty(0, np.uint64)
-    for batch in batches:
-
-        def rows(b=batch):
-            nonlocal key, mine
-            for *head, other, data in zip(*[c.to_pylist() for c in b.columns[:-1]], b.columns[-1], strict=True):
-                s = np.frombuffer(data.as_py(), np.uint64)
-                if other is None:
-                    key, mine = head, s
-                elif key == head:
-                    yield (*head, other), mine, s
+def bins_of(n: int) -> int:
+    """Bins for the sets of a hub whose largest has n shingles: a power of two above n."""
+    return 1 << max(6, n.bit_length())
 
-        yield batch.schema.names, rows()
 
+def binned(s: np.ndarray, bins: int) -> bytes:
+    """The number of a set's shingles in each bin, in a byte each; larger numbers count as 255."""
+    return np.minimum(np.bincount((s % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, a, id, linked, apart): whether the member is linked to the pivot, and in which shingles it differs from it."""
-    for _, rows in _compared(batches):
-        out, lists = [], []
-        for (hub, a, _, b), mine, s in rows:
-            out.append((hub, a, b, similar(mine, s) >= LEAST))
-            lists.append(np.setxor1d(mine, s, assume_unique=True).view(np.int64))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], listed_arrays(lists)], names=["hub", "a", "id", "linked", "apart"])
 
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [binned(s, bins_of(n)) for n, s in zip(b.column(1).to_pylist(), shingle_sets(b.column(2)), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["id", "top", "bins"])
 
-def side_by_side(sets: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, run, b, elements) sorted so that the set of each a comes ahead of those of its b, for pairs (keys, b); the last key is a.
 
-    Each b travels once per pair, each a once per run of b's.
-    """
-    runs = pairs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    members = pairs.join(runs, keys).select(*keys, F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.col("b").alias("id"))
-    members = members.join(sets, "id").select(*keys, "run", F.col("id").alias("b"), "elements")
-    heads = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumn("id", F.col(keys[-1])).join(sets, "id")
-    both = members.unionAll(heads.select(*keys, "run", F.lit(None).cast("long").alias("b"), "elements"))
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, *keys, "run").sortWithinPartitions(*keys, "run", F.col("b").asc_nulls_first())
+class Run:
+    """Members of a hub's run: ids, components, sizes, and their bins in one array that grows by doubling."""
 
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.components: list[int] = []
+        self.sizes: list[int] = []
+        self.bins = np.empty((0, 0), np.uint8)
 
-def sets_of(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(id, elements) of the texts with these ids, written."""
-    return materialize(join_small(texts, ids, "id", "inner", IDS).select("id", "text").mapInArrow(_sets, "id long, elements binary"), f"{name}-sets")
+    def add(self, member: int, component: int, n: int, bins: np.ndarray) -> None:
+        k = len(self.ids)
+        if k == len(self.bins):
+            wider = np.empty((max(16, 2 * k), len(bins)), np.uint8)
+            if k:
+                wider[:k] = self.bins
+            self.bins = wider
+        self.bins[k] = bins
+        self.ids.append(member)
+        self.components.append(component)
+        self.sizes.append(n)
 
 
-def verify(texts: DataFrame, pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b, percent) of the pairs (a, b) of ids, written."""
-    pairs = materialize(pairs, f"{name}-pairs")
-    if sets is None:
-        ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
-        sets = sets_of(texts, ids, name)
-    return materialize(side_by_side(sets, pairs, ["a"]).mapInArrow(_verified, "a long, b long, percent double"), f"{name}-links")
+#: Bytes of differences of bins that are taken at a time.
+AT_ONCE = 1 << 22
 
 
-def banded(members: DataFrame) -> DataFrame:
-    """Members (hub, id, n), in a hub of its own for each band of sizes: linked sets share the smaller one's band, as in places()."""
-    number = F.size(F.filter(F.array(*[F.lit(h) for h in HIGHS]), lambda h: F.col("n") > h))
-    below = F.when((F.col("number") > 0) & (4 * F.col("n") <= 5 * F.get(F.array(*[F.lit(h) for h in HIGHS]), F.col("number") - 1)), F.col("number") - 1)
-    return members.withColumn("number", number).withColumn("band", F.explode(F.array_compact(F.array("number", below)))).select(F.concat_ws(":", "hub", "band").alias("hub"), "id", "n")
+def close_pairs(left: Run, right: Run | None) -> list[tuple[int, int]]:
+    """Pairs of different components between two runs, or within one, that may be linked.
 
+    The bins' differences bound the difference of two sets from below, tightly, as most bins have one
+    shingle or none; a pair beyond the largest difference of linked sets is none.
+    """
+    other = left if right is None else right
+    ids, component, size = np.array(other.ids), np.array(other.components), np.array(other.sizes)
+    step = max(1, AT_ONCE // max(1, other.bins.shape[1]))
+    out = []
+    for i, (key, group, n) in enumerate(zip(left.ids, left.components, left.sizes, strict=True)):
+        # sizes first: they bound the difference as well
+        some = np.flatnonzero((component != group) & (9 * np.abs(size - n) <= size + n))
+        if right is None:
+            some = some[some > i]
+        mine = left.bins[i]
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            theirs = other.bins[part]
+            apart = (np.maximum(theirs, mine) - np.minimum(theirs, mine)).sum(axis=1, dtype=np.int64)
+            out += [(key, x) for x in ids[part[9 * apart <= size[part] + n]].tolist()]
+    return out
 
-def several(members: DataFrame, *keys: str) -> DataFrame:
-    """The keys under which members of several components stand, with their number."""
-    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("head")).where("x < y").drop("x", "y")
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) between the components of a hub; rows (hub, i, j, run, id, component, n, bins) come sorted by their block."""
+    key, sides = None, (Run(), Run())
 
-def hub_links(texts: DataFrame, members: DataFrame, one: DataFrame) -> DataFrame:
-    """Links (a, b) that, with those behind the components `one`, join all that are linked within each hub of the members (hub, id, n).
+    def pairs() -> pa.RecordBatch:
+        found = []
+        if sides[0].ids and (key[1] == key[2] or sides[1].ids):
+            found = close_pairs(sides[0], None if key[1] == key[2] else sides[1])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    Round by round: each group's members are compared to its pivot; then those with a rare difference
-    in common are compared, and those with a frequent one make the groups of the next round.
+    for b in batches:
+        numbers = [c.to_pylist() for c in b.columns[:-1]]
+        for at, (hub, i, j, run, member, component, n) in enumerate(zip(*numbers, strict=True)):
+            if key != (hub, i, j):
+                if key:
+                    yield pairs()
+                key, sides = (hub, i, j), (Run(), Run())
+            sides[0 if run == i else 1].add(member, component, n, np.frombuffer(b.column(7)[at].as_buffer(), np.uint8))
+    if key:
+        yield pairs()
+
+
+def hub_pairs(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of different components of each hub's members (hub, id, component, n) that may be linked, block by block.
+
+    A hub's members are dealt into runs of bounded bytes, and each pair of runs is a block. Members travel
+    as bins, a fraction of their sets; pairs live in a block's task only, but for those the bins leave.
     """
-    spark = texts.sparkSession
-    at = lambda df: df.join(one, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = at(banded(members))
-    # the first pivot: the smallest member of the group's largest component
-    sizes = groups.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
-    pivots = sizes.groupBy("hub").agg(F.max(F.struct("k", (-F.col("least")).alias("minus"))).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub", (-F.col("m.minus")).alias("pivot"))
-    groups = materialize(groups.join(pivots, "hub").select("hub", "pivot", "id", "n"), "groups")
-    sets = sets_of(texts, materialize(groups.select("id").distinct(), "hub-ids"), "hub")
-    found = None
-    while groups.limit(1).count():
-        pairs = groups.where("id <> pivot").select("hub", F.col("pivot").alias("a"), F.col("id").alias("b"))
-        apart = materialize(side_by_side(sets, pairs, ["hub", "a"]).mapInArrow(_apart, "hub string, a long, id long, linked boolean, apart array<bigint>"), "apart")
-        links = apart.where("linked").select("a", F.col("id").alias("b"))
-        found = links if found is None else found.unionAll(links)
-        # what is linked to the pivot counts as of its component from here on
-        central = at(groups.select("hub", F.col("pivot").alias("id")).distinct()).select("hub", F.col("component").alias("central"))
-        rows = at(apart.join(groups.select("hub", "id", "n"), ["hub", "id"])).join(central, "hub").withColumn("component", F.when(F.col("linked"), F.col("central")).otherwise(F.col("component")))
-        rows = materialize(rows.select("hub", "id", "n", "component", F.size("apart").alias("d"), F.explode("apart").alias("e")), "differences")
-        shared = several(rows, "hub", "e")
-        rows = rows.join(shared, ["hub", "e"])
-        # linked sets have at least d - n / 4 differences in common, and one at least: the rarest tell
-        need = F.greatest(F.ceil(F.col("d") - F.col("n") / 4), F.lit(1))
-        mine = rows.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("left"))
-        place = F.row_number().over(Window.partitionBy("hub", "id").orderBy("often", "e"))
-        probes = rows.withColumn("place", place).join(mine, ["hub", "id"]).where(F.col("place") <= F.col("left") - need + 1)
-        probes = materialize(probes.select("hub", "e", "id", "n", "component", "often", "head"), "probes-apart")
-        few = probes.where(F.col("often") <= PAIRED).select("hub", "e", "id", "n", "component")
-        b = few.select("hub", "e", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-        near = (4 * F.col("n") <= 5 * F.col("m")) & (4 * F.col("m") <= 5 * F.col("n"))
-        close = few.join(b, ["hub", "e"]).where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & near)
-        more = verify(texts, close.select(F.col("id").alias("a"), "b").distinct(), "close", sets).where(F.col("percent") >= LEAST).select("a", "b")
-        found = found.unionAll(more)
-        one = merged_components(spark, one, links.unionAll(more))
-        # a frequent difference's holders, with the smallest of them as the pivot; equal groups of one head are one
-        many = probes.where(F.col("often") > PAIRED).select(F.concat_ws("/", F.substring_index("hub", "/", 1), "head").alias("hub"), F.col("head").alias("pivot"), "id", "n").distinct()
-        many = materialize(many, "many")
-        heads = many.select("hub", "pivot").distinct().withColumn("id", F.col("pivot"))
-        many = many.unionByName(heads.join(sizes_of(groups), "id").select("hub", "pivot", "id", "n")).distinct()
-        some = several(at(many.select("hub", "id", "n")), "hub").select("hub")
-        groups = materialize(many.join(some, "hub"), "groups")
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
-
-
-def sizes_of(groups: DataFrame) -> DataFrame:
-    """(id, n) of the members of groups."""
-    return groups.select("id", "n").distinct()
-
-
-def merged_components(spark, one: DataFrame, links: DataFrame) -> DataFrame:
-    """The components (id, component) `one` with the links (a, b) added."""
-    if not links.limit(1).count():
-        return one
-    at = lambda df, x: df.join(one.select(F.col("id").alias(x), F.col("component").alias("to")), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
-    two = components(spark, at(at(links, "a"), "b").where("a <> b"), "merged").select("id", F.col("component").alias("final"))
-    moved = one.join(two.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("final", "component").alias("component"))
-    fresh = two.join(one, "id", "left_anti").select("id", F.col("final").alias("component"))
-    return materialize(moved.unionAll(fresh), "components-of-links")
+    # linked sets share the smaller one's band, as in places(); a hub is searched band by band
+    number = F.size(F.filter(F.array(*[F.lit(h) for h in HIGHS]), lambda h: F.col("n") > h))
+    below = F.when((F.col("number") > 0) & (4 * F.col("n") <= 5 * F.get(F.array(*[F.lit(h) for h in HIGHS]), F.col("number") - 1)), F.col("number") - 1)
+    banded = members.withColumn("number", number).withColumn("band", F.explode(F.array_compact(F.array("number", below))))
+    members = materialize(banded.select(F.concat_ws(":", "hub", "band").alias("hub"), "id", "component", "n"), "hub-banded")
+    some = members.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    runs = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("k") * F.col("top") * 2 / RUN_BYTES)).cast("int")
+    members = materialize(members.join(some.select("hub", "top", runs.alias("runs")), "hub").select("hub", "id", "component", "n", "top", F.pmod(F.xxhash64("id"), F.col("runs")).cast("int").alias("run"), "runs"), "hub-members")
+    ids = materialize(members.select("id", F.col("top").cast("int").alias("top")).distinct(), "hub-ids")
+    bins = materialize(join_small(texts, ids, "id", "inner", IDS).select("id", "top", "text").mapInArrow(_binned, "id long, top int, bins binary"), "hub-bins")
+    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    placed = placed.select("hub", F.least("run", "other").alias("i"), F.greatest("run", "other").alias("j"), "run", "id", "component", "n", "top").join(bins, ["id", "top"])
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.select("hub", "i", "j", "run", "id", "component", "n", "bins").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return materialize(ordered.mapInArrow(_blocks, "a long, b long"), "hub-pairs").distinct()
+
+
+def verify(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(a, b, percent) of the pairs (a, b) of ids, written. Each b travels once per pair, each a once per run of b's."""
+    pairs = materialize(pairs, f"{name}-pairs")
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    sets = materialize(join_small(texts, ids, "id", "inner", IDS).select("id", "text").mapInArrow(_sets, "id long, elements binary"), f"{name}-sets")
+    runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+    members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.col("b").alias("id"))
+    members = members.join(sets, "id").select("a", "run", F.col("id").alias("b"), "elements")
+    heads = runs.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")).join(sets, "id")
+    both = members.unionAll(heads.select(F.col("id").alias("a"), "run", F.lit(None).cast("long").alias("b"), "elements"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(n, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+    return materialize(ordered.mapInArrow(_verified, "a long, b long, percent double"), f"{name}-links")
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -479,12 +472,11 @@ def link_components(docs: DataFrame) -> DataFrame:
     one = components(spark, compared.where(F.col("percent") >= LEAST).select("a", "b"), "first")
     hubs = components(spark, close.select(F.col("head").alias("a"), F.col("id").alias("b")), "hubs").select("id", F.col("component").alias("hub"))
 
-    # all that may link two components: within a hub by differences from its pivots, between hubs by what the classes share
-    member = sizes.select("id", "n").join(known.select("id").distinct(), "id", "left_semi").join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id"))
-    member = materialize(member, "hubs")
-    one = merged_components(spark, one, hub_links(texts, member.withColumn("hub", F.col("hub").cast("string")), one))
+    # all that may link two components: within a hub block by block, between hubs by what the classes share
     at = lambda df: df.join(one.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = materialize(at(member).select("id", "hub", "component"), "placed")
+    gathered = materialize(at(sizes.select("id", "n").join(known.select("id").distinct(), "id", "left_semi").join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id"))), "hubs")
+    inside = hub_pairs(texts, gathered)
+    placed = gathered.select("id", "hub", "component")
     indexed = materialize(known.select("sig", "id", "n").join(placed, "id"), "indexed")
     mixed_sigs = indexed.groupBy("sig").agg(F.min(F.struct("component", "hub")).alias("x"), F.max(F.struct("component", "hub")).alias("y")).where("x.component < y.component").select("sig")
     indexed = materialize(indexed.join(mixed_sigs, "sig", "left_semi"), "mixed")
@@ -498,8 +490,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     pairs = across.join(indexed.alias("i"), same & fits & near)
     pairs = pairs.groupBy("q.a", F.col("i.id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("q.kept").alias("kept"), F.first(F.col("q.m") + F.col("i.n")).alias("both"))
     pairs = pairs.where(F.col("k") >= F.col("kept") - F.floor(F.col("both") / 9)).select("a", "b")
-    more = verify(texts, pairs, "more").where(F.col("percent") >= LEAST).select("a", "b")
-    last = merged_components(spark, one, more)
+    more = verify(texts, pairs.unionAll(inside), "more").where(F.col("percent") >= LEAST).select("a", "b")
+    joined = at(more.select(F.col("a").alias("id"), "b")).select(F.col("component").alias("a"), F.col("b").alias("id"))
+    joined = at(joined).select("a", F.col("component").alias("b"))
+    two = components(spark, joined, "more").select(F.col("id").alias("component"), F.col("component").alias("final"))
+    last = one.join(two, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+    last = last.unionAll(two.join(one, two["component"] == one["id"], "left_anti").select(F.col("component").alias("id"), F.col("final").alias("component")))
     found = classes.join(last.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
     found = materialize(found, "components")
     return rows.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))

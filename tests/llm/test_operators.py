@@ -220,8 +220,9 @@ def test_jaccard_without_first_links(spark, monkeypatch):
 
 
 def test_jaccard_family_of_families(spark, monkeypatch):
-    """A hub whose members form families of families: differences from a pivot, group by group, must find every link."""
-    monkeypatch.setattr(jaccard, "PAIRED", 6)
+    """A hub whose members form families of families, in more runs than one, and bins compared a few at a time."""
+    monkeypatch.setattr(jaccard, "BLOCK", 25)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 2000)
     random.seed(14)
     words = [f"w{i}" for i in range(20000)]
     base = [random.choice(words) for _ in range(240)]
@@ -244,14 +245,17 @@ def test_jaccard_family_of_families(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows)
 
 
-def test_some_sets_need_neighbourhoods():
-    """The allocation leaves some sets of a band's largest size with too few segments; their one-deletion neighbourhoods serve them."""
-    lacking = 0
-    for seed in range(3000):
-        s = np.sort(np.random.default_rng(seed).integers(0, (1 << 64) - 1, 48, dtype=np.uint64))
-        number, _, high = jaccard.band(48)
-        lacking += len(jaccard.signatures(s, number, high)) < 48 // 4 + 1
-    assert 0 < lacking < 300
+def test_sets_with_too_few_segments(spark, monkeypatch):
+    """With segments chosen just above need, sets lack some; their one-deletion neighbourhoods find the links then."""
+    monkeypatch.setattr(jaccard, "MARGIN", 0.0)
+    jaccard.segments_of.cache_clear()
+    try:
+        rows = near_rows(15, (33, 36, 40, 50, 70))
+        found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        lacking = [s for s in (jaccard.shingles(t) for _, t in rows) if jaccard.segments_of(jaccard.band(len(s))[2]) and len(jaccard.signatures(s, *jaccard.band(len(s))[::2])) < len(s) // 4 + 1]
+    finally:
+        jaccard.segments_of.cache_clear()
+    assert lacking and {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows)
 
 
 def test_one_deletion_neighbourhoods_find_what_segments_miss():
