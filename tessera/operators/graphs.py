@@ -63,10 +63,64 @@ def to_fixpoint(first: DataFrame, step: Callable[[DataFrame], DataFrame], rounds
     raise ValueError(f"no fixpoint after {rounds} rounds")
 
 
+def squared(pairs: DataFrame) -> DataFrame:
+    """The closure of pairs by squaring: each round doubles the steps covered, so a path of n steps takes log2(n) rounds."""
+    known, n = write_once(pairs), None
+    for _ in range(ROUNDS):
+        size = known.count()
+        if size == n:
+            return known
+        hop = known.select(F.col("src").alias("__mid"), F.col("dst").alias("__to"))
+        longer = known.join(hop, known["dst"] == hop["__mid"]).select("src", F.col("__to").alias("dst"))
+        known, n = write_once(known.unionAll(longer).distinct()), size
+    raise ValueError(f"no fixpoint after {ROUNDS} rounds")
+
+
+def shortest_paths(edges: DataFrame, root: int) -> DataFrame:
+    """(id, steps, path): a shortest path from a root to each vertex, its vertices in order; among equals the smallest predecessor's.
+
+    Breadth first; only predecessors are carried from round to round, and paths are put together last.
+    """
+    hop = write_once(edges.select("src", "dst").distinct())
+    kind = edges.schema["src"].dataType
+    seen = frontier = write_once(edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(0).alias("steps"), F.array(F.lit(root).cast(kind)).alias("path")))
+    for steps in range(1, ROUNDS):
+        reached = frontier.join(hop, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min_by("path", "src").alias("way"))
+        frontier = write_once(reached.join(seen.select(F.col("id").alias("to")), "to", "left_anti").select(F.col("to").alias("id"), F.lit(steps).alias("steps"), F.concat("way", F.array("to")).alias("path")))
+        if not frontier.limit(1).count():
+            return seen
+        seen = write_once(seen.unionAll(frontier))
+    raise ValueError("too many steps")
+
+
+def weighted_distances(edges: DataFrame, root: int) -> DataFrame:
+    """(id, weight): the least sum of weights over the paths from a root; edges (src, dst, weight) with weights of 0 or more."""
+    kind = edges.schema["src"].dataType
+    known = new = write_once(edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(0).cast("decimal(38,2)").alias("weight")))
+    hop = edges.select("src", "dst", F.col("weight").cast("decimal(38,2)").alias("w"))
+    for _ in range(ROUNDS):
+        found = new.join(hop, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("weight") + F.col("w")).cast("decimal(38,2)").alias("weight"))
+        # only what got nearer goes on
+        old = known.select("id", F.col("weight").alias("was"))
+        new = write_once(found.join(old, "id", "left").where("was IS NULL OR weight < was").select("id", "weight"))
+        if not new.limit(1).count():
+            return known
+        known = write_once(known.unionAll(new).groupBy("id").agg(F.min("weight").alias("weight")))
+    raise ValueError("too many rounds")
+
+
+def complement(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The pairs of different vertices (id) without an edge between them; as many as vertices squared, which is its feature."""
+    a, b = vertices.select(F.col("id").alias("src")), vertices.select(F.col("id").alias("dst"))
+    return a.join(b, F.col("src") != F.col("dst")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
 def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(src, dst): what is reached in one or more steps, from the roots (id) alone if given."""
     pairs = edges.select("src", "dst").distinct()
-    first = pairs if roots is None else pairs.join(roots.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
+    if roots is None:
+        return squared(pairs)
+    first = pairs.join(roots.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
     hop = pairs.select(F.col("src").alias("__mid"), F.col("dst").alias("__to"))
     return to_fixpoint(first, lambda new: new.join(hop, new["dst"] == hop["__mid"]).select("src", F.col("__to").alias("dst")))
 

@@ -12,19 +12,27 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine in local mode (tests), and an error on a cluster."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors have no folder in common")
         place = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, dropped when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def write_once(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back, which cuts its lineage; dropped when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-table-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

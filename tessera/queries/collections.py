@@ -103,14 +103,14 @@ def bag_duplicates(t):
     return t.lineitem.groupBy("l_suppkey", "l_partkey").count().where("count > 1").drop("count")
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 50")
 def set_difference(t):
-    return t.customer.select(F.col("c_nationkey").alias("k")).subtract(t.supplier.where("s_suppkey < 20").select("s_nationkey"))
+    return t.part.select(F.col("p_partkey").alias("k")).subtract(t.lineitem.where("l_quantity = 50").select("l_partkey"))
 
 
-@query("(SELECT c_nationkey AS k FROM customer WHERE c_custkey < 20 EXCEPT SELECT s_nationkey FROM supplier) UNION (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 20)")
+@query("(SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') UNION (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def set_symmetric_difference(t):
-    return bags.symmetric_difference(t.customer.where("c_custkey < 20").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
+    return bags.symmetric_difference(*[t.lineitem.where(F.col("l_returnflag") == x).select(F.col("l_partkey").alias("k")) for x in "RA"])
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_quantity < 10 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20")

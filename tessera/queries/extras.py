@@ -40,9 +40,9 @@ def complement_count(t):
     return laws.count_complement(t.lineitem, F.col("l_quantity") > 25)
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT (SELECT s_nationkey FROM supplier WHERE s_suppkey < 30 UNION SELECT c_nationkey FROM customer WHERE c_custkey < 10)")
+@query("SELECT p_partkey AS k FROM part EXCEPT (SELECT l_partkey FROM lineitem WHERE l_quantity = 50 UNION SELECT p_partkey FROM part WHERE p_size < 10)")
 def difference_of_union(t):
-    return laws.difference_of_union(t.nation.select(F.col("n_nationkey").alias("k")), [t.supplier.where("s_suppkey < 30").select("s_nationkey"), t.customer.where("c_custkey < 10").select("c_nationkey")])
+    return laws.difference_of_union(t.part.select(F.col("p_partkey").alias("k")), [t.lineitem.where("l_quantity = 50").select("l_partkey"), t.part.where("p_size < 10").select("p_partkey")])
 
 
 @query("SELECT k, sum(n)::BIGINT AS n FROM (SELECT c_nationkey AS k, 1 AS n FROM customer UNION ALL SELECT s_nationkey, 1 FROM supplier) GROUP BY k")
@@ -72,10 +72,10 @@ def left_join_counts(t):
     return t.customer.select("c_custkey").join(n, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("SELECT coalesce(c_nationkey, s_nationkey) AS k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT c_nationkey, count(*) AS a FROM customer WHERE c_custkey < 30 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS b FROM supplier WHERE s_suppkey < 30 GROUP BY 1) ON c_nationkey = s_nationkey", origin="driver")
+@query("SELECT coalesce(o_custkey, c_custkey) AS k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT o_custkey, count(*) AS a FROM orders GROUP BY 1) FULL JOIN (SELECT c_custkey, count(*) AS b FROM customer WHERE c_acctbal < 0 GROUP BY 1) ON o_custkey = c_custkey", origin="driver")
 def full_join_counts(t):
-    a = t.customer.where("c_custkey < 30").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("a"))
-    b = t.supplier.where("s_suppkey < 30").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("b"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("a"))
+    b = t.customer.where("c_acctbal < 0").groupBy(F.col("c_custkey").alias("k")).agg(F.count(F.lit(1)).alias("b"))
     return a.join(b, "k", "full").select("k", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
 
 

@@ -1,21 +1,31 @@
-"""Graphs made of the tables: nations that customers and suppliers link, and small fixed graphs."""
+"""Graphs made of whole tables: each customer's orders in a row, nations that orders link, and small fixed graphs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
+from ..plans.tables import write_once
 from ..registry import query
 
-#: Edges between suppliers and parts of one order of the catalogue.
-_EDGES = "e AS (SELECT DISTINCT l_suppkey % 30 AS src, l_partkey % 30 AS dst FROM lineitem WHERE l_quantity = 1 AND l_suppkey % 30 < l_partkey % 30 AND l_orderkey % 40 = 0)"
+#: From each order to the next one of its customer in the same year; all orders.
+_EDGES = "e AS (SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL)"
+_OPEN = "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')"
+#: The nations of a customer and of a supplier of one order, the smaller first; all orders.
+_NATIONS = "e AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS src, greatest(c_nationkey, s_nationkey) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)"
 
 
 def _edges(t):
-    s, d = F.col("l_suppkey") % 30, F.col("l_partkey") % 30
-    return t.lineitem.where((F.col("l_quantity") == 1) & (s < d) & (F.col("l_orderkey") % 40 == 0)).select(s.alias("src"), d.alias("dst")).distinct()
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey", F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey"))
+    return t.orders.select(F.col("o_orderkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
 
 
 def _some(t):
-    return t.spark.range(0, 30, 2)
+    return t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
+
+
+def _nations(t):
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(F.least("c_nationkey", "s_nationkey").alias("src"), F.greatest("c_nationkey", "s_nationkey").alias("dst")).where("src < dst").distinct()
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM e UNION SELECT dst, src FROM e")
@@ -23,31 +33,31 @@ def graph_symmetrized(t):
     return G.symmetrized(_edges(t))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src % 2 = 0 AND dst % 2 = 0")
+@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src IN {_OPEN} AND dst IN {_OPEN}")
 def graph_induced(t):
     return G.induced(_edges(t), _some(t)).select("src", "dst")
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src % 2 = 1 AND dst % 2 = 1")
+@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src NOT IN {_OPEN} AND dst NOT IN {_OPEN}")
 def graph_without_vertices(t):
     return G.without_vertices(_edges(t), _some(t)).select("src", "dst")
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE (src % 2 = 0) <> (dst % 2 = 0)")
+@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE (src IN {_OPEN}) <> (dst IN {_OPEN})")
 def graph_edge_cut(t):
     return G.edge_cut(_edges(t), _some(t)).select("src", "dst")
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < 10")
+@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < dst")
 def graph_restrict(t):
     e = _edges(t)
-    return e.join(e.where("src < 10"), ["src", "dst"], "left_semi")
+    return e.join(e.where("src < dst"), ["src", "dst"], "left_semi")
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE NOT src < 10")
+@query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE NOT src < dst")
 def graph_delete_edges(t):
     e = _edges(t)
-    return e.join(e.where("src < 10"), ["src", "dst"], "left_anti")
+    return e.join(e.where("src < dst"), ["src", "dst"], "left_anti")
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT src // 3 AS src, dst // 3 AS dst FROM e")
@@ -55,9 +65,9 @@ def graph_relabel(t):
     return _edges(t).select(F.expr("src div 3").alias("src"), F.expr("dst div 3").alias("dst")).distinct()
 
 
-@query(f"WITH {_EDGES}, n AS (SELECT src * 100 + dst AS eid, src, dst FROM e) SELECT DISTINCT a.eid AS a, b.eid AS b FROM n a JOIN n b ON a.eid < b.eid AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))")
+@query(f"WITH {_EDGES}, n AS (SELECT src AS eid, src AS v FROM e UNION ALL SELECT src, dst FROM e) SELECT DISTINCT a.eid AS a, b.eid AS b FROM n a JOIN n b ON a.v = b.v AND a.eid < b.eid")
 def graph_line(t):
-    return G.line_graph(_edges(t).withColumn("eid", F.col("src") * 100 + F.col("dst")))
+    return G.line_graph(_edges(t).withColumn("eid", F.col("src")))
 
 
 @query(f"WITH {_EDGES} SELECT v, count(*) AS degree FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY v")
@@ -65,14 +75,14 @@ def graph_incidence(t):
     return _edges(t).select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query(f"WITH {_EDGES}, v AS (SELECT src AS v FROM e UNION SELECT dst FROM e) SELECT src AS v FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) GROUP BY src HAVING count(*) = (SELECT count(*) - 1 FROM v)")
+@query(f"WITH {_NATIONS}, v AS (SELECT src AS v FROM e UNION SELECT dst FROM e) SELECT src AS v FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) GROUP BY src HAVING count(*) = (SELECT count(*) - 1 FROM v)")
 def graph_universal_vertices(t):
-    both = G.symmetrized(_edges(t))
+    both = G.symmetrized(_nations(t))
     n = both.select("src").distinct().agg(F.count(F.lit(1)).alias("n"))
     return both.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.col("k") == F.col("n") - 1).select("v")
 
 
-@query(f"WITH {_EDGES} SELECT count(*) FILTER (src % 2 = 1 AND dst % 2 = 1) = 0 AS covers FROM e")
+@query(f"WITH {_EDGES} SELECT count(*) FILTER (src NOT IN {_OPEN} AND dst NOT IN {_OPEN}) = 0 AS covers FROM e")
 def graph_vertex_cover(t):
     return G.without_vertices(_edges(t), _some(t)).agg((F.count(F.lit(1)) == 0).alias("covers"))
 
@@ -87,15 +97,44 @@ def graph_closure(t):
     return G.closure(_edges(t))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT dst FROM e WHERE src IN (0, 1) UNION SELECT e.dst FROM r JOIN e ON r.id = e.src) SELECT DISTINCT id FROM r")
+@query(f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT dst FROM e WHERE src IN {_OPEN} UNION SELECT e.dst FROM r JOIN e ON r.id = e.src) SELECT DISTINCT id FROM r")
 def graph_dependencies_below(t):
-    roots = t.spark.range(2)
-    return G.closure(_edges(t), roots).select(F.col("dst").alias("id")).distinct()
+    return G.closure(_edges(t), _some(t)).select(F.col("dst").alias("id")).distinct()
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r(id, steps) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON r.id = e.src WHERE r.steps < 30) SELECT id, min(steps) AS steps FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {_EDGES}, r(id, steps) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON r.id = e.src) SELECT id, min(steps) AS steps FROM r GROUP BY id")
 def graph_distances(t):
-    return G.distances(_edges(t), 0)
+    edges = _edges(t)
+    return G.distances(edges, edges.agg(F.min("src")).first()[0])
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(id, steps, path) AS (SELECT min(src), 0, min(src)::VARCHAR FROM e UNION ALL SELECT e.dst, r.steps + 1, r.path || ',' || e.dst FROM r JOIN e ON r.id = e.src) SELECT id, steps, path FROM r")
+def graph_shortest_paths(t):
+    """A shortest path from the least vertex to each that it reaches, with its vertices."""
+    edges = _edges(t)
+    found = G.shortest_paths(edges, edges.agg(F.min("src")).first()[0])
+    return found.select("id", "steps", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst, min(CAST(l_quantity AS DECIMAL(18,2))) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus = 'P' GROUP BY ALL), r(id, w, k) AS (SELECT 0, 0::DECIMAL(18,2), 0 UNION ALL SELECT id, min(w), k FROM (SELECT e.dst AS id, (r.w + e.w)::DECIMAL(18,2) AS w, r.k + 1 AS k FROM r JOIN e ON r.id = e.src WHERE r.k < 6) GROUP BY ALL) SELECT id, min(w)::DOUBLE AS weight FROM r GROUP BY id")
+def graph_weighted_distances(t):
+    """The least sum of quantities over paths of nations from nation 0, an edge weighing its smallest quantity."""
+    rows = t.lineitem.join(t.orders.where("o_orderstatus = 'P'"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = rows.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.min("l_quantity").alias("weight"))
+    return G.weighted_distances(edges, 0).select("id", F.col("weight").cast("double").alias("weight"))
+
+
+@query("WITH e AS (SELECT DISTINCT n_regionkey * 5 + n_nationkey % 5 AS src, n_nationkey AS dst FROM nation) SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = a.n_nationkey AND e.dst = b.n_nationkey)")
+def graph_complement(t):
+    """Pairs of nations without an edge."""
+    n = t.nation
+    edges = n.select((F.col("n_regionkey") * 5 + F.col("n_nationkey") % 5).alias("src"), F.col("n_nationkey").alias("dst")).distinct()
+    return G.complement(edges, n.select(F.col("n_nationkey").alias("id")))
+
+
+@query(f"WITH {_EDGES} SELECT a.src, c.dst, count(*) AS n FROM e a JOIN e c ON a.dst = c.src GROUP BY ALL")
+def graph_walks_of_two(t):
+    return G.walks(_edges(t), 2)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, c) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src) SELECT id, min(c) AS component FROM r GROUP BY id")
@@ -137,8 +176,13 @@ def fixed_points(t):
 @query("WITH RECURSIVE p(i, x) AS (SELECT 0, 27::BIGINT UNION ALL SELECT i + 1, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT max(i)::BIGINT AS steps FROM p")
 def iterate_to_fixpoint(t):
     """Iterating a map from one value until it stays: a recursive query."""
-    t.spark.conf.set("spark.sql.cteRecursionLevelLimit", "500")
-    return t.spark.sql("WITH RECURSIVE p(i, x) AS (SELECT 0, 27L UNION ALL SELECT i + 1, CASE WHEN x % 2 = 0 THEN x div 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT CAST(max(i) AS BIGINT) AS steps FROM p")
+    key = "spark.sql.cteRecursionLevelLimit"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "500")
+    try:
+        return write_once(t.spark.sql("WITH RECURSIVE p(i, x) AS (SELECT 0, 27L UNION ALL SELECT i + 1, CASE WHEN x % 2 = 0 THEN x div 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT CAST(max(i) AS BIGINT) AS steps FROM p"))
+    finally:
+        t.spark.conf.set(key, before)
 
 
 _TREE = "t(path, v) AS (SELECT * FROM (VALUES ('1', 8), ('10', 3), ('11', 10), ('100', 1), ('101', 6), ('111', 14)) x(path, v))"

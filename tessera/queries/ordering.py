@@ -55,7 +55,7 @@ def covers(t):
 
 
 @query("SELECT user_id, max(run) AS longest FROM (SELECT user_id, count(*) AS run FROM (SELECT user_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN value > lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, g) GROUP BY user_id")
-def longest_rising_chain(t):
+def longest_rising_run(t):
     """The longest run of rising neighbours."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     brk = t.events.withColumn("brk", F.when(F.col("value") > F.lag("value").over(w), 0).otherwise(1))
@@ -106,10 +106,10 @@ def top_two_per_supplier(t):
     return t.lineitem.select("l_orderkey", F.row_number().over(w).cast("long").alias("l_shipmode_rank")).where("l_shipmode_rank <= 2")
 
 
-@query("SELECT text, lang, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS duplicate FROM (SELECT left(text, 20) AS text, lang, doc_id FROM documents)")
+@query("SELECT text, lang, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS duplicate FROM documents")
 def marked_duplicates(t):
     """Sorted insertion that marks later duplicates."""
-    d = t.documents.select(F.left("text", F.lit(20)).alias("text"), "lang", "doc_id")
+    d = t.documents.select("text", "lang", "doc_id")
     return d.withColumn("duplicate", F.row_number().over(Window.partitionBy(F.md5("text")).orderBy("doc_id")) > 1)
 
 

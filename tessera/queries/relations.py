@@ -118,13 +118,13 @@ def not_covered(t):
     return t.supplier.join(t.customer, near, "left_anti").select("s_suppkey")
 
 
-@query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value FROM events) SELECT a.user_id AS x, b.user_id AS y FROM e a JOIN e b ON a.i = b.i AND a.user_id < b.user_id AND a.i <= 3 WHERE a.user_id < 40 AND b.user_id < 40 GROUP BY ALL HAVING count(*) = 3 AND max(abs(a.value - b.value)) < 40")
+@query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value FROM events) SELECT a.user_id AS x, b.user_id AS y FROM e a JOIN e b ON a.i = b.i AND a.user_id < b.user_id AND a.i <= 3 AND abs(a.value - b.value) < 4 GROUP BY ALL HAVING count(*) = 3")
 def dynamical_entourage(t):
-    """Pairs that stay close for the first three steps of their orbits."""
-    e = t.events.where("user_id < 40").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 3")
-    a, b = e.alias("a"), e.alias("b")
-    both = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.user_id") < F.col("b.user_id")))
-    return both.groupBy(F.col("a.user_id").alias("x"), F.col("b.user_id").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a.value") - F.col("b.value"))).alias("far")).where("n = 3 AND far < 40").select("x", "y")
+    """Pairs that stay close for the first three steps of their orbits: a join by step and by cells as wide as the bound, next cells included."""
+    e = t.events.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 3").select("user_id", "i", "value", F.floor(F.col("value") / 4).alias("cell"))
+    a, b = e.alias("a"), e.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("b")
+    both = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.user_id") < F.col("b.user_id")) & (F.abs(F.col("a.value") - F.col("b.value")) < 4))
+    return both.groupBy(F.col("a.user_id").alias("x"), F.col("b.user_id").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("x", "y")
 
 
 @query("SELECT bool_and(b.r_regionkey IS NOT NULL) AS preserved FROM nation a LEFT JOIN region b ON a.n_regionkey = b.r_regionkey")

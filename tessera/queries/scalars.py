@@ -7,11 +7,11 @@ from ..functions import maths as M
 from ..functions import strings as S
 from ..registry import query
 
-_NUMBERS = "n AS (SELECT p_partkey AS n FROM part WHERE p_partkey <= 200)"
+_NUMBERS = "n AS (SELECT p_partkey AS n FROM part)"
 
 
 def _n(t):
-    return t.part.where("p_partkey <= 200").select(F.col("p_partkey").cast("long").alias("n"))
+    return t.part.select(F.col("p_partkey").cast("long").alias("n"))
 
 
 @query("SELECT n_nationkey, repeat('*', greatest(12 - length(n_name), 0)) || n_name AS l, n_name || repeat('.', greatest(12 - length(n_name), 0)) AS r, repeat('x', 3) AS x, starts_with(n_name, 'A') AS a, ends_with(n_name, 'A') AS z, left(n_name, 1) AS head, repeat(' ', (greatest(15 - length(n_name), 0) // 2)::INT) || n_name || repeat(' ', (greatest(15 - length(n_name), 0) - greatest(15 - length(n_name), 0) // 2)::INT) AS c FROM nation")
@@ -84,12 +84,12 @@ def bit_indices(t):
     return _n(t).select("n", F.array_join(F.transform(M.bit_indices(F.col("n")), lambda i: i.cast("string")), ",").alias("bits"))
 
 
-@query(f"WITH {_NUMBERS} SELECT n, list_max([k FOR k IN range(0, 9) IF n % pow(2, k)::BIGINT = 0]) AS two, list_max([k FOR k IN range(0, 6) IF n % pow(3, k)::BIGINT = 0]) AS three FROM n WHERE n > 0")
+@query(f"WITH {_NUMBERS} SELECT n, list_max([k FOR k IN range(0, 40) IF n % pow(2, k)::BIGINT = 0]) AS two, list_max([k FOR k IN range(0, 26) IF n % pow(3, k)::BIGINT = 0]) AS three FROM n WHERE n > 0")
 def valuations(t):
     return _n(t).where("n > 0").select("n", M.valuation(2, F.col("n")).cast("long").alias("two"), M.divided_out(3, F.col("n"))["k"].cast("long").alias("three"))
 
 
-@query(f"WITH {_NUMBERS}, p AS (SELECT i FROM range(2, 201) r(i) WHERE len([j FOR j IN range(2, i) IF i % j = 0]) = 0) SELECT n, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS primes, coalesce(max(i), n) AS largest FROM n LEFT JOIN p ON n % i = 0 AND n > 0 GROUP BY n")
+@query(f"WITH {_NUMBERS}, p AS (SELECT i FROM range(2, (SELECT max(p_partkey) + 1 FROM part)) r(i) WHERE len([j FOR j IN range(2, i) IF i % j = 0]) = 0) SELECT n, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS primes, coalesce(max(i), n) AS largest FROM n LEFT JOIN p ON n % i = 0 AND n > 0 GROUP BY n")
 def primes_of(t):
     return _n(t).select("n", F.array_join(F.transform(M.prime_factors(F.col("n")), lambda p: p.cast("string")), ",").alias("primes"), M.largest_prime(F.col("n")).alias("largest"))
 

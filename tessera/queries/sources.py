@@ -2,15 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..plans.tables import shared_folder
+from ..plans.tables import shared_path
 from ..registry import query
 from ..sources import files
 
 
 def _path(t, name):
-    import uuid
-
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(t.spark, name)
 
 
 @query("SELECT event_type AS metric, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS value, arg_max(user_id::VARCHAR, event_id) AS unit FROM events GROUP BY 1")

@@ -1,11 +1,10 @@
 """Row generators and sequences."""
 
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..plans.tables import shared_folder
+from ..plans.tables import shared_path
 from ..registry import query
 from ..streaming import sequences as seq
 
@@ -97,20 +96,20 @@ def sequence_zip(t):
 def stream_daily_counts(t):
     """The events as a stream of files, counted per day and type with a watermark, run until all of it is read."""
     schema = t.events.schema
-    path = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    path = shared_path(t.spark, "stream")
     t.events.write.parquet(path)
     s = t.spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     out = seq.windowed_totals(s, "ts", "event_type", "value", "1 day", "60 days")
-    rows = seq.run_to_end(out, f"daily_{uuid.uuid4().hex}", "complete")
+    rows = seq.run_to_end(out, "daily", "complete")
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id < 50 GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def stream_stateful_unfold(t):
     """A running state per key over micro-batches; the last state of each key is its number of events."""
     schema = t.events.schema
-    path = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    t.events.where("user_id < 50").write.parquet(path)
+    path = shared_path(t.spark, "stream")
+    t.events.write.parquet(path)
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         n = state[0] + len(rows)
@@ -118,13 +117,13 @@ def stream_stateful_unfold(t):
 
     s = t.spark.readStream.schema(schema).parquet(path).select("user_id", "event_id")
     out = seq.unfold(s, "user_id", "user_id long, n long", "n long", step, (0,))
-    rows = seq.run_to_end(out, f"unfold_{uuid.uuid4().hex}")
+    rows = seq.run_to_end(out, "unfold")
     return rows.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
-@query("SELECT event_id, event_type || '!' AS x FROM events WHERE event_id < 100")
+@query("SELECT event_id, event_type || '!' AS x FROM events")
 def stream_map(t):
-    path = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    t.events.where("event_id < 100").select("event_id", F.col("event_type").alias("x")).write.parquet(path)
+    path = shared_path(t.spark, "stream")
+    t.events.select("event_id", F.col("event_type").alias("x")).write.parquet(path)
     s = t.spark.readStream.schema("event_id long, x string").parquet(path)
-    return seq.run_to_end(seq.mapped(s, lambda x: F.concat(x, F.lit("!"))), f"mapped_{uuid.uuid4().hex}")
+    return seq.run_to_end(seq.mapped(s, lambda x: F.concat(x, F.lit("!"))), "mapped")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.tables import shared_path
+
 
 def naturals(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
     """The endless sequence 0, 1, 2, ...: paced by time, so only the values are the sequence's."""
@@ -78,7 +80,23 @@ def windowed_totals(s: DataFrame, time: str, key: str, value: str, width: str, l
 
 
 def run_to_end(s: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return its rows as a table in memory (tests and small results)."""
-    query = s.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there now and return its rows, which are written to the shared folder.
+
+    Each micro-batch overwrites a folder of its own, so a batch that runs again leaves no row twice. In
+    complete mode a batch has all rows, and the last one counts. Offsets and state are kept in the shared
+    folder as well.
+    """
+    spark = s.sparkSession
+    path, last = shared_path(spark, name), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        where = f"{path}/batch={number}" if mode == "append" else f"{path}/all={number}"
+        batch.write.mode("overwrite").parquet(where)
+        last[:] = [where]
+
+    query = s.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], s.schema)
+    rows = spark.read.schema(s.schema).parquet(path if mode == "append" else last[0])
+    return rows.select(*s.columns)
