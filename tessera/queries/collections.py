@@ -108,9 +108,9 @@ def set_difference(t):
     return t.part.select(F.col("p_partkey").alias("k")).subtract(t.lineitem.where("l_quantity = 50").select("l_partkey"))
 
 
-@query("(SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') UNION (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("(SELECT l_partkey AS k FROM lineitem WHERE l_quantity = 50 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 1) UNION (SELECT l_partkey FROM lineitem WHERE l_quantity = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def set_symmetric_difference(t):
-    return bags.symmetric_difference(*[t.lineitem.where(F.col("l_returnflag") == x).select(F.col("l_partkey").alias("k")) for x in "RA"])
+    return bags.symmetric_difference(*[t.lineitem.where(F.col("l_quantity") == x).select(F.col("l_partkey").alias("k")) for x in (50, 1)])
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_quantity < 10 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20")
