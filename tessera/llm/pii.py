@@ -27,8 +27,11 @@ from .common import free_name
 ROUNDS = 6
 #: The days that a date's permutation covers: 400 years, 189 * 773 days.
 FIRST_DAY, DAY_RADICES = "1800-01-01", (189, 773)
-#: Kinds and their patterns, the first that fits wins. A value may not touch other letters or digits.
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+\-](?:[\p{L}\p{N}._%+\-]*+)@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: Country codes of one, two and three digits, by which the digits of a number alone tell where its own begin; fixed values.
+COUNTRY = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Kinds and their patterns, the first that fits wins. A value may not touch other letters or digits. A name has 64
+#: characters and a host 127 labels of 63 characters at most; all repetitions of groups are bounded, as each step of one takes a frame of the stack.
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+\-](?:[\p{L}\p{N}._%+\-]{0,63}+)@(?:[A-Za-z0-9\-]{1,63}\.){1,127}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"
 DATE = r"(?<![\p{L}\p{N}./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}]|[./\-][0-9])"
@@ -155,10 +158,9 @@ def date(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """The country code stays, the other digits are permuted; seven to fifteen digits in all."""
+    """The country code stays, the other digits are permuted; seven to fifteen digits in all. How the digits are set apart does not matter."""
     d = digits(m)
-    kept = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(\-])", 1))
-    kept = F.when(m.startswith("+") & (kept == 0), 1).otherwise(kept)
+    kept = F.when(m.startswith("+"), F.length(F.regexp_extract(d, COUNTRY, 1))).otherwise(0)
     body = permuted_digits(F.substr(d, kept + 1), key, "phone")
     return F.when((F.length(d) >= 7) & (F.length(d) <= 15) & (F.length(d) - kept >= 2), rendered(m, F.concat(F.substr(d, F.lit(1), kept), body)))
 
@@ -241,9 +243,10 @@ def cut_around(text: Column, values: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "found_kinds") -> DataFrame:
     """docs with the text's values replaced, and the kinds of the replaced values in order in `found_col`.
 
-    Texts without a digit or an @ pass untouched, before any pattern is tried.
+    Texts without a digit or an @ pass untouched, before any pattern is tried. Where docs have a column
+    `found_col`, it stays, and the kinds stand under the first free name with underscores before it.
     """
-    text = F.col(text_col)
+    text, found_col = F.col(text_col), free_name(docs.columns, found_col)
     parts, shorts = (free_name([*docs.columns, found_col], x) for x in ("text_parts", "shorter_values"))
     made = docs.withColumn(parts, cut(text))
     # what no match holds for good; a line end stands for each other match, so that nothing reaches across it
@@ -256,10 +259,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     return made.withColumn(found_col, F.coalesce(F.filter(F.col(f"{found_col}.kind"), lambda k: k.isNotNull()), F.array().cast("array<string>")))
 
 
-#: The query's key. In use, a secret of the owner's.
-KEY = "tessera-demo-key"
+#: The session's setting that has the key, and the key where it is unset: for trials only, as whoever has the code has it.
+SETTING, TRIAL_KEY = "spark.tessera.pii.key", "tessera-demo-key"
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs, KEY).select("doc_id", "text", F.size("found_kinds").alias("n_replaced"), F.array_join("found_kinds", ",").alias("kinds"))
+    made = pseudonymize(docs, spark.conf.get(SETTING, TRIAL_KEY))
+    return made.select("doc_id", "text", F.size("found_kinds").alias("n_replaced"), F.array_join("found_kinds", ",").alias("kinds"))
