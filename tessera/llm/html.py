@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 #: Elements that begin and end a line.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements with nothing that belongs to an article.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg head title button select option textarea object canvas math audio video menu dialog label input fieldset datalist map".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe svg head title button select option textarea object canvas audio video menu dialog input fieldset datalist map".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A p, li and so on ends where the next of its kind begins.
@@ -85,7 +86,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.stack: list[tuple[str, int]] = []  # of elements that are no inline ones: name, kind within
+        self.stack: list[tuple[str, int]] = []  # open elements that matter, by name, and the kind around each
+        self.open: Counter = Counter()  # how many of each name are on the stack
         self.kind, self.tags, self.links, self.link = 1, 0, 0, 0
         self.text: list[str] = []
 
@@ -153,13 +155,14 @@ class Lines(HTMLParser):
                 self.link += 1
         if tag in VOID:
             return
-        if tag in BLOCKS or tag in DROPPED or attrs:
-            kind = self.within(tag, attrs)
-            if tag in BLOCKS or kind != self.kind:
-                if kind != self.kind:
-                    self.cut()
-                self.stack.append((tag, self.kind))
-                self.kind = kind
+        kind = self.within(tag, attrs) if tag in BLOCKS or tag in DROPPED or attrs else self.kind
+        # an inline element matters if it changes the kind, or stands in one of its name that does
+        if tag in BLOCKS or kind != self.kind or self.open[tag]:
+            if kind != self.kind:
+                self.cut()
+            self.stack.append((tag, self.kind))
+            self.open[tag] += 1
+            self.kind = kind
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -169,19 +172,23 @@ class Lines(HTMLParser):
     def end_open(self, names: set[str]) -> None:
         """End the innermost open element if it is one of these."""
         if self.stack and self.stack[-1][0] in names:
-            self.kind = self.stack.pop()[1]
+            name, self.kind = self.stack.pop()
+            self.open[name] -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.cut()
         elif tag == "a" and self.link:
             self.link -= 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                if self.kind != self.stack[at][1]:
-                    self.cut()
-                self.kind = self.stack[at][1]
-                del self.stack[at:]
+        # what stands above the element ends with it; an end tag without an open element is passed over at once
+        before = self.kind
+        while self.open[tag]:
+            name, kind = self.stack.pop()
+            self.open[name] -= 1
+            if kind != before:
+                self.cut()
+            self.kind = before = kind
+            if name == tag:
                 break
 
     def handle_data(self, data: str) -> None:
