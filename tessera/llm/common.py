@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_folder
+
 #: A word is a run of characters other than space and U+0009 to U+000D; bytes.split() cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table, in rows, that is sent to every executor.
@@ -22,12 +23,8 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    """The folder that driver and executors share, spark.checkpoint.dir; unset, a local one in local mode and an error on a cluster."""
+    return shared_folder(spark)
 
 
 _written: dict[str, SparkSession] = {}

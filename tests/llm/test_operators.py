@@ -336,6 +336,26 @@ def test_html_hints_never_drop_the_article(wrap):
     assert html.extract(PAGE % (wrap % BODY)) == TEXT
 
 
+def test_html_inline_elements_nest():
+    inner = "<p>Text <span class=ad>Buy <span>now</span> this advert</span> goes <b>on <b>and</b> on</b>.</p><p>More <label>words</label></p>"
+    assert html.extract(f"<article>{inner}</article>").split("\n") == ["Text", "goes on and on.", "More words"]
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    began = time.process_time()
+    assert html.extract("<div>" * 50000 + "x" + "</i>" * 50000 + "</div>" * 50000) == "x"
+    assert time.process_time() - began < 20
+
+
+def test_html_odd_tables(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.main_text(empty).count() == 0
+    rows = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (1, "u", "<p>b")], "page_id long, url string, html string").withColumn("k", F.lit("extra"))
+    assert sorted(r["text"] for r in html.main_text(rows).collect()) == ["a", "a", "b"]
+
+
 def test_html_entries_of_others_stay_out():
     others = "<div class='comments-area'><article class=comment><p>Nice words</p></article></div><div class='related-posts'><article><p>Other page</p></article></div>"
     assert html.extract(PAGE % (f"<article>{BODY}</article>{others}")) == TEXT
@@ -479,6 +499,51 @@ def test_pii_links_and_permutes(spark):
     assert all(len(x) == 10 for x in days)
 
 
+def test_pii_long_texts_and_runs(spark):
+    """Long runs of whatever a pattern repeats take no deep stack, and leave what is no value."""
+    runs = ["x@" + "a." * 20000, "x@" + "ab." * 20000 + "org", "a" * 50000 + "@x.org", "1" * 50000, "1." * 20000]
+    out = replaced(spark, runs)
+    assert out[1][1:] == runs[1][1:] and [out[0], *out[2:]] == [runs[0], *runs[2:]]
+
+
+def test_pii_phone_digits_alone_count(spark):
+    forms = ["+49 30 1234567", "+49301234567", "+49-30-1234-567", "+351 21 1234567", "+351211234567", "+1 (171) 555-2028", "+11715552028"]
+    found = ["".join(c for c in x if c.isdigit()) for x in replaced(spark, forms)]
+    assert found[0] == found[1] == found[2] and found[0][:2] == "49" and found[3] == found[4] and found[5] == found[6]
+    assert all(x != "".join(c for c in f if c.isdigit()) for x, f in zip(found, forms, strict=True))
+
+
+def feistel(values, radices, key, kind):
+    """The permutation in plain Python, by its definition."""
+    half = len(values) // 2
+    sides, bases = [list(values[:half]), list(values[half:])], [radices[:half], radices[half:]]
+    for turn in range(pii.ROUNDS):
+        a, b = turn % 2, 1 - turn % 2
+        other = ",".join(map(str, sides[b]))
+        sides[a] = [(v + int(hashlib.sha256(f"{key}|{kind}|{turn}|{other}|{i}".encode()).hexdigest()[:12], 16)) % r for i, (v, r) in enumerate(zip(sides[a], bases[a], strict=True))]
+    return sides[0] + sides[1]
+
+
+def test_pii_equals_plain_feistel(spark):
+    random.seed(16)
+    ips = [[random.randrange(256) for _ in range(4)] for _ in range(40)]
+    out = replaced(spark, ["at " + ".".join(map(str, x)) + " it" for x in ips], "secret")
+    assert out == ["at " + ".".join(map(str, feistel(x, [256] * 4, "secret", "ip"))) + " it" for x in ips]
+    cards = []
+    while len(cards) < 40:
+        if luhn(d := "".join(random.choice("0123456789") for _ in range(16))):
+            cards.append(d)
+    bodies = ["".join(map(str, feistel([int(c) for c in d[:-1]], [10] * 15, "secret", "card"))) for d in cards]
+    assert replaced(spark, cards, "secret") == [next(b + c for c in "0123456789" if luhn(b + c)) for b in bodies]
+    assert len({tuple(feistel([i // 10, i % 10, 3], [10] * 3, "k", "x")) for i in range(100)}) == 100
+
+
+def test_pii_keeps_a_column_of_its_own_name(spark):
+    df = spark.createDataFrame([(1, "call 10.0.0.1")], "doc_id long, text string").withColumn("found_kinds", F.lit("mine"))
+    row = pii.pseudonymize(df, "k").first()
+    assert row["found_kinds"] == "mine" and row["_found_kinds"] == ["ip"]
+
+
 def test_pii_is_native_and_keeps_rows(spark, odd, none):
     out = pii.pseudonymize(odd, "k")
     assert out.count() == len(ODD) and out.columns == [*odd.columns, "found_kinds"]
