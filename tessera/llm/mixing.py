@@ -8,7 +8,7 @@ long documents don't carry a small source away from its share.
 
 Cases. NULL or empty text: size 0, so nothing is taken from it. NULL source: a source of its own, the
 last in order. Source without a word: target 0, rate 0. Repeated rows: each is mixed by itself, with
-equal draws for equal ids. NULL id: drawn as the empty string. Empty table: empty result.
+equal draws for equal ids. NULL id: drawn by the text's digest. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -46,9 +46,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int) -> Data
     return s.select("source", "source_size", "target", "rate", F.floor("rate").alias("whole"), ((F.col("rate") - F.floor("rate")) * SPAN).alias("cut"))
 
 
-def keyed(docs: DataFrame, id_col: str, source_col: str, names: dict[str, str]) -> DataFrame:
-    """docs with the key of the source and the two halves of the id's hash, under the names given for key, h1 and h2."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, names: dict[str, str]) -> DataFrame:
+    """docs with the key of the source and the two halves of the id's hash, under the names given for key, h1 and h2.
+
+    Rows without an id have their text's hash, so that they are drawn one by one and not as one block.
+    """
+    own = F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), own))
     part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     return docs.withColumns({names["key"]: key, names["h1"]: part(1), names["h2"]: part(9)})
@@ -61,7 +65,7 @@ def draw(seed: Column, h1: str = "h1", h2: str = "h2") -> Column:
 
 def source_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_repeat: int) -> tuple[DataFrame, DataFrame]:
     """The narrow rows (doc_id, size, key, h1, h2) and the sources' (key, source_size, target, whole, cut, seed), both written."""
-    narrow = keyed(docs.select(id_col, text_col, source_col), id_col, source_col, {"key": "key", "h1": "h1", "h2": "h2"})
+    narrow = keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, {"key": "key", "h1": "h1", "h2": "h2"})
     rows = materialize(narrow.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), "key", "h1", "h2"), "mix-sizes")
     sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     sizes = sizes.withColumn("source", F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)))
@@ -83,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     names = {x: free_name(docs.columns, f"mix_{x}") for x in ("key", "h1", "h2", "whole", "cut", "seed", "copy")}
     _, rates = source_plan(docs, id_col, text_col, source_col, weights, max_repeat)
     rates = rates.select(*[F.col(x).alias(names[x]) for x in ("key", "whole", "cut", "seed")])
-    rows = join_small(keyed(docs, id_col, source_col, names), rates, names["key"], "inner")
+    rows = join_small(keyed(docs, id_col, text_col, source_col, names), rates, names["key"], "inner")
     copies = F.col(names["whole"]) + F.when(draw(F.col(names["seed"]), names["h1"], names["h2"]) < F.col(names["cut"]), 1).otherwise(0)
     return rows.withColumn(names["copy"], F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
@@ -96,7 +100,7 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS h FROM documents),
 d2 AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2 FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,

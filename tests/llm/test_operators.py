@@ -117,6 +117,12 @@ def test_mix_targets_and_copies(spark):
     assert sorted(map(tuple, made)) == sorted(map(tuple, mixing.plan(docs).collect()))
 
 
+def test_mix_draws_rows_without_ids_one_by_one(spark):
+    rows = [(None, f"text number {i}", None, "a", None) for i in range(300)] + [(i, "b " * 30, None, "b", None) for i in range(40)]
+    found = [r["copies"] for r in mixing.plan(spark.createDataFrame(rows, DOCS)).collect() if r["doc_id"] is None]
+    assert len(found) == 300 and len(set(found)) == 2
+
+
 def test_mix_odd_rows(odd, none):
     assert mixing.plan(odd).count() == len(ODD)
     assert mixing.mix(odd).columns == odd.columns
