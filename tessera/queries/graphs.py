@@ -153,19 +153,23 @@ def graph_topological_levels(t):
     return G.levels(_edges(t))
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, TRUE), (4, FALSE), (5, FALSE)) v(id, known)")
+@query(f"WITH RECURSIVE {_EDGES}, n AS (SELECT o_orderkey AS id, o_orderpriority AS content FROM orders WHERE o_orderstatus <> 'P'), k AS (SELECT n.id, n.content, e.dst FROM n LEFT JOIN e ON e.src = n.id), r(id, digest) AS (SELECT id, md5(content || '|') FROM k WHERE dst IS NULL UNION ALL SELECT k.id, md5(k.content || '|' || r.digest) FROM r JOIN k ON k.dst = r.id) SELECT n.id, r.digest FROM n LEFT JOIN r ON n.id = r.id")
 def graph_merkle_digests(t):
-    """Digests over a dependency graph; 4 needs what is missing, and 5 needs 4."""
-    nodes = t.spark.createDataFrame([(1, "a\r\n"), (2, "b"), (3, "c"), (4, "d"), (5, "e")], "id int, content string")
-    edges = t.spark.createDataFrame([(2, 1), (3, 1), (3, 2), (4, 9), (5, 4), (5, 1)], "src int, dst int")
-    return G.merkle(nodes, edges).select("id", F.col("digest").isNotNull().alias("known"))
+    """Digests of the orders over the orders that follow them; orders of status P are missing, and so is what needs them."""
+    nodes = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("content"))
+    return G.merkle(nodes, _edges(t))
 
 
-@query("SELECT 3 AS triangle, 5 AS ring, 0 AS tree FROM range(1)")
+@query(f"WITH RECURSIVE {_NATIONS}, f AS (SELECT 'linked' AS g, src, dst FROM e UNION ALL SELECT DISTINCT 'two sides', c_nationkey, 100 + s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT 'tree', 100 + n_regionkey, n_nationkey FROM nation), u AS (SELECT g, src, dst FROM f UNION SELECT g, dst, src FROM f), w(g, root, prev, here, n) AS (SELECT g, src, src, dst, 1 FROM u WHERE src < dst UNION SELECT w.g, w.root, w.here, u.dst, w.n + 1 FROM w JOIN u ON w.g = u.g AND w.here = u.src WHERE u.dst <> w.prev AND w.here <> w.root AND w.n < 5) SELECT g AS graph, coalesce(min(n) FILTER (here = root), 0) AS girth FROM w GROUP BY g")
 def graph_girth(t):
-    make = lambda pairs: t.spark.createDataFrame(pairs, "src int, dst int")
-    found = [G.girth(make(p)) for p in ([(1, 2), (2, 3), (3, 1), (3, 4)], [(1, 2), (2, 3), (3, 4), (4, 5), (5, 1)], [(1, 2), (2, 3)])]
-    return t.spark.range(1).select(*[F.lit(x).alias(n) for x, n in zip(found, ("triangle", "ring", "tree"), strict=True)])
+    """The shortest cycle among linked nations, between the nations of customers and of suppliers, and in the tree of regions."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    graphs = {
+        "linked": _nations(t),
+        "two sides": rows.select(F.col("c_nationkey").alias("src"), (F.col("s_nationkey") + 100).alias("dst")).distinct(),
+        "tree": t.nation.select((F.col("n_regionkey") + 100).alias("src"), F.col("n_nationkey").alias("dst")),
+    }
+    return t.spark.createDataFrame([(name, G.girth(e)) for name, e in graphs.items()], "graph string, girth int")
 
 
 @query("SELECT n_nationkey AS x FROM nation WHERE n_nationkey * n_nationkey % 25 = n_nationkey")
@@ -185,17 +189,24 @@ def iterate_to_fixpoint(t):
         t.spark.conf.set(key, before)
 
 
-_TREE = "t(path, v) AS (SELECT * FROM (VALUES ('1', 8), ('10', 3), ('11', 10), ('100', 1), ('101', 6), ('111', 14)) x(path, v))"
+#: The parts as a binary tree: the path of each is its key in binary, the root's is 1.
+_TREE = "t(path, v) AS (SELECT bin(p_partkey), p_size FROM part)"
 
 
 def _tree(t):
     """A binary tree as a table keyed by bit paths."""
-    return t.spark.createDataFrame([("1", 8), ("10", 3), ("11", 10), ("100", 1), ("101", 6), ("111", 14)], "path string, v int")
+    return t.part.select(F.bin("p_partkey").alias("path"), F.col("p_size").alias("v"))
 
 
-@query(f"WITH {_TREE} SELECT count(*) AS nodes, max(length(path)) AS height, max(CASE WHEN path = '101' THEN v END) AS found, max(CASE WHEN v = 14 THEN path END) AS place FROM t")
+@query(f"WITH {_TREE} SELECT count(*) AS nodes, max(length(path)) AS height, max(CASE WHEN path = '101' THEN v END) AS found, min(CASE WHEN v = (SELECT max(v) FROM t) THEN path END) AS place, count(*) FILTER (path || '0' NOT IN (SELECT path FROM t) AND path || '1' NOT IN (SELECT path FROM t)) AS leaves FROM t")
 def tree_measures(t):
-    return _tree(t).agg(F.count(F.lit(1)).alias("nodes"), F.max(F.length("path")).cast("long").alias("height"), F.max(F.when(F.col("path") == "101", F.col("v"))).alias("found"), F.max(F.when(F.col("v") == 14, F.col("path"))).alias("place"))
+    nodes = _tree(t)
+    parents = nodes.where("length(path) > 1").select(F.expr("left(path, length(path) - 1)").alias("path")).distinct().withColumn("inner", F.lit(True))
+    rows = nodes.join(parents, "path", "left")
+    most = F.max(F.struct("v", "path"))["v"]
+    out = rows.agg(F.count(F.lit(1)).alias("nodes"), F.max(F.length("path")).cast("long").alias("height"), F.max(F.when(F.col("path") == "101", F.col("v"))).alias("found"), most.alias("most"), F.count_if(F.col("inner").isNull()).alias("leaves"))
+    place = nodes.groupBy("v").agg(F.min("path").alias("place"))
+    return out.join(place, F.col("most") == F.col("v"), "left").select("nodes", "height", "found", "place", "leaves")
 
 
 @query(f"WITH {_TREE} SELECT path, v * 2 AS v FROM t")

@@ -141,13 +141,12 @@ def concept_closure(t):
     return rel.divide(r, "b", "a", dual, r.select("a"))
 
 
-@query("WITH w AS (SELECT DISTINCT unnest(['n_name', 'x_missing', 'old_name']) AS name) SELECT name, CASE WHEN name = 'n_name' THEN 'ok' WHEN name = 'old_name' THEN 'deprecated' ELSE 'missing' END AS status FROM w")
+@query("WITH w AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT DISTINCT p_brand FROM part), k AS (SELECT n_name AS name, n_regionkey = 0 AS deprecated FROM nation) SELECT name, CASE WHEN deprecated IS NULL THEN 'missing' WHEN deprecated THEN 'deprecated' ELSE 'ok' END AS status FROM w LEFT JOIN k USING (name)")
 def probe_names(t):
-    """A list of names against those that are known: missing, deprecated or ok."""
-    spark = t.spark
-    names = spark.createDataFrame([("n_name",), ("x_missing",), ("old_name",)], "name string")
-    known = spark.createDataFrame([("n_name", False), ("old_name", True)], "name string, deprecated boolean")
-    return names.join(F.broadcast(known), "name", "left").select("name", F.when(F.col("deprecated").isNull(), "missing").when(F.col("deprecated"), "deprecated").otherwise("ok").alias("status"))
+    """Names against those that are known, the nations': missing, deprecated or ok."""
+    names = t.nation.select(F.col("n_name").alias("name")).unionAll(t.region.select("r_name")).unionAll(t.part.select("p_brand")).distinct()
+    known = t.nation.select(F.col("n_name").alias("name"), (F.col("n_regionkey") == 0).alias("deprecated"))
+    return names.join(known, "name", "left").select("name", F.when(F.col("deprecated").isNull(), "missing").when(F.col("deprecated"), "deprecated").otherwise("ok").alias("status"))
 
 
 @query("SELECT x, y, abs(x - 3) + abs(y - 4) AS cost FROM range(10) a(x), range(10) b(y) ORDER BY cost, x, y LIMIT 1")

@@ -168,29 +168,41 @@ def array_slices(t):
     return rows.select("n_regionkey", text(A.take(a, 2)).alias("take"), text(A.drop_right(a, 2)).alias("rdrop"), text(A.take_right(a, 2)).alias("rtake"), text(A.destutter(a)).alias("same"), A.is_palindrome(a).alias("palindrome"), F.size(A.unordered_pairs(a)).cast("long").alias("pairs"), F.size(A.off_diagonal(a)).cast("long").alias("off"))
 
 
-@query("SELECT '[0],[1,2],[3,4,5]' AS ranges, '[1],[2,3],[4]' AS split, '11,22' AS zipped, '0:1,2:-2' AS sparse, 2 AS changes, '1,9,3,2' AS replaced, '3,1,2' AS cycled, 6 AS perms, TRUE AS agree, '1,2' AS kept, '3,3' AS suffix, 5 AS total, '1,3,6' AS states, TRUE AS less")
+@query(
+    "WITH p AS (SELECT p_partkey, p_size::INT AS a, (p_partkey % 5)::INT AS b, (p_partkey % 3)::INT AS c FROM part), q AS (SELECT *, [a, b, c, a, b] AS l, [b, c, b, 2] AS m, list_filter([sign(a - 25)::INT, sign(b - 2)::INT, sign(c - 1)::INT], lambda x: x <> 0) AS s FROM p) "
+    "SELECT p_partkey, '[' || array_to_string(range(0, c + 1), ',') || '],[' || array_to_string(range(c + 1, c + b + 2), ',') || ']' AS ranges, "
+    "'[' || array_to_string(l[1:c + 1], ',') || '],[' || l[c + 2] || '],[' || array_to_string(l[c + 3:], ',') || ']' AS split, "
+    "concat(a + 10, ',', b + 20) AS zipped, concat_ws(',', CASE WHEN c <> 0 THEN '0:' || c END, CASE WHEN b <> 0 THEN '1:' || b END, '2:-2') AS sparse, "
+    "len(list_filter(range(1, len(s)), lambda i: s[i] <> s[i + 1])) AS changes, "
+    "array_to_string(list_concat(list_concat(m[1:list_position(m, 2) - 1], [9]), m[list_position(m, 2) + 1:]), ',') AS replaced, concat(c, ',', a, ',', b) AS cycled, "
+    "[1, 3, 6][len(list_distinct([a, b, c]))] AS perms, (a > 25) = (b > 2) AS agree, "
+    "CASE WHEN c <> 0 THEN concat(a, ',', b, ',', c) WHEN b <> 0 THEN concat(a, ',', b) ELSE a::VARCHAR END AS kept, CASE WHEN c <> 0 THEN '0' WHEN b <> 0 THEN '0,0' ELSE '0,0,0' END AS suffix, "
+    "a + b + c AS total, concat(a, ',', a + b, ',', a + b + c) AS states, greatest(b, c) < a AS less FROM q"
+)
 def array_functions(t):
-    """Each array function on the small example of its definition."""
-    lit = lambda *x: F.array(*[F.lit(i) for i in x])
+    """Each array function on arrays made of every part's numbers."""
+    a, b, c = F.col("p_size").cast("int"), (F.col("p_partkey") % 5).cast("int"), (F.col("p_partkey") % 3).cast("int")
+    zero, two = F.lit(0), F.lit(2)
     text = lambda x: F.array_join(F.transform(x, lambda y: y.cast("string")), ",")
     nested = lambda x: F.array_join(F.transform(x, lambda y: F.concat(F.lit("["), text(y), F.lit("]"))), ",")
-    sparse = F.array_join(F.transform(A.sparse_entries(A.to_sparse(lit(1, 0, -2))), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
-    state = A.map_accumulate(lit(1, 2, 3), F.lit(0), lambda s, x: (s + x, s + x), "int")
-    return t.spark.range(1).select(
-        nested(A.running_lengths(lit(1, 2, 3))).alias("ranges"),
-        nested(A.split_lengths(lit(1, 2, 2), lit(1, 2, 3, 4))).alias("split"),
-        text(A.zip_shorter(lit(1, 2, 3), lit(10, 20), lambda x, y: x + y)).alias("zipped"),
+    sparse = F.array_join(F.transform(A.sparse_entries(A.to_sparse(F.array(c, b, F.lit(-2)))), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    state = A.map_accumulate(F.array(a, b, c), zero, lambda s, x: (s + x, s + x), "int")
+    return t.part.select(
+        "p_partkey",
+        nested(A.running_lengths(F.array(c + 1, b + 1))).alias("ranges"),
+        nested(A.split_lengths(F.array(c + 1, F.lit(1), 3 - c), F.array(a, b, c, a, b))).alias("split"),
+        text(A.zip_shorter(F.array(a, b, c), F.array(F.lit(10), F.lit(20)), lambda x, y: x + y)).alias("zipped"),
         sparse.alias("sparse"),
-        A.sign_changes(lit(1, 0, -2, 3, 3)).alias("changes"),
-        text(A.replace_first(lit(1, 2, 3, 2), lambda x: x == 2, lambda x: F.lit(9))).alias("replaced"),
-        text(A.cyclic_permute(lit(1, 2, 3), [0, 1, 2])).alias("cycled"),
-        F.size(A.permutations_of(lit(1, 2, 3), 3)).alias("perms"),
-        A.all_equivalent(lit(True, True)).alias("agree"),
-        text(A.drop_right_while(lit(1, 2, 3, 3), lambda x: x == 3)).alias("kept"),
-        text(A.take_right_while(lit(1, 2, 3, 3), lambda x: x == 3)).alias("suffix"),
-        A.folded(lit(2, 3), F.lit(0), lambda a, x: a + x).alias("total"),
+        A.sign_changes(F.array(a - 25, zero, b - 2, c - 1)).alias("changes"),
+        text(A.replace_first(F.array(b, c, b, two), lambda x: x == 2, lambda x: F.lit(9))).alias("replaced"),
+        text(A.cyclic_permute(F.array(a, b, c), [0, 1, 2])).alias("cycled"),
+        F.size(F.array_distinct(A.permutations_of(F.array(a, b, c), 3))).alias("perms"),
+        A.all_equivalent(F.array(a > 25, b > 2)).alias("agree"),
+        text(A.drop_right_while(F.array(a, b, c, zero), lambda x: x == 0)).alias("kept"),
+        text(A.take_right_while(F.array(a, b, c, zero), lambda x: x == 0)).alias("suffix"),
+        A.folded(F.array(a, b, c), zero, lambda s, x: s + x).alias("total"),
         text(state["out"]).alias("states"),
-        A.dershowitz_manna_less(lit(1, 1, 1), lit(2)).alias("less"),
+        A.dershowitz_manna_less(F.array(b, b, c), F.array(a)).alias("less"),
     )
 
 

@@ -40,9 +40,11 @@ def typed_json(t):
     return t.events.select("event_id", files.checked(F.col("props"), "k bigint", lambda v: v["k"].isNotNull())["k"].alias("k"))
 
 
-@query("SELECT * FROM (VALUES ('a :: x', 'one'), ('a :: y', 'two'), ('b :: x', 'three')) v(name, leaf)")
+@query("SELECT n_name || ' :: key' AS name, n_nationkey::VARCHAR AS leaf FROM nation UNION ALL SELECT n_name || ' :: region', n_regionkey::VARCHAR FROM nation WHERE n_regionkey > 0")
 def flatten_nested(t):
-    rows = t.spark.createDataFrame([({"a": {"x": "one", "y": "two"}, "b": {"x": "three", "y": "p/q", "z": None}},)], "m map<string, map<string, string>>")
+    """Maps within maps, to paths and leaves; leaves that are NULL or hold a slash are dropped."""
+    leaves = F.create_map(F.lit("key"), F.col("n_nationkey").cast("string"), F.lit("region"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")), F.lit("path"), F.concat("n_name", F.lit("/x")))
+    rows = t.nation.select(F.create_map("n_name", leaves).alias("m"))
     return files.flattened(rows, "m", 2).select(files.joined_path(F.col("path")).alias("name"), "leaf")
 
 
@@ -69,15 +71,18 @@ def markdown_table(t):
     return files.table_text(rows, {"name": "left", "size": "center", "n": "right"}).orderBy("ord", "line")
 
 
-@query("SELECT * FROM (VALUES ('A.lean', '3', '7', 'x'), ('B.lean', '10', '1', 'long_name')) v(file, line, col, var)")
+@query("SELECT event_type || '.lean' AS file, user_id::VARCHAR AS line, event_id::VARCHAR AS col, 'v_' || event_id AS var FROM events WHERE event_type <> 'view'")
 def parse_log(t):
-    lines = t.spark.createDataFrame([("warning: A.lean:3:7: unused variable `x`",), ("noise",), ("warning: B.lean:10:1: unused variable `long_name`",)], "value string")
+    """Lines of a build's log made of the events, those of views in another form, and parsed again."""
+    fits = F.format_string("warning: %s.lean:%d:%d: unused variable `v_%d`", "event_type", "user_id", "event_id", "event_id")
+    lines = t.events.select(F.when(F.col("event_type") == "view", F.concat(F.lit("note: "), fits)).otherwise(fits).alias("value"))
     return files.parsed_log(lines, r"^warning: ([^:]+):(\d+):(\d+): unused variable `(\w+)`$", ["file", "line", "col", "var"])
 
 
-@query("SELECT * FROM (VALUES ('M', 'A.B'), ('M', 'C')) v(module, import)")
+@query("SELECT 'P' || p_partkey AS module, unnest(['A' || p_size || '.B', 'C' || p_partkey]) AS import FROM part")
 def parse_imports(t):
-    rows = t.spark.createDataFrame([("M", "import A.B\npublic import C\n-- import D\ndef x := 1\n")], "module string, content string")
+    """The imports at the head of a module for each part, a comment and a definition behind them."""
+    rows = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("module"), F.format_string("import A%d.B\npublic import C%d\n-- import D\ndef x := 1\n", "p_size", "p_partkey").alias("content"))
     return files.imports_of(rows)
 
 
