@@ -218,3 +218,26 @@ def girth(edges: DataFrame, longest: int = 64) -> int:
         if not state.limit(1).count():
             return 0
     return 0
+
+
+def height(edges: DataFrame) -> DataFrame:
+    """(height): the vertices of a longest chain of an order whose pairs (smaller, greater) are the edges, 0 without pairs; a cycle is an error."""
+    return levels(edges).agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).cast("long").alias("height"))
+
+
+def in_dependency_order(edges: DataFrame) -> DataFrame:
+    """(pos, id): each vertex once, after all that it needs; among equals by id. Edges go from a thing to what it needs."""
+    from .relations import ordinal
+
+    return ordinal(levels(edges), "level", "id").select("pos", "id")
+
+
+def intersections(sets: DataFrame) -> DataFrame:
+    """(members): the closure under finite intersection of sets given as sorted arrays (members), the sets themselves included.
+
+    It can have as many sets as there are combinations, which is its feature; each round meets the new sets
+    with the given ones only.
+    """
+    base = write_once(sets.select("members").distinct())
+    given = base.select(F.col("members").alias("__other"))
+    return to_fixpoint(base, lambda new: new.join(given, F.col("members") != F.col("__other")).select(F.array_sort(F.array_intersect("members", "__other")).alias("members")).distinct())

@@ -59,3 +59,28 @@ class Rules:
             if (out := f(*args)) is not None:
                 return out
         return None
+
+
+def fold_in_order(df: DataFrame, key: str, order: list[str], value: str, start: int, step: Callable[[int, int], int]) -> DataFrame:
+    """(key, state): a fold over each key's rows one after another, in order; state and value are of type long.
+
+    A key's rows stay in one task but are never held together: partitions are sorted, and only the state goes on.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, start
+        for batch in batches:
+            done = []
+            for k, x in zip(batch["k"].tolist(), batch["x"].tolist(), strict=True):
+                if held != (k,):
+                    if held is not None:
+                        done.append((held[0], state))
+                    held, state = (k,), start
+                state = step(state, x)
+            yield pd.DataFrame(done, columns=["k", "state"])
+        if held is not None:
+            yield pd.DataFrame([(held[0], state)], columns=["k", "state"])
+
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(value).cast("long").alias("x"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    rows = rows.where("k IS NOT NULL AND x IS NOT NULL").repartition("k").sortWithinPartitions("k", *[f"o{i}" for i in range(len(order))]).select("k", "x")
+    return rows.mapInPandas(run, "k long, state long").withColumnRenamed("k", key)

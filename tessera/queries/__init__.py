@@ -1,3 +1,3 @@
 """Queries over the tables, each with its SQL; importing this package registers them."""
 
-from . import aggregates, collections, extras, graphs, more, ordering, relations, scalars, sources, streams  # noqa: F401
+from . import aggregates, collections, extras, graphs, more, ordering, relations, scalars, sources, streams, systems  # noqa: F401
