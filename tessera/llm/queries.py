@@ -1,11 +1,11 @@
-"""The ten operators and the pipeline as queries over the tables of a folder."""
+"""The operators and the pipeline as queries over the tables of a folder."""
 
 from __future__ import annotations
 
 import importlib.util
 
 from ..registry import importable
-from . import decontaminate, html, jaccard, mixing, pii, quality, substrings, token_counts, tokens, toxicity
+from . import alignment, decontaminate, html, jaccard, mixing, periodic, pii, quality, sharding, substrings, token_counts, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_repeated_substrings": substrings.op8_repeated_substrings,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {
