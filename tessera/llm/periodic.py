@@ -16,6 +16,7 @@ and repeated ids: each row has its own result. Empty table: no rows. Columns of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name
-
 #: Lags of a unit.
 LAGS = 4096
 #: Words of short documents that are scanned in one array.
@@ -173,22 +172,34 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return whole.unionByName(long.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(_finish, schema))
 
 
+def planted(doc_id: int, words: list[bytes]) -> list[bytes]:
+    """Words from a place on repeat those from there, so many at a time, as the id's crc32 says."""
+    g, n = zlib.crc32(str(doc_id).encode()) // 10, len(words)
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    unit = words[start : start + period]
+    return words[:start] + (unit * -(-(n - start) // period))[: n - start]
+
+
+def _plant(id_at: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [b" ".join(planted(i, w)).decode() if w else None for i, w in zip(b.column(id_at).to_pylist(), _split(b.column(text_at)), strict=True)]
+            columns = b.columns
+            columns[text_at] = pa.array(made, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return run
+
+
 def with_planted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs whose texts of one id in ten, by its crc32, end in a periodic stretch: words from a place on repeat those from there, p at a time.
+    """docs whose texts of one id in ten, by its crc32, end in a periodic stretch; those come back as words joined by a space.
 
-    Such texts come back as words joined by a space. Rows without an id or without words stay as they are.
+    Rows without an id stay as they are, and texts without words have none.
     """
-    h = F.crc32(F.col(id_col).cast("string"))
-    g = F.floor(h / 10).cast("long")
-    words = free_name(docs.columns, "words")
-    w, n = F.col(words), F.size(words)
-    a = F.pmod(g, n.cast("long")).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    planted = F.concat(F.slice(w, 1, a), F.transform(F.sequence(a, n - 1), lambda i: F.get(w, a + (i - a) % p)))
-    chosen = docs.where((h % 10 == 0) & F.regexp_like(text_col, F.lit(WORD)))
-    others = docs.where(~F.coalesce((h % 10 == 0) & F.regexp_like(text_col, F.lit(WORD)), F.lit(False)))
-    made = chosen.withColumn(words, F.regexp_extract_all(text_col, F.lit(WORD), 0)).withColumn(text_col, F.array_join(planted, " ")).drop(words)
-    return others.unionByName(made)
+    chosen = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
+    made = docs.where(chosen).mapInArrow(_plant(docs.columns.index(id_col), docs.columns.index(text_col)), docs.schema)
+    return docs.where(~chosen).unionByName(made)
 
 
 def greatest(runs: Column) -> Column:
