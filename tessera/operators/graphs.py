@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import write_once
+from ..plans.tables import Rounds, write_once
 
 #: Most rounds of an operator that runs to a fixpoint; reaching it is an error.
 ROUNDS = 1000
@@ -54,12 +54,12 @@ def walks(edges: DataFrame, n: int) -> DataFrame:
 
 def to_fixpoint(first: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Apply a step until it adds no row; each round's new rows alone go into the next (semi-naive), written to the shared folder."""
-    known = new = write_once(first)
+    known = Rounds(first.sparkSession, first.schema, "fixpoint")
+    new = known.add(first.distinct())
     for _ in range(rounds):
-        new = write_once(step(new).join(known, known.columns, "left_anti").distinct())
+        new = known.add(step(new).join(known.all(), first.columns, "left_anti").distinct())
         if not new.limit(1).count():
-            return known
-        known = write_once(known.unionAll(new))
+            return known.all()
     raise ValueError(f"no fixpoint after {rounds} rounds")
 
 
@@ -79,18 +79,86 @@ def squared(pairs: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, root: int) -> DataFrame:
     """(id, steps, path): a shortest path from a root to each vertex, its vertices in order; among equals the smallest predecessor's.
 
-    Breadth first; only predecessors are carried from round to round, and paths are put together last.
+    Breadth first: a round adds the vertices that it reaches with their predecessors. Paths are put together
+    last, round by round, each from its predecessor's.
     """
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
     hop = write_once(edges.select("src", "dst").distinct())
-    kind = edges.schema["src"].dataType
-    seen = frontier = write_once(edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(0).alias("steps"), F.array(F.lit(root).cast(kind)).alias("path")))
+    first = spark.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(0).alias("steps"), F.lit(None).cast(kind).alias("before"))
+    seen = Rounds(spark, first.schema, "reached")
+    frontier, layers = seen.add(first), []
     for steps in range(1, ROUNDS):
-        reached = frontier.join(hop, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min_by("path", "src").alias("way"))
-        frontier = write_once(reached.join(seen.select(F.col("id").alias("to")), "to", "left_anti").select(F.col("to").alias("id"), F.lit(steps).alias("steps"), F.concat("way", F.array("to")).alias("path")))
+        layers.append(frontier)
+        reached = frontier.join(hop, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("src").alias("before"))
+        frontier = seen.add(reached.join(seen.all().select(F.col("id").alias("to")), "to", "left_anti").select(F.col("to").alias("id"), F.lit(steps).alias("steps"), "before"))
         if not frontier.limit(1).count():
-            return seen
-        seen = write_once(seen.unionAll(frontier))
-    raise ValueError("too many steps")
+            break
+    else:
+        raise ValueError("too many steps")
+    last = layers[0].select("id", "steps", F.array("id").alias("path"))
+    paths = Rounds(spark, last.schema, "paths")
+    last = paths.add(last)
+    for layer in layers[1:]:
+        way = last.select(F.col("id").alias("before"), F.col("path").alias("way"))
+        last = paths.add(layer.join(way, "before").select("id", "steps", F.concat("way", F.array("id")).alias("path")))
+    return paths.all()
+
+
+def witness_paths(edges: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(src, dst, steps, path): for each pair (src, dst) with a path, a shortest one; for src = dst the path without an edge.
+
+    Breadth first from both ends at once, all pairs together. A side's round adds (pair, vertex, neighbour it came
+    from); the side whose frontier is smaller goes next. A pair leaves both frontiers in the round in which its
+    sides meet, and one whose frontier on a side is empty has no path. The path is read off the
+    neighbours from the meeting place outwards, a join per step.
+    """
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    hop = write_once(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    ends = write_once(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    sides = {}
+    for side, start, ahead, behind in (("out", "src", "src", "dst"), ("back", "dst", "dst", "src")):
+        first = ends.select("src", "dst", F.col(start).alias("v"), F.lit(None).cast(kind).alias("near"), F.lit(0).alias("steps"))
+        seen = Rounds(spark, first.schema, f"witness-{side}")
+        sides[side] = {"seen": seen, "front": seen.add(first), "step": hop.select(F.col(ahead).alias("v"), F.col(behind).alias("w")), "depth": 0}
+    met_schema = ends.withColumn("v", F.lit(None).cast(kind)).schema
+    met = Rounds(spark, met_schema, "met")
+
+    def meet(side: str, other: str) -> None:
+        # among the places where the sides meet, the nearest to the other end, then the smallest
+        mine, theirs = sides[side], sides[other]["seen"].all().select("src", "dst", "v", F.col("steps").alias("far"))
+        hit = met.add(mine["front"].join(theirs, ["src", "dst", "v"]).groupBy("src", "dst").agg(F.min(F.struct("far", "v"))["v"].alias("v")))
+        for s in sides.values():
+            s["front"] = write_once(s["front"].join(hit.select("src", "dst"), ["src", "dst"], "left_anti"))
+
+    meet("out", "back")
+    for _ in range(rounds):
+        sizes = {k: s["front"].count() for k, s in sides.items()}
+        if not min(sizes.values()):
+            break
+        side = min(sizes, key=lambda k: (sizes[k], k))
+        other = "back" if side == "out" else "out"
+        s = sides[side]
+        s["depth"] += 1
+        reached = s["front"].select("src", "dst", "v").join(s["step"], "v").groupBy("src", "dst", "w").agg(F.min("v").alias("near"))
+        new = reached.join(s["seen"].all().select("src", "dst", F.col("v").alias("w")), ["src", "dst", "w"], "left_anti")
+        s["front"] = s["seen"].add(new.select("src", "dst", F.col("w").alias("v"), "near", F.lit(s["depth"]).alias("steps")))
+        # a pair without a frontier on one side has no path
+        live = s["front"].select("src", "dst").distinct()
+        sides[other]["front"] = write_once(sides[other]["front"].join(live, ["src", "dst"], "left_semi"))
+        meet(side, other)
+    else:
+        raise ValueError("too many steps")
+    path = met.all().select("src", "dst", F.col("v").alias("first"), F.col("v").alias("last"), F.array("v").alias("path"))
+    for side, end in (("out", "first"), ("back", "last")):
+        trail = sides[side]["seen"].all().select("src", "dst", F.col("v").alias(end), "near")
+        done, left = Rounds(spark, path.schema, "walked"), write_once(path)
+        for _ in range(sides[side]["depth"] + 1):
+            step = write_once(left.join(trail, ["src", "dst", end]))
+            done.add(step.where("near IS NULL").select(*path.columns))
+            grown = F.concat(F.array("near"), "path") if side == "out" else F.concat("path", F.array("near"))
+            left = step.where("near IS NOT NULL").withColumn("path", grown).withColumn(end, F.col("near")).select(*path.columns)
+        path = done.all()
+    return path.select("src", "dst", (F.size("path") - 1).alias("steps"), "path")
 
 
 def weighted_distances(edges: DataFrame, root: int) -> DataFrame:
@@ -127,13 +195,14 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
 def distances(edges: DataFrame, root: int) -> DataFrame:
     """(id, steps): fewest steps from a root, breadth first."""
-    hop = edges.select("src", "dst").distinct()
-    seen = frontier = write_once(edges.sparkSession.range(1).select(F.lit(root).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).alias("steps")))
+    hop = write_once(edges.select("src", "dst").distinct())
+    first = edges.sparkSession.range(1).select(F.lit(root).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).alias("steps"))
+    seen = Rounds(edges.sparkSession, first.schema, "reached")
+    frontier = seen.add(first)
     for steps in range(1, ROUNDS):
-        frontier = write_once(frontier.join(hop, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("steps", F.lit(steps)))
+        frontier = seen.add(frontier.join(hop, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.all().select("id"), "id", "left_anti").withColumn("steps", F.lit(steps)))
         if not frontier.limit(1).count():
-            return seen
-        seen = write_once(seen.unionAll(frontier))
+            return seen.all()
     raise ValueError("too many steps")
 
 
@@ -159,12 +228,59 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest vertex that is reached from and reaches it."""
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.intersect(back).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
+    """(id, component): the smallest vertex that is reached from and reaches it.
+
+    Vertices without an edge in or without one out are trimmed, as they are components by themselves. What is
+    left takes the colour of the smallest vertex that reaches it; a vertex of its own colour is a pivot, and
+    what reaches it within its colour is its component. Components go, edges between colours as well, and the
+    rest begins again. Every table is as long as the vertices or the edges; no closure is made.
+    """
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    live = write_once(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    ids = live.select(F.col("src").alias("id")).unionAll(live.select(F.col("dst").alias("id"))).distinct()
+    done = Rounds(spark, ids.select("id", F.col("id").alias("component")).schema, "strong")
+    live = write_once(live.where("src <> dst"))
+    for _ in range(ROUNDS):
+        # trim: only edges whose source has an edge in and whose target has one out can be on a cycle
+        size = live.count()
+        while size:
+            inner = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            live, before = write_once(inner.select("src", "dst")), size
+            size = live.count()
+            if size > 0.9 * before:
+                break
+        if not size:
+            rest = ids.join(done.all().select("id"), "id", "left_anti") if done.n else ids
+            done.add(rest.select("id", F.col("id").alias("component")))
+            return done.all()
+        colour = _least_reaching(live)
+        same = live.join(colour.select(F.col("id").alias("src"), "c"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst").where("c = d").select("src", "dst", "c")
+        live = write_once(same)
+        # backwards from the pivots, within their colour
+        first = colour.where("id = c").select("id", "c")
+        found = Rounds(spark, first.schema, "behind")
+        front = found.add(first)
+        while front.limit(1).count():
+            back = live.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
+            front = found.add(back.join(found.all().select("id"), "id", "left_anti"))
+        gone = done.add(found.all().select("id", F.col("c").cast(kind).alias("component")))
+        live = write_once(live.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    raise ValueError("too many rounds")
+
+
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(id, c): the smallest vertex from which one is reached, itself included; only what changed goes on."""
     ids = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
-    return ids.join(mutual, "id", "left").select("id", F.least(F.coalesce("m", "id"), "id").alias("component"))
+    state = new = write_once(ids.select("id", F.col("id").alias("c")))
+    for _ in range(ROUNDS):
+        told = new.join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("c").alias("told"))
+        both = state.join(told.withColumnRenamed("dst", "id"), "id", "left")
+        state = write_once(both.select("id", F.least("c", "told").alias("c"), (F.col("told") < F.col("c")).alias("changed")))
+        new = state.where("changed").select("id", "c")
+        state = state.select("id", "c")
+        if not new.limit(1).count():
+            return state
+    raise ValueError("too many rounds")
 
 
 def levels(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _written: dict[str, SparkSession] = {}
 
@@ -37,6 +38,24 @@ def write_once(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that grows by rounds: each is written to a folder of its own, and earlier ones are never written again."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, name: str = "rounds") -> None:
+        self.spark, self.schema, self.path, self.n = spark, schema, shared_path(spark, name), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next round and return it as read back."""
+        path = f"{self.path}/round={self.n}"
+        df.select(*self.schema.names).write.parquet(path)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of every round."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={i}" for i in range(self.n)])
+
+
 @atexit.register
 def _drop_all() -> None:
     for path, spark in _written.items():

@@ -148,6 +148,59 @@ def graph_strong_components(t):
     return G.strong_components(e.unionAll(e.where((F.col("src") + F.col("dst")) % 5 == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
 
 
+#: From each order to the next one of its customer, and back from it to the order before it with the same leading part, that of its dearest line.
+_BRANCHING = (
+    "o AS (SELECT o_orderkey, o_custkey, o_orderdate, max_by(l_partkey, (l_extendedprice, l_partkey)) AS top FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL), "
+    "e AS (SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM o UNION ALL SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY top ORDER BY o_orderdate, o_orderkey) FROM o) WHERE dst IS NOT NULL)"
+)
+
+
+def _branching(t):
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct("l_extendedprice", "l_partkey"))["l_partkey"].alias("top"))
+    o = write_once(t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(lines, "o_orderkey"))
+    ahead = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    back = F.lag("o_orderkey").over(Window.partitionBy("top").orderBy("o_orderdate", "o_orderkey"))
+    return write_once(o.select(F.col("o_orderkey").alias("src"), ahead.alias("dst")).unionAll(o.select("o_orderkey", back)).where("dst IS NOT NULL").distinct())
+
+
+@query(
+    f"WITH RECURSIVE {_BRANCHING}, p AS (SELECT min_by(o_orderkey, (o_orderdate, o_orderkey)) AS a, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS z FROM o GROUP BY top), "
+    "r(a, v, steps) USING KEY (a, v) AS (SELECT a, a, 0 FROM p UNION SELECT r.a, e.dst, min(r.steps + 1) FROM r JOIN e ON r.v = e.src LEFT JOIN recurring.r k ON k.a = r.a AND k.v = e.dst WHERE k.v IS NULL GROUP BY r.a, e.dst) "
+    "SELECT p.a AS src, p.z AS dst, r.steps::INT AS steps, TRUE AS checked FROM p JOIN r ON r.a = p.a AND r.v = p.z"
+)
+def graph_witness_paths(t):
+    """For each part that leads an order, a shortest path from its first such order to its last one, checked edge by edge."""
+    edges = _branching(t)
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct("l_extendedprice", "l_partkey"))["l_partkey"].alias("top"))
+    order = F.struct("o_orderdate", "o_orderkey")
+    pairs = t.orders.join(lines, "o_orderkey").groupBy("top").agg(F.min_by("o_orderkey", order).alias("src"), F.max_by("o_orderkey", order).alias("dst"))
+    found = write_once(G.witness_paths(edges, pairs))
+    steps = found.where("steps > 0").select("src", "dst", F.explode(F.expr("transform(sequence(0, steps - 1), i -> struct(path[i] AS u, path[i + 1] AS w))")).alias("s"))
+    good = steps.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.lit(True).alias("edge")), (F.col("s.u") == F.col("u")) & (F.col("s.w") == F.col("w")), "left").groupBy("src", "dst").agg(F.count("edge").alias("good"))
+    ends = (F.get("path", F.lit(0)) == F.col("src")) & (F.get("path", F.col("steps")) == F.col("dst"))
+    return found.join(good, ["src", "dst"], "left").select("src", "dst", "steps", (ends & (F.coalesce("good", F.lit(0)) == F.col("steps"))).alias("checked"))
+
+
+#: From each part to the parts on the lines after its dearest and its cheapest line in their suppliers' lists of lines.
+_AFTER = (
+    "l AS (SELECT l_partkey AS p, l_extendedprice AS x, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS q FROM lineitem), "
+    "e AS (SELECT DISTINCT src, dst FROM (SELECT p AS src, unnest([max_by(q, (x, q)), min_by(q, (x, q))]) AS dst FROM l WHERE q IS NOT NULL GROUP BY p))"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_AFTER}, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) "
+    "SELECT v.id, least(v.id, coalesce(min(a.dst), v.id)) AS component FROM v LEFT JOIN (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) a ON a.src = v.id GROUP BY v.id"
+)
+def graph_strong_components_of_parts(t):
+    """The parts that lead to each other by the lines after their dearest and cheapest lines: large cycles beside single parts."""
+    after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    rows = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_extendedprice").alias("x"), after.alias("q")).where("q IS NOT NULL")
+    key = F.struct("x", "q")
+    edges = rows.groupBy("src").agg(F.max(key)["q"].alias("a"), F.min(key)["q"].alias("b")).select("src", F.explode(F.array("a", "b")).alias("dst"))
+    return G.strong_components(edges)
+
+
 @query(f"WITH RECURSIVE {_EDGES}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(id, level) AS (SELECT id, 0 FROM v UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.id) SELECT id, max(level) AS level FROM r GROUP BY id")
 def graph_topological_levels(t):
     return G.levels(_edges(t))
