@@ -119,7 +119,9 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     schema = "doc_id long, item_id long, n_item int, n_shared int"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    held = join_small(found, items, "item", "inner")
+    # items hold their whole shingles, so their bytes are counted, not their rows
+    width = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("shingles", "")) + 24 * F.size("shingles")), F.lit(0))).first()[0]
+    held = found.join(F.broadcast(items) if width <= BROADCAST_BYTES else items, "item")
     cases = F.lit(None)
     for k in lengths:
         cases = F.when(F.col("k") == k, of_words(F.col("text"), strung(k))).otherwise(cases)
