@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relations import ordinal
 from .common import components, free_name, join_small, materialize, release
 
 WORDS_PER_SHINGLE = 5
@@ -438,6 +439,10 @@ def shared_signatures(texts: DataFrame, rows: DataFrame, classes: DataFrame) ->
     return materialize(some.join(often, "sig"), "buckets")
 
 
+#: Ids beyond this are too near the ends of 64 bits for new ones after them.
+ROOM = 1 << 62
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n, rep, component) for each row of docs (doc_id, text); rep is the smallest id of an equal set."""
     spark = docs.sparkSession
@@ -501,14 +506,28 @@ def link_components(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))
 
 
+def renumbered(docs: DataFrame, clash: DataFrame) -> DataFrame:
+    """The components where ids leave no room for new ones at either end: over ids numbered from 0 in their order, and back."""
+    names = materialize(ordinal(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", name="number"), "numbers")
+    dense = docs.join(names, "doc_id", "left").select(F.col("number").alias("doc_id"), "text")
+    found = with_own_ids(dense, materialize(clash.join(names, "doc_id").select(F.col("number").alias("doc_id")), "clash"))
+    for column in ("doc_id", "rep", "component"):
+        back = names.select(F.col("number").alias(column), F.col("doc_id").alias("was"))
+        found = found.join(back, column, "left").withColumn(column, F.col("was")).drop("was")
+    return found
+
+
 def with_own_ids(docs: DataFrame, clash: DataFrame) -> DataFrame:
-    """The components where some ids have several texts: each such text gets an id of its own, above all others, for the while."""
+    """The components where some ids have several texts: each such text gets an id of its own, beyond all others, for the while."""
     spark = docs.sparkSession
-    top = docs.agg(F.max("doc_id")).first()[0]
+    low, top = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low < -ROOM and top > ROOM:
+        return renumbered(docs, clash)
+    place = F.monotonically_increasing_id()
     rows = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
     own = rows.join(clash, "doc_id", "left_semi").select("doc_id", "digest").distinct()
     # the ids need no order, only to be new; what is written keeps them the same for all that reads them
-    own = materialize(own.withColumn("own", F.lit(top) + 1 + F.monotonically_increasing_id()), "own-ids")
+    own = materialize(own.withColumn("own", F.lit(top) + 1 + place if top <= ROOM else F.lit(low) - 1 - place), "own-ids")
     split = rows.join(own, ["doc_id", "digest"], "left").select(F.coalesce("own", "doc_id").alias("doc_id"), "text")
     found = link_components(split)
     back = own.select("own", "doc_id")

@@ -723,3 +723,14 @@ def test_scan_stitches_blocks_and_files(spark):
 def test_results_are_json_free_of_nan(spark, folder):
     rows = queries.QUERIES["op1_toxicity"](spark, folder).collect()
     assert all(0 <= r["score"] <= 1 for r in rows) and json.dumps([r["score"] for r in rows], allow_nan=False)
+
+
+@pytest.mark.parametrize("ends", [(-5, 2**63 - 1), (-(2**63), 9), (-(2**63), 2**63 - 1)])
+def test_jaccard_ids_at_the_ends_of_64_bits(spark, ends):
+    low, top = ends
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(top, a), (top, b), (1, a), (low, c), (low, b), (3, c)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["component_id"]) for r in found}
+    # one id with two texts ties what each of them is linked with
+    assert got == {(x, low) for x in (low, top, 1, 3)}
