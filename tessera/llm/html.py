@@ -5,16 +5,17 @@ a line has its text, the number of its tags, and what its ancestors say of it. T
 tags per line is smoothed with a Gaussian window, and the lines above a threshold made from the spread
 of the ratios form the content regions (text-to-tag ratio clustering). Lines within menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments have no ratio and are
-never chosen. Where a page marks its article, lines in it are content at any positive ratio, and the
-threshold only decides on pages that mark none.
+never chosen. Where a page marks its article, its plain lines are content at any positive ratio; blocks in it
+whose class or id only suggests something else (SOFT) have half their ratio, and the threshold decides on
+them, as it does on all lines of pages that mark none.
 
 A class or id names a block by its last word that is no part of a block (comments in comments-area), and
 not by what it has or is filed under (has-sidebar, category-legal). A block so named never drops a main or
-article element, nor one inside it. Only among comments, related pages, sidebars and widgets, where each
+article element, nor one inside it, and no name drops a heading or a p, as their ids are often words of the text. Only among comments, related pages, sidebars and widgets, where each
 entry may be an article element, articles count only if the page marks no other.
 
 Cases. NULL or empty html, or a page without content: an empty text. Unclosed elements end with the
-element around them. White space inside a line becomes one space. NULL id: kept. Repeated rows: each
+element around them, and a comment without an end reaches to the end of the page. White space inside a line becomes one space. NULL id: kept. Repeated rows: each
 has its own result. Empty table: empty result.
 """
 
@@ -47,6 +48,14 @@ HINTS = frozenset(
 )
 #: Of these, blocks whose entries may be article elements of their own.
 ENTRIES = frozenset("sidebar sidebars comment comments commentlist disqus replies reply respond related recommended recommendations widget widgets".split())
+#: Of the words, those that stand for parts of an article as well: inside one, the ratio decides.
+SOFT = frozenset("widget widgets menu menus nav navigation notice notices banner copyright legal disclaimer alert toolbar skip foot aside overlay".split())
+#: What a soft word leaves of a line's ratio.
+PRIOR = 0.5
+#: Elements whose class and id say nothing of what they hold.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Where a comment begins, or an element in which `<!--` is text.
+OPENS = re.compile(r"<!--|<(script|style|textarea|title)\b", re.I)
 #: After these words a class or id says what an element has, lacks or is filed under.
 MODIFIERS = frozenset("has have with without no not category cat tag tagged topic type format status".split())
 #: Words for a part or a box of what the word before them names.
@@ -80,7 +89,7 @@ class Lines(HTMLParser):
     """Collects (text, tags, link characters, kind, heading) per line.
 
     Kinds: 0 dropped, 1 open, 2 within an article, 3 within an article's header, 4 within an article among
-    entries, 5 dropped by a class or id, 6 the same among entries.
+    entries, 5 dropped by a class or id, 6 the same among entries, 7 within an article under a soft word.
     """
 
     def __init__(self) -> None:
@@ -118,9 +127,11 @@ class Lines(HTMLParser):
                     return 0
                 continue
             if name in ("class", "id"):
-                for token in value.split() if tag not in ("body", "html") else ():
+                for token in value.split() if tag not in ("body", "html") and tag not in PLAIN else ():
                     word = named(token)
-                    if word in ENTRIES and tag != "main":
+                    if self.kind in (2, 7) and word in SOFT and not whole:
+                        kind = 7 if kind == 2 else kind
+                    elif word in ENTRIES and tag != "main":
                         kind = 4 if tag == "article" else 6
                     elif word in HINTS and not whole and kind != 6:
                         kind = 5
@@ -212,29 +223,57 @@ def extract(page: str | None) -> str:
     """The main text of a whole page."""
     if not page:
         return ""
-    parser = Lines()
+    parser, page = Lines(), without_open_comment(page)
     for at in range(0, len(page), CHUNK):
         parser.feed(page[at : at + CHUNK])
     parser.close()
     parser.cut()
     article = 2 if any(line[3] == 2 for line in parser.lines) else 4
-    lines = [(text, tags, links, 2 if kind == article else 0 if kind == 3 else 1, heading) for text, tags, links, kind, heading in parser.lines if kind in (1, 3, article)]
+    inside = (article, 7) if article == 2 else (article,)
+    lines = [(text, tags, links, 2 if kind == article else kind if kind == 7 and article == 2 else 0 if kind == 3 else 1, heading) for text, tags, links, kind, heading in parser.lines if kind in (1, 3, *inside)]
     if not lines:
         return ""
     marked = any(kind == 2 for _, _, _, kind, _ in lines)
     # text to tags: characters outside of links for each tag, the line's own two included
-    ratios = [0.0 if kind == 0 else (len(text) - (min(links, len(text)) if kind == 1 else 0)) / (1 + tags) for text, tags, links, kind, _ in lines]
-    smooth = smoothed(ratios)
+    ratios = [0.0 if kind == 0 else (len(text) - (min(links, len(text)) if kind in (1, 7) else 0)) / (1 + tags) * (PRIOR if kind == 7 else 1) for text, tags, links, kind, _ in lines]
     if marked:
-        return "\n".join(line[0] for line, x in zip(lines, smooth, strict=True) if line[3] == 2 and x > 0)
-    mean = sum(smooth) / len(smooth)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    threshold = min(spread, mean) if spread else mean / 2
+        # the article's own lines make the threshold for what is doubtful in it
+        held = [i for i, line in enumerate(lines) if line[3] in (2, 7)]
+        smooth = smoothed(ratios)
+        plain = [smooth[i] for i in held if lines[i][3] == 2]
+        least = threshold(plain)
+        return "\n".join(lines[i][0] for i in held if (smooth[i] > 0 if lines[i][3] == 2 else smooth[i] >= least and 2 * lines[i][2] <= len(lines[i][0])))
+    smooth = smoothed(ratios)
+    least = threshold(smooth)
     fits = [kind > 0 and 2 * links <= len(text) for text, _, links, kind, _ in lines]
-    above = [i for i, x in enumerate(smooth) if fits[i] and x >= threshold]
+    above = [i for i, x in enumerate(smooth) if fits[i] and x >= least]
     return "\n".join(lines[i][0] for i in regions(above, fits, [line[4] for line in lines]))
 
 
+def threshold(smooth: list[float]) -> float:
+    """The least smoothed ratio of content: the spread of the ratios, or their mean if that is less."""
+    mean = sum(smooth) / len(smooth)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    return min(spread, mean) if spread else mean / 2
+
+
+def without_open_comment(page: str) -> str:
+    """The page up to a comment that has no end; one pass, as the parser would look for its end again and again."""
+    at = 0
+    while found := OPENS.search(page, at):
+        if found[1] is None:
+            end = page.find("-->", found.end())
+            if end < 0:
+                return page[: found.start()]
+            at = end + 3
+        else:
+            close = re.compile(f"</{found[1]}", re.I).search(page, found.end())
+            if close is None:
+                return page
+            at = close.end()
+    return page
+
+
 def regions(above: list[int], fits: list[bool], headings: list[bool]) -> list[int]:
     """Lines above the threshold, the fitting ones between two of them that are at most GAP apart, and headings right before a region."""
     out: list[int] = []

@@ -734,3 +734,25 @@ def test_jaccard_ids_at_the_ends_of_64_bits(spark, ends):
     got = {(r["doc_id"], r["component_id"]) for r in found}
     # one id with two texts ties what each of them is linked with
     assert got == {(x, low) for x in (low, top, 1, 3)}
+
+
+@pytest.mark.parametrize(
+    "block",
+    ['<h2 id="copyright">{}</h2>', '<h2 id="banner">{}</h2>', '<p id="notice">{}</p>', '<div class="widget">{}</div>', '<section id="menu"><p>{}</p></section>', '<p class="ad">{}</p>'],
+)
+def test_html_names_drop_no_part_of_an_article(block):
+    said = "This part belongs to the article as well as all others do."
+    page = f"<body><nav><a href='/'>home</a></nav><article><h1>Title</h1><p>{said}</p>{block.format(said)}<p>{said}</p></article></body>"
+    assert html.extract(page) == "\n".join(["Title", said, said, said])
+
+
+def test_html_ratio_decides_on_doubtful_blocks_of_an_article():
+    said = "A long paragraph of the article that goes on for a while, with words and words. " * 4
+    links = "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(6))
+    page = f"<article><h1>T</h1><p>{said}</p><p>short</p><ul class='menu'>{links}</ul><div class='ad'>Buy it now</div><p>{said}</p></article>"
+    assert html.extract(page).split("\n") == ["T", said.strip(), "short", said.strip()]
+
+
+def test_html_comments_without_an_end_are_linear():
+    page = "<article><p>kept</p><script>var a = '<!--';</script><p>also</p><!-- a -- b --><p>too</p>" + "<!-- x " * 300_000
+    assert html.extract(page) == "kept\nalso\ntoo"
