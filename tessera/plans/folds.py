@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import write_once
+
 
 def guarded_map(df: DataFrame, f: Callable[[pd.DataFrame], pd.Series], schema: str) -> DataFrame:
     """(value, error) of each row: f maps a batch of rows; where the batch fails, row by row, so that only bad rows are lost."""
@@ -40,6 +44,54 @@ def fold_partitions(df: DataFrame, start: float, step: Callable[[float, pd.DataF
     return df.mapInPandas(run, "state double").agg(F.coalesce(combine(F.col("state")), F.lit(float(start))).alias("state"))
 
 
+#: Partial states that are merged in one step of a tree.
+FAN = 16
+
+
+def fold_collecting(df: DataFrame, row_id: str, start: dict, step: Callable[[dict, dict], dict], merge: Callable[[dict, dict], dict]) -> tuple[dict, DataFrame]:
+    """(state, failures): a fold over all rows that goes on where a row fails, and (row_id, reason) of the rows that did.
+
+    One pass makes both: each partition puts out its state, of which a failed row is no part, and its failed
+    rows, under one schema. States are JSON objects; they are merged FAN at a time in a tree of tasks, so that no
+    task and not the driver sees all of them. step(state, row) returns a new state or raises; merge is
+    associative with start as its unit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        state, names = start, ["part", "state", "row_id", "reason"]
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            ids, reasons = [], []
+            for row in batch.to_pylist():
+                name = row.pop("__id")
+                try:
+                    state = step(state, row)
+                except Exception as e:  # kept as the row's reason
+                    ids.append(name)
+                    reasons.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array([None] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(reasons, pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([json.dumps(state)], pa.string()), pa.array([None], pa.string()), pa.array([None], pa.string())], names=names)
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        state = start
+        for x in frame.sort_values("part")["state"]:
+            state = merge(state, json.loads(x))
+        return pd.DataFrame({"part": [int(frame["part"].min()) // FAN], "state": [json.dumps(state)]})
+
+    tagged = write_once(df.select(F.col(row_id).cast("string").alias("__id"), "*").mapInArrow(run, "part int, state string, row_id string, reason string"))
+    states = tagged.where("state IS NOT NULL").select("part", "state")
+    n = states.count()
+    while n > 1:
+        states = write_once(states.groupBy(F.expr(f"part div {FAN}")).applyInPandas(merged, "part int, state string"))
+        # numbers of partitions shrink by FAN with each step, however few of them had rows
+        n = states.count()
+    found = states.first()
+    failures = tagged.where("reason IS NOT NULL").select(F.col("row_id"), "reason")
+    return (json.loads(found["state"]) if found else start), failures
+
+
 class Rules:
     """Named plug-ins by priority."""
 
@@ -65,22 +117,25 @@ def fold_in_order(df: DataFrame, key: str, order: list[str], value: str, start:
     """(key, state): a fold over each key's rows one after another, in order; state and value are of type long.
 
     A key's rows stay in one task but are never held together: partitions are sorted, and only the state goes on.
+    NULL is a key like others. Rows with a NULL value take no step, and a key with such rows only has the start.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, state = None, start
+        schema = pa.schema([("k", pa.int64()), ("state", pa.int64())])
         for batch in batches:
             done = []
-            for k, x in zip(batch["k"].tolist(), batch["x"].tolist(), strict=True):
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if held != (k,):
                     if held is not None:
-                        done.append((held[0], state))
+                        done.append({"k": held[0], "state": state})
                     held, state = (k,), start
-                state = step(state, x)
-            yield pd.DataFrame(done, columns=["k", "state"])
+                if x is not None:
+                    state = step(state, x)
+            yield pa.RecordBatch.from_pylist(done, schema)
         if held is not None:
-            yield pd.DataFrame([(held[0], state)], columns=["k", "state"])
+            yield pa.RecordBatch.from_pylist([{"k": held[0], "state": state}], schema)
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(value).cast("long").alias("x"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    rows = rows.where("k IS NOT NULL AND x IS NOT NULL").repartition("k").sortWithinPartitions("k", *[f"o{i}" for i in range(len(order))]).select("k", "x")
-    return rows.mapInPandas(run, "k long, state long").withColumnRenamed("k", key)
+    rows = rows.repartition("k").sortWithinPartitions("k", *[f"o{i}" for i in range(len(order))]).select("k", "x")
+    return rows.mapInArrow(run, "k long, state long").withColumnRenamed("k", key)
