@@ -321,13 +321,19 @@ def merkle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done if done is not None else nodes.select("id", F.lit(None).cast("string").alias("digest"))
 
 
-def girth(edges: DataFrame, longest: int = 64) -> int:
-    """The length of the shortest cycle of a simple graph, 0 if there is none: per edge, the shortest way round without it."""
+def girth(edges: DataFrame) -> int:
+    """The length of the shortest cycle of a simple graph, 0 if there is none: walks from each edge that never turn straight back, one step more a round.
+
+    No shortest cycle has more steps than there are vertices, so that is where the search ends; in a graph
+    without cycles it ends when no walk goes on. More than ROUNDS rounds are an error.
+    """
     und = write_once(symmetrized(edges.where("src <> dst")))
+    most = und.select("src").distinct().count()
     hop = und.select(F.col("src").alias("__mid"), F.col("dst").alias("__to"))
-    # walks from each edge that never turn straight back
     state = write_once(und.where("src < dst").select(F.col("src").alias("root"), F.col("src").alias("prev"), F.col("dst").alias("at")))
-    for n in range(2, longest + 1):
+    for n in range(2, most + 1):
+        if n > ROUNDS:
+            raise ValueError(f"no cycle of up to {ROUNDS} steps, and walks that go on")
         state = write_once(state.join(hop, state["at"] == hop["__mid"]).where("__to <> prev").select("root", F.col("at").alias("prev"), F.col("__to").alias("at")).distinct())
         if state.where("at = root").limit(1).count():
             return n
@@ -336,6 +342,11 @@ def girth(edges: DataFrame, longest: int = 64) -> int:
     return 0
 
 
+def incidence(edges: DataFrame) -> DataFrame:
+    """(v, src, dst): the ones of the vertex x edge matrix, an edge named by its ends; a loop has one."""
+    return edges.select("src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("v")).select("v", "src", "dst")
+
+
 def height(edges: DataFrame) -> DataFrame:
     """(height): the vertices of a longest chain of an order whose pairs (smaller, greater) are the edges, 0 without pairs; a cycle is an error."""
     return levels(edges).agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).cast("long").alias("height"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import write_once
@@ -105,6 +105,11 @@ class Rules:
     def names(self) -> list[str]:
         return [name for _, name, _ in self.rules]
 
+    def column(self) -> Column:
+        """struct(rule, value) of the first rule whose column has a value for a row; rules are functions without arguments that make columns of one type."""
+        cases = [F.when(f().isNotNull(), F.struct(F.lit(name).alias("rule"), f().alias("value"))) for _, name, f in self.rules]
+        return F.coalesce(*cases) if cases else F.lit(None)
+
     def first(self, *args):
         """The result of the first rule that has one."""
         for _, _, f in self.rules:

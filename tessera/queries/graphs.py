@@ -75,6 +75,12 @@ def graph_incidence(t):
     return _edges(t).select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
 
 
+@query(f"WITH {_EDGES} SELECT src AS v, src, dst FROM e UNION ALL SELECT dst, src, dst FROM e")
+def graph_incidence_matrix(t):
+    """Each edge's two ones in the matrix of vertices and edges."""
+    return G.incidence(_edges(t))
+
+
 @query(f"WITH {_NATIONS}, v AS (SELECT src AS v FROM e UNION SELECT dst FROM e) SELECT src AS v FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) GROUP BY src HAVING count(*) = (SELECT count(*) - 1 FROM v)")
 def graph_universal_vertices(t):
     both = G.symmetrized(_nations(t))
@@ -230,14 +236,15 @@ def fixed_points(t):
     return t.nation.where("n_nationkey * n_nationkey % 25 = n_nationkey").select(F.col("n_nationkey").alias("x"))
 
 
-@query("WITH RECURSIVE p(i, x) AS (SELECT 0, 27::BIGINT UNION ALL SELECT i + 1, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT max(i)::BIGINT AS steps FROM p")
+@query("WITH RECURSIVE p(s, i, x) AS (SELECT DISTINCT p_size, 0, p_size::BIGINT FROM part WHERE p_size > 0 UNION ALL SELECT s, i + 1, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT s AS p_size, max(i)::BIGINT AS steps FROM p GROUP BY s")
 def iterate_to_fixpoint(t):
-    """Iterating a map from one value until it stays: a recursive query."""
+    """Iterating a map from each size of the parts until it comes to 1: a recursive query."""
     key = "spark.sql.cteRecursionLevelLimit"
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, "500")
     try:
-        return write_once(t.spark.sql("WITH RECURSIVE p(i, x) AS (SELECT 0, 27L UNION ALL SELECT i + 1, CASE WHEN x % 2 = 0 THEN x div 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT CAST(max(i) AS BIGINT) AS steps FROM p"))
+        statement = "WITH RECURSIVE p(s, i, x) AS (SELECT p_size, 0, CAST(p_size AS BIGINT) FROM {sizes} UNION ALL SELECT s, i + 1, CASE WHEN x % 2 = 0 THEN x div 2 ELSE 3 * x + 1 END FROM p WHERE x <> 1) SELECT s AS p_size, CAST(max(i) AS BIGINT) AS steps FROM p GROUP BY s"
+        return write_once(t.spark.sql(statement, sizes=t.part.where("p_size > 0").select("p_size").distinct()))
     finally:
         t.spark.conf.set(key, before)
 

@@ -78,11 +78,11 @@ def lists_extended_and_applied(t):
     return t.nation.select("n_nationkey", F.array_join(X.snoc(F.array(s("n_name"), s("n_regionkey")), F.lit("end")), ",").alias("x"), F.array_join(F.transform(made, lambda x: x.cast("string")), ",").alias("y"))
 
 
-@query("SELECT i AS seq, i AS nat, 7 AS const, ['a', 'b', 'c'][(i % 3 + 1)::INT] AS cyc FROM range(30) r(i)")
+@query("SELECT p_partkey AS seq, p_partkey AS nat, 7 AS const, ['a', 'b', 'c'][(p_partkey % 3 + 1)::INT] AS cyc FROM part")
 def endless_sequences(t):
-    """The first places of the naturals, of a constant and of a cycle; the streams themselves are in streaming.sequences."""
-    names = F.array(*[F.lit(x) for x in "abc"])
-    return t.spark.range(30).select(F.col("id").alias("seq"), F.col("id").alias("nat"), F.lit(7).alias("const"), F.get(names, (F.col("id") % 3).cast("int")).alias("cyc"))
+    """The naturals, a constant and a cycle at the places of the parts' keys; as streams they are in streaming.endless."""
+    names, seq = F.array(*[F.lit(x) for x in "abc"]), F.col("p_partkey")
+    return t.part.select(seq.alias("seq"), seq.alias("nat"), F.lit(7).alias("const"), F.get(names, (seq % 3).cast("int")).alias("cyc"))
 
 
 @query("SELECT regexp_extract(props, '\"([a-z_]+)\": ?', 1) AS k, count(*) AS n FROM events WHERE regexp_matches(props, '\"([a-z_]+)\": ?') GROUP BY 1")
@@ -162,9 +162,8 @@ def date_parts(t):
 
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", origin="driver")
 def temporary_view(t):
-    """A view of the session's catalog, queried by SQL and dropped."""
-    t.nation.createOrReplaceTempView("tessera_nations")
-    return t.spark.sql("SELECT n_regionkey, count(*) AS n FROM tessera_nations GROUP BY n_regionkey")
+    """A view for one statement: named in it, and dropped when it has been planned."""
+    return t.spark.sql("SELECT n_regionkey, count(*) AS n FROM {nations} GROUP BY n_regionkey", nations=t.nation)
 
 
 def _round_trip(t, kind, **options):

@@ -149,8 +149,11 @@ def probe_names(t):
     return names.join(known, "name", "left").select("name", F.when(F.col("deprecated").isNull(), "missing").when(F.col("deprecated"), "deprecated").otherwise("ok").alias("status"))
 
 
-@query("SELECT x, y, abs(x - 3) + abs(y - 4) AS cost FROM range(10) a(x), range(10) b(y) ORDER BY cost, x, y LIMIT 1")
+@query("WITH a AS (SELECT s_suppkey, x.n_nationkey AS x, y.n_nationkey AS y, 3 * abs(x.n_nationkey - s_nationkey) + abs(y.n_nationkey - s_suppkey % 25) + CASE WHEN x.n_nationkey = y.n_nationkey THEN 10 ELSE 0 END AS cost FROM supplier JOIN nation h ON h.n_nationkey = s_nationkey JOIN nation x ON x.n_regionkey = h.n_regionkey JOIN nation y ON y.n_regionkey = h.n_regionkey) SELECT s_suppkey, x, y, cost FROM a QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY cost, x, y) = 1")
 def cheapest_assignment(t):
-    """A valued constraint problem over small domains: the least sum of costs."""
-    x, y = t.spark.range(10).withColumnRenamed("id", "x"), t.spark.range(10).withColumnRenamed("id", "y")
-    return x.crossJoin(y).withColumn("cost", F.abs(F.col("x") - 3) + F.abs(F.col("y") - 4)).orderBy("cost", "x", "y").limit(1)
+    """A valued constraint problem for each supplier: two nations of its region, near two keys and better not the same, at the least sum of costs."""
+    n = t.nation.select("n_nationkey", "n_regionkey")
+    at = t.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
+    ways = at.join(n.withColumnRenamed("n_nationkey", "x"), "n_regionkey").join(n.withColumnRenamed("n_nationkey", "y"), "n_regionkey")
+    cost = 3 * F.abs(F.col("x") - F.col("s_nationkey")) + F.abs(F.col("y") - F.col("s_suppkey") % 25) + F.when(F.col("x") == F.col("y"), 10).otherwise(0)
+    return ways.groupBy("s_suppkey").agg(F.min(F.struct(cost.alias("cost"), "x", "y")).alias("m")).select("s_suppkey", "m.x", "m.y", "m.cost")

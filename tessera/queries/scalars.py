@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import maths as M
 from ..functions import strings as S
+from ..operators.relations import ordinal
 from ..registry import query
 
 _NUMBERS = "n AS (SELECT p_partkey AS n FROM part)"
@@ -105,21 +106,25 @@ def chinese_remainder(t):
     return t.nation.select("n_nationkey", M.crt(F.array(key % 3, F.col("n_regionkey") % 5, key % 4), F.array(F.lit(3), F.lit(5), F.lit(7))).alias("x"))
 
 
-@query("SELECT n, (factorial((2 * n)::INT) // (factorial(n::INT) * factorial(n::INT)))::BIGINT AS central, (factorial((2 * n)::INT) // (factorial(n::INT) * factorial((n + 1)::INT)))::BIGINT AS catalan, CASE n WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE list_product([k FOR k IN range(1, n + 1) IF (n - k) % 2 = 0])::BIGINT END AS double_factorial FROM range(11) r(n)")
+@query("SELECT p_partkey, n, (factorial((2 * n)::INT) // (factorial(n::INT) * factorial(n::INT)))::BIGINT AS central, (factorial((2 * n)::INT) // (factorial(n::INT) * factorial((n + 1)::INT)))::BIGINT AS catalan, CASE n WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE list_product([k FOR k IN range(1, n + 1) IF (n - k) % 2 = 0])::BIGINT END AS double_factorial FROM (SELECT p_partkey, (p_size % 11)::BIGINT AS n FROM part)")
 def combinatorial_numbers(t):
-    n = F.col("id")
-    return t.spark.range(11).select(n.alias("n"), M.central_binomial(n).alias("central"), M.catalan(n).alias("catalan"), M.double_factorial(n).alias("double_factorial"))
+    """Numbers of each part's size, taken by eleven."""
+    n = (F.col("p_size") % 11).cast("long")
+    return t.part.select("p_partkey", n.alias("n"), M.central_binomial(n).alias("central"), M.catalan(n).alias("catalan"), M.double_factorial(n).alias("double_factorial"))
 
 
-@query("WITH RECURSIVE r(n, f, s, d) AS (SELECT 0::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1), s * f * (n + 1), d * (n + 1) + CASE WHEN n % 2 = 0 THEN -1 ELSE 1 END FROM r WHERE n < 6) SELECT n, s AS super, d AS derangements, ((pow(3, n) - 3 * pow(2, n) + 3) / 6)::BIGINT AS stirling3 FROM r")
+@query("WITH RECURSIVE r(n, f, s, d) AS (SELECT 0::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1), s * f * (n + 1), d * (n + 1) + CASE WHEN n % 2 = 0 THEN -1 ELSE 1 END FROM r WHERE n < 6) SELECT p_partkey, n, s AS super, d AS derangements, ((pow(3, n) - 3 * pow(2, n) + 3) / 6)::BIGINT AS stirling3 FROM part JOIN r ON n = p_size % 7")
 def recursive_numbers(t):
-    n = F.col("id")
-    return t.spark.range(7).select(n.alias("n"), M.super_factorial(n).alias("super"), M.derangements(n).alias("derangements"), M.stirling_second(n, 3).alias("stirling3"))
+    """Numbers of each part's size, taken by seven."""
+    n = (F.col("p_size") % 7).cast("long")
+    return t.part.select("p_partkey", n.alias("n"), M.super_factorial(n).alias("super"), M.derangements(n).alias("derangements"), M.stirling_second(n, 3).alias("stirling3"))
 
 
-@query("WITH RECURSIVE f(n, a, b) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 20) SELECT n, a AS fib FROM f UNION ALL SELECT -n, CASE WHEN n % 2 = 0 THEN -a ELSE a END FROM f WHERE n > 0")
+@query("WITH RECURSIVE f(n, a, b) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 60), g AS (SELECT n, a AS fib FROM f UNION ALL SELECT -n, CASE WHEN n % 2 = 0 THEN -a ELSE a END FROM f WHERE n > 0) SELECT p_partkey, n, fib FROM part JOIN g ON n = p_size - 25")
 def fibonacci_numbers(t):
-    return t.spark.range(-20, 21).select(F.col("id").alias("n"), M.fibonacci(F.col("id")).alias("fib"))
+    """The number of each part's size less 25, on both sides of zero."""
+    n = (F.col("p_size") - 25).cast("long")
+    return t.part.select("p_partkey", n.alias("n"), M.fibonacci(n).alias("fib"))
 
 
 @query("WITH RECURSIVE f(i, a, b) AS (SELECT 2, 1::BIGINT, 2::BIGINT UNION ALL SELECT i + 1, b, a + b FROM f WHERE i < 60), r(n, rest, s) AS (SELECT p_partkey::BIGINT, p_partkey::BIGINT, '' FROM part UNION ALL SELECT n, rest - a, s || CASE WHEN s = '' THEN '' ELSE ',' END || i FROM r JOIN f ON a <= rest AND rest < b) SELECT n, s AS indices FROM r WHERE rest = 0")
@@ -140,10 +145,11 @@ def beta_densities(t):
     return rows.select("x", F.round(M.beta_density(F.col("x"), 2.0, 3.0), 9).alias("b"))
 
 
-@query("SELECT k, round((factorial(10) / (factorial(k::INT) * factorial((10 - k)::INT))) * pow(0.25, k) * pow(0.75, 10 - k), 9) AS p FROM range(11) r(k)")
+@query("SELECT p_partkey, k, round((factorial(10) / (factorial(k::INT) * factorial((10 - k)::INT))) * pow(0.25, k) * pow(0.75, 10 - k), 9) AS p FROM (SELECT p_partkey, (p_size % 11)::BIGINT AS k FROM part)")
 def binomial_masses(t):
-    k = F.col("id")
-    return t.spark.range(11).select(k.alias("k"), F.round(M.binomial_mass(k, 10, 0.25), 9).alias("p"))
+    """The mass of each part's size, taken by eleven, of ten draws."""
+    k = (F.col("p_size") % 11).cast("long")
+    return t.part.select("p_partkey", k.alias("k"), F.round(M.binomial_mass(k, 10, 0.25), 9).alias("p"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_tax = 0 AS bottom, round(CASE WHEN l_tax > 0 THEN ln(l_tax::DOUBLE) END, 9) AS x FROM lineitem")
@@ -241,24 +247,31 @@ def matrix_hadamard(t):
     return m.join(w, ["i", "j"]).select("i", "j", (F.col("v") * F.col("w")).alias("v"))
 
 
-@query("SELECT bool_and(b.i IS NOT NULL) AS symmetric FROM (SELECT abs(x - y) AS v, x AS i, y AS j FROM range(5) a(x), range(5) b(y)) a LEFT JOIN (SELECT abs(x - y) AS v, x AS i, y AS j FROM range(5) a(x), range(5) b(y)) b ON a.i = b.j AND a.j = b.i AND a.v = b.v")
+@query("WITH m AS (SELECT c_nationkey AS i, s_nationkey AS j, count(*) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), s AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM m UNION ALL SELECT j, i, v FROM m) GROUP BY ALL) SELECT (SELECT count(*) = 0 FROM m WHERE (j, i, v) NOT IN (SELECT i, j, v FROM m)) AS plain, (SELECT count(*) = 0 FROM s WHERE (j, i, v) NOT IN (SELECT i, j, v FROM s)) AS both_ways")
 def matrix_symmetric(t):
-    x, y = t.spark.range(5).withColumnRenamed("id", "i"), t.spark.range(5).withColumnRenamed("id", "j")
-    m = x.crossJoin(y).withColumn("v", F.abs(F.col("i") - F.col("j")))
-    bad = m.join(m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), ["i", "j", "v"], "left_anti")
-    return bad.agg((F.count(F.lit(1)) == 0).alias("symmetric"))
+    """Whether the matrix of lines by the nations of customer and supplier is symmetric, and whether it is when added to its transpose."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    m = rows.groupBy(F.col("c_nationkey").alias("i"), F.col("s_nationkey").alias("j")).agg(F.count(F.lit(1)).alias("v"))
+    turned = lambda x: x.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    both = m.unionByName(turned(m)).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    holds = lambda x, name: x.join(turned(x), ["i", "j", "v"], "left_anti").agg((F.count(F.lit(1)) == 0).alias(name))
+    return holds(m, "plain").join(F.broadcast(holds(both, "both_ways")), F.lit(True))
 
 
-@query("SELECT x AS i, y AS j, ((x - y + 5) % 5) * 10 AS v FROM range(5) a(x), range(5) b(y)")
+@query("WITH v AS (SELECT l_suppkey % 5 AS k, count(*) AS v FROM lineitem GROUP BY 1) SELECT (k + j) % 5 AS i, j, v FROM v, range(5) r(j)")
 def matrix_circulant(t):
-    x, y = t.spark.range(5).withColumnRenamed("id", "i"), t.spark.range(5).withColumnRenamed("id", "j")
-    return x.crossJoin(y).withColumn("v", F.pmod(F.col("i") - F.col("j"), F.lit(5)) * 10)
+    """The circulant matrix of the numbers of lines by five classes of suppliers: the cell (i, j) has the number of class i - j."""
+    v = t.lineitem.groupBy((F.col("l_suppkey") % 5).alias("k")).agg(F.count(F.lit(1)).alias("v"))
+    return v.select("k", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("j")).select(((F.col("k") + F.col("j")) % 5).alias("i"), "j", "v")
 
 
-@query("SELECT x AS i, y AS j, CASE WHEN (x + 1) % 4 = y THEN 1 ELSE 0 END AS v FROM range(4) a(x), range(4) b(y)")
+@query("SELECT n_nationkey::BIGINT AS i, j::BIGINT AS j, (p = j)::INT AS v FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) - 1 AS p, count(*) OVER () AS n FROM nation), range(n) r(j)")
 def matrix_of_bijection(t):
-    x, y = t.spark.range(4).withColumnRenamed("id", "i"), t.spark.range(4).withColumnRenamed("id", "j")
-    return x.crossJoin(y).withColumn("v", F.when((F.col("i") + 1) % 4 == F.col("j"), 1).otherwise(0))
+    """The matrix of the map from each nation's key to its place by name."""
+    n = t.nation.agg(F.count(F.lit(1)).alias("n"))
+    placed = ordinal(t.nation.select("n_nationkey", "n_name"), "n_name").join(F.broadcast(n), F.lit(True))
+    cells = placed.select(F.col("n_nationkey").cast("long").alias("i"), "pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    return cells.select("i", "j", (F.col("pos") == F.col("j")).cast("int").alias("v"))
 
 
 @query(f"WITH {_MATRIX} SELECT i // 2 AS bi, j // 2 AS bj, i % 2 AS i, j % 2 AS j, v FROM m")

@@ -35,9 +35,11 @@ def count_bytes(t):
     return files.byte_counts(t.spark, path + "/*.txt").agg(F.sum("bytes").alias("bytes"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, k, CASE WHEN k < 50 THEN k END AS below FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
 def typed_json(t):
-    return t.events.select("event_id", files.checked(F.col("props"), "k bigint", lambda v: v["k"].isNotNull())["k"].alias("k"))
+    """A checked number of a JSON text, and the same as a number below a bound, NULL where it is not."""
+    k = files.checked(F.col("props"), "k bigint", lambda v: v["k"].isNotNull())["k"]
+    return t.events.select("event_id", k.alias("k"), files.below(k, 50).alias("below"))
 
 
 @query("SELECT n_name || ' :: key' AS name, n_nationkey::VARCHAR AS leaf FROM nation UNION ALL SELECT n_name || ' :: region', n_regionkey::VARCHAR FROM nation WHERE n_regionkey > 0")
@@ -65,10 +67,10 @@ def dictionary_codes(t):
     return files.dictionary(t.documents, "source")
 
 
-@query()
+@query("WITH c AS (SELECT n_name AS name, n_nationkey::VARCHAR AS k FROM nation), w AS (SELECT greatest(max(len(name)), 4)::INT AS a, greatest(max(len(k)), 3)::INT AS b FROM c) SELECT 0 AS ord, '| ' || rpad('name', a, ' ') || ' | ' || lpad('key', b, ' ') || ' |' AS line FROM w UNION ALL SELECT 1, '| :' || repeat('-', a - 1) || ' | ' || repeat('-', b - 1) || ': |' FROM w UNION ALL SELECT 2, '| ' || rpad(name, a, ' ') || ' | ' || lpad(k, b, ' ') || ' |' FROM c, w")
 def markdown_table(t):
-    rows = t.spark.createDataFrame([("a|b", "big", 1), ("c", "little", 22)], "name string, size string, n int")
-    return files.table_text(rows, {"name": "left", "size": "center", "n": "right"}).orderBy("ord", "line")
+    """The nations as an aligned table."""
+    return files.table_text(t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")), {"name": "left", "key": "right"})
 
 
 @query("SELECT event_type || '.lean' AS file, user_id::VARCHAR AS line, event_id::VARCHAR AS col, 'v_' || event_id AS var FROM events WHERE event_type <> 'view'")

@@ -9,54 +9,67 @@ from ..registry import query
 from ..streaming import sequences as seq
 
 
-@query("SELECT i AS id FROM range(10) r(i)")
+@query("SELECT p_partkey, unnest(range(p_size)) AS id FROM part")
 def generate_range(t):
-    return t.spark.range(10)
+    """The naturals below each part's size."""
+    return t.part.where("p_size > 0").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_size").cast("long") - 1)).alias("id"))
 
 
-@query("SELECT i AS id FROM range(-3, 5) r(i)")
+@query("SELECT p_partkey, unnest(range(p_size % 7 - 5, p_size % 11)) AS id FROM part")
 def generate_integers(t):
-    return t.spark.range(-3, 5)
+    """The integers from one bound up to another of each part; none where the second is not above the first."""
+    low, high = (F.col("p_size") % 7 - 5).cast("long"), (F.col("p_size") % 11).cast("long")
+    return t.part.where(low < high).select("p_partkey", F.explode(F.sequence(low, high - 1)).alias("id"))
 
 
-@query("SELECT n_nationkey, CAST(greatest(n_regionkey * 2 - 3, 0) AS INT) AS n FROM nation")
+@query("SELECT n_nationkey, CAST(greatest(n_regionkey * 2 - 3, 0) AS INT) AS n, array_to_string(range(3, n_regionkey * 2), ',') AS items FROM nation")
 def generate_interval_lists(t):
-    """[3, m) as a list, empty where m is not above 3."""
+    """[3, m) as a list and its length, empty where m is not above 3."""
     m = F.col("n_regionkey") * 2
-    return t.nation.select("n_nationkey", F.size(F.when(m > 3, F.sequence(F.lit(3), m - 1)).otherwise(F.array().cast("array<int>"))).alias("n"))
+    items = F.when(m > 3, F.sequence(F.lit(3), F.greatest(m - 1, F.lit(3)))).otherwise(F.array().cast("array<int>"))
+    return t.nation.select("n_nationkey", F.size(items).alias("n"), F.array_join(items.cast("array<string>"), ",").alias("items"))
 
 
-@query("SELECT i, 50 - i AS j FROM range(51) r(i)")
+@query("SELECT p_partkey, i, p_size - i AS j FROM part, unnest(range(p_size + 1)) u(i)")
 def generate_antidiagonal(t):
-    return t.spark.range(51).select(F.col("id").alias("i"), (50 - F.col("id")).alias("j"))
+    """The pairs of naturals whose sum is each part's size."""
+    size = F.col("p_size").cast("long")
+    return t.part.select("p_partkey", size.alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), size)).alias("i")).select("p_partkey", "i", (F.col("s") - F.col("i")).alias("j"))
 
 
-@query("SELECT count(*) AS n FROM range(51) a(x), range(51) b(y), range(51) c(z) WHERE x + y + z <= 50")
+@query("SELECT p_partkey, ((p_size + 3) * (p_size + 2) * (p_size + 1) // 6)::BIGINT AS n FROM part")
 def count_compositions(t):
-    """Ways to write 50 as four naturals: each part added by a sum over what is left, not by a product."""
-    ways = t.spark.range(51).select(F.col("id").alias("total"), F.lit(1).cast("long").alias("n"))
-    for _ in range(3):
-        ways = ways.select(F.explode(F.sequence("total", F.lit(50).cast("long"))).alias("total"), "n").groupBy("total").agg(F.sum("n").alias("n"))
-    return ways.where("total = 50").select("n")
+    """Ways to write each part's size as four naturals: each summand added by a sum over what is left, not by a product."""
+    top = t.part.agg(F.max("p_size").cast("long").alias("top"))
+    ways = top.select(F.lit(0).cast("long").alias("total"), F.lit(1).cast("long").alias("n"), "top").where("top IS NOT NULL")
+    for _ in range(4):
+        ways = ways.select(F.explode(F.sequence("total", "top")).alias("total"), "n", "top").groupBy("total", "top").agg(F.sum("n").alias("n"))
+    return t.part.join(F.broadcast(ways.select("total", "n")), F.col("p_size") == F.col("total")).select("p_partkey", "n")
 
 
-@query("SELECT a AS a, b AS b, 3 - a - b AS c FROM range(4) x(a), range(4) y(b) WHERE a + b <= 3")
+@query("SELECT n_nationkey, a, b, n_regionkey - a - b AS c FROM nation, range(10) x(a), range(10) y(b) WHERE a + b <= n_regionkey")
 def sparse_maps_with_total(t):
-    a, b = t.spark.range(4).withColumnRenamed("id", "a"), t.spark.range(4).withColumnRenamed("id", "b")
-    return a.join(b, F.col("a") + F.col("b") <= 3).withColumn("c", 3 - F.col("a") - F.col("b"))
+    """The maps from three keys to naturals with a given sum, the key of each nation's region."""
+    total = F.col("n_regionkey").cast("long")
+    first = t.nation.select("n_nationkey", total.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), total)).alias("a"))
+    return first.select("n_nationkey", "n", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("a"))).alias("b")).select("n_nationkey", "a", "b", (F.col("n") - F.col("a") - F.col("b")).alias("c"))
 
 
-@query("SELECT count(*) AS n, bool_and(i >= 0) AS low, TRUE AS high, TRUE AS again FROM range(1000) r(i)")
+@query("SELECT event_type, count(*) AS n, TRUE AS low, TRUE AS high, TRUE AS again, TRUE AS fair FROM events GROUP BY event_type")
 def generate_random(t):
-    """Uniform numbers from 5 to 9 under a seed: within bounds, and equal in a second run."""
-    draw = lambda: t.spark.range(0, 1000, 1, 4).select("id", (F.floor(F.rand(7) * 5) + 5).alias("x"), (F.rand(8) < 0.5).alias("coin"))
-    same = draw().join(draw().select("id", F.col("x").alias("y")), "id")
-    return same.agg(F.count(F.lit(1)).alias("n"), (F.min("x") >= 5).alias("low"), (F.max("x") <= 9).alias("high"), F.bool_and(F.col("x") == F.col("y")).alias("again"))
+    """A number from 5 to 5 + value for each event and a coin, under seeds: within bounds, equal in a second run, and the coin fair within six deviations."""
+    draw = lambda: t.events.select("event_id", "event_type", "value", (F.floor(F.rand(7) * (F.floor("value") + 1)) + 5).alias("x"), (F.rand(8) < 0.5).alias("coin"))
+    same = draw().join(draw().select("event_id", F.col("x").alias("y"), F.col("coin").alias("again")), "event_id")
+    heads, n = F.count_if("coin"), F.count(F.lit(1))
+    within = F.abs(2 * heads - n) <= 6 * F.sqrt(n)
+    return same.groupBy("event_type").agg(n.alias("n"), (F.min("x") >= 5).alias("low"), F.bool_and(F.col("x") <= F.floor("value") + 5).alias("high"), F.bool_and((F.col("x") == F.col("y")) & (F.col("coin") == F.col("again"))).alias("again"), within.alias("fair"))
 
 
-@query("SELECT i AS seq, pow(2, i)::BIGINT AS x FROM range(20) r(i)")
+@query("SELECT p_partkey, i AS seq, (p_size * pow(2, i))::BIGINT AS x FROM part, range(12) r(i)")
 def generate_iterates(t):
-    return seq.iterate(t.spark, lambda x: x * 2, F.lit(1).cast("long"), 20).select(F.col("seq").cast("long").alias("seq"), "x")
+    """Each part's size and its doubles, twelve of them, by iterating a map."""
+    states = F.aggregate(F.sequence(F.lit(2), F.lit(12)), F.array(F.col("p_size").cast("long")), lambda a, _: F.array_append(a, F.element_at(a, -1) * 2))
+    return t.part.select("p_partkey", F.posexplode(states).alias("seq", "x")).withColumn("seq", F.col("seq").cast("long"))
 
 
 def _ab(t):

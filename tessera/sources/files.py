@@ -100,6 +100,11 @@ def checked(json: Column, schema: str, ok) -> Column:
     return F.when(F.assert_true(ok(value), "the value fails its check").isNull(), value)
 
 
+def below(n: Column, bound: int) -> Column:
+    """A natural number below a bound; NULL otherwise."""
+    return F.when((n >= 0) & (n < bound), n)
+
+
 def write_missing(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write unless the path has something already."""
     df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
@@ -110,6 +115,11 @@ def destination(url: str | None, base: str | None, default: str, name: str) -> s
     return url or f"{(base or default).rstrip('/')}/{name}"
 
 
+def destination_of(url: Column, base: Column, default: Column, name: Column) -> Column:
+    """The same for columns: a URL that is there goes before a base, and that before the default."""
+    return F.coalesce(url, F.concat_ws("/", F.regexp_replace(F.coalesce(base, default), "/+$", ""), name))
+
+
 def find_by_head(index: DataFrame, head, residual: Column, limit: int = 20) -> DataFrame:
     """Index search: the rows of a head key, filtered, the first `limit` by name. Written partitioned by head, only that folder is read."""
     return index.where((F.col("head") == F.lit(head)) & residual).orderBy("name").limit(limit)
