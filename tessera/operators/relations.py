@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most pairs of values that a convolution takes.
+PAIRS = 10**11
+
+
 def positional_zip(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """The i-th row of one side with the i-th of the other, to the shorter length.
 
@@ -30,6 +34,20 @@ def ordinal(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return rows.withColumn(name, F.col("__base") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__i", "__base")
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of a value over the rows up to each one: a range sort, sums within its partitions, and what the partitions before hold."""
+    from ..plans.tables import write_once
+
+    ordered = write_once(df.sort(order).withColumn("__i", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("__i"), 33)
+    sums = ordered.groupBy(part.alias("__p")).agg(F.sum(value).alias("__s"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ordered.withColumn("__p", part).join(F.broadcast(base), "__p")
+    return rows.withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__p", "__i", "__base")
+
+
 def divide(r: DataFrame, a: str, b: str, divisor: DataFrame, universe: DataFrame) -> DataFrame:
     """Relational division: the b's of the universe related to every a of the divisor; an empty divisor yields all of them."""
     wanted = divisor.select(F.col(divisor.columns[0]).alias(a)).distinct()
@@ -62,9 +80,16 @@ def lookup_or_zero(keys: DataFrame, f: DataFrame, key: str, value: str) -> DataF
 
 
 def convolution(a: DataFrame, b: DataFrame, op) -> DataFrame:
-    """How many pairs of two sets combine to each value: counts per value first, so that equal values pair once."""
-    x = a.select(F.col(a.columns[0]).alias("x")).distinct()
-    y = b.select(F.col(b.columns[0]).alias("y")).distinct()
+    """How many pairs of two sets combine to each value: counts per value first, so that equal values pair once.
+
+    The pairs are the operator's nature, so more than PAIRS of them are an error, as nobody could wait for them.
+    """
+    from ..plans.tables import write_once
+
+    x = write_once(a.select(F.col(a.columns[0]).alias("x")).distinct())
+    y = write_once(b.select(F.col(b.columns[0]).alias("y")).distinct())
+    if (pairs := x.count() * y.count()) > PAIRS:
+        raise ValueError(f"{pairs} pairs of values; the most is {PAIRS}")
     return x.join(y, F.lit(True)).groupBy(op(F.col("x"), F.col("y")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..operators.relations import running_total
 from ..registry import query
 
 
@@ -72,10 +73,10 @@ def conditional_variance(t):
 
 @query("WITH c AS (SELECT l_quantity AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT x, sum(n) OVER (ORDER BY x) / (SELECT sum(n) FROM c) AS p FROM c")
 def distribution_function(t):
-    """P(X <= x) for each value: the window runs over distinct values only."""
+    """P(X <= x) for each value: a running total over the distinct values, without a window over all of them."""
     c = t.lineitem.groupBy(F.col("l_quantity").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     total = c.agg(F.sum("n").alias("total"))
-    return c.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).join(F.broadcast(total), F.lit(True)).select("x", (F.col("upto") / F.col("total")).alias("p"))
+    return running_total(c, "x", "n", "upto").join(F.broadcast(total), F.lit(True)).select("x", (F.col("upto") / F.col("total")).alias("p"))
 
 
 @query("SELECT l_linenumber AS x, count(*) AS mass FROM (SELECT l_linenumber FROM lineitem UNION ALL SELECT l_linenumber FROM lineitem WHERE l_quantity > 25) GROUP BY 1")

@@ -50,8 +50,10 @@ def rank_bijection(t):
 
 @query("SELECT p_size AS x, lead(p_size) OVER (ORDER BY p_size) AS successor FROM (SELECT DISTINCT p_size FROM part)")
 def covers(t):
-    """Immediate successors among the distinct values, 50 of them here."""
-    return t.part.select(F.col("p_size").alias("x")).distinct().withColumn("successor", F.lead("x").over(Window.orderBy("x")))
+    """Immediate successors among the distinct values: each joined to the one at the next place."""
+    placed = ordinal(t.part.select(F.col("p_size").alias("x")).distinct(), "x")
+    following = placed.select((F.col("pos") - 1).alias("pos"), F.col("x").alias("successor"))
+    return placed.join(following, "pos", "left").select("x", "successor")
 
 
 @query("SELECT user_id, max(run) AS longest FROM (SELECT user_id, count(*) AS run FROM (SELECT user_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN value > lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, g) GROUP BY user_id")

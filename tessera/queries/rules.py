@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import more as X
+from ..operators import ranking as R
 from ..plans.folds import Rules
 from ..registry import query
 from ..sources import files
@@ -54,3 +55,13 @@ def upload_destinations(t):
     k = F.col("page_id") % 3
     base = F.when(k == 1, F.concat(F.lit("store://host/"), F.regexp_extract("url", "//([^/]+)", 1), F.lit("/")))
     return t.pages.select("page_id", files.destination_of(F.when(k == 0, F.col("url")), base, F.lit("store://default"), F.concat(F.lit("f"), F.col("page_id").cast("string"))).alias("place"))
+
+
+@query("WITH r AS (SELECT a.n_regionkey AS k, c.n_nationkey - b.n_nationkey >= b.n_nationkey - a.n_nationkey AS fits FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN nation c ON b.n_regionkey = c.n_regionkey AND b.n_nationkey < c.n_nationkey) SELECT k AS n_regionkey, bool_and(fits) AS triplewise, count(*) FILTER (NOT fits) AS against FROM r GROUP BY k")
+def triplewise(t):
+    """Whether all rising triples of a region's nations widen, and how many don't: triples by rank."""
+    lists = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("l"))
+    made = R.enumerated(lists, R.n_subsets(F.col("l"), 3), lambda rank: R.subset(F.col("l"), 3, rank))
+    x, y, z = (F.get("made", F.lit(i)) for i in range(3))
+    fits = (z - y) >= (y - x)
+    return made.groupBy("n_regionkey").agg(F.bool_and(fits).alias("triplewise"), F.count_if(~fits).alias("against"))
