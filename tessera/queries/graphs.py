@@ -170,16 +170,17 @@ def _branching(t):
 
 
 @query(
-    f"WITH RECURSIVE {_BRANCHING}, p AS (SELECT min_by(o_orderkey, (o_orderdate, o_orderkey)) AS a, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS z FROM o GROUP BY top), "
-    "r(a, v, steps) USING KEY (a, v) AS (SELECT a, a, 0 FROM p UNION SELECT r.a, e.dst, min(r.steps + 1) FROM r JOIN e ON r.v = e.src LEFT JOIN recurring.r k ON k.a = r.a AND k.v = e.dst WHERE k.v IS NULL GROUP BY r.a, e.dst) "
+    f"WITH RECURSIVE {_BRANCHING}, p AS (SELECT a, z FROM (SELECT c_nationkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS a FROM o JOIN customer ON o_custkey = c_custkey GROUP BY 1) JOIN (SELECT c_nationkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS z FROM o JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_custkey) USING (c_nationkey)), "
+    "r(a, v, steps) USING KEY (a, v) AS (SELECT DISTINCT a, a, 0 FROM p UNION SELECT r.a, e.dst, min(r.steps + 1) FROM r JOIN e ON r.v = e.src LEFT JOIN recurring.r k ON k.a = r.a AND k.v = e.dst WHERE k.v IS NULL GROUP BY r.a, e.dst) "
     "SELECT p.a AS src, p.z AS dst, r.steps::INT AS steps, TRUE AS checked FROM p JOIN r ON r.a = p.a AND r.v = p.z"
 )
 def graph_witness_paths(t):
-    """For each part that leads an order, a shortest path from its first such order to its last one, checked edge by edge."""
+    """For each customer with an order, a shortest path from the first order of its nation to its own last one, checked edge by edge."""
     edges = _branching(t)
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct("l_extendedprice", "l_partkey"))["l_partkey"].alias("top"))
-    order = F.struct("o_orderdate", "o_orderkey")
-    pairs = t.orders.join(lines, "o_orderkey").groupBy("top").agg(F.min_by("o_orderkey", order).alias("src"), F.max_by("o_orderkey", order).alias("dst"))
+    with_lines = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    rows = with_lines.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_custkey", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("at"))
+    first = rows.groupBy("c_nationkey").agg(F.min_by("o_orderkey", "at").alias("src"))
+    pairs = rows.groupBy("c_nationkey", "o_custkey").agg(F.max_by("o_orderkey", "at").alias("dst")).join(first, "c_nationkey")
     found = write_once(G.witness_paths(edges, pairs))
     steps = found.where("steps > 0").select("src", "dst", F.explode(F.expr("transform(sequence(0, steps - 1), i -> struct(path[i] AS u, path[i + 1] AS w))")).alias("s"))
     good = steps.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.lit(True).alias("edge")), (F.col("s.u") == F.col("u")) & (F.col("s.w") == F.col("w")), "left").groupBy("src", "dst").agg(F.count("edge").alias("good"))
