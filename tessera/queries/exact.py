@@ -30,13 +30,13 @@ def subsets_by_rank(t):
     return made.select("l_orderkey", *[F.get("made", F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
-@query("WITH f AS (SELECT DISTINCT l_orderkey, l_returnflag AS a FROM lineitem), s AS (SELECT DISTINCT l_orderkey, l_linestatus AS b FROM lineitem), p AS (SELECT DISTINCT l_orderkey, l_suppkey::VARCHAR AS c FROM lineitem) SELECT l_orderkey, a, b, c FROM f JOIN s USING (l_orderkey) JOIN p USING (l_orderkey)")
+@query("WITH f AS (SELECT DISTINCT l_orderkey, l_returnflag AS a FROM lineitem), s AS (SELECT DISTINCT l_orderkey, l_linestatus AS b FROM lineitem), p AS (SELECT DISTINCT l_orderkey, l_suppkey::VARCHAR AS c FROM lineitem) SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY a, b, c) - 1 AS rank, a, b, c FROM f JOIN s USING (l_orderkey) JOIN p USING (l_orderkey)")
 def choices_by_rank(t):
-    """One flag, one status and one supplier of each order, in every way, from ranks."""
+    """One flag, one status and one supplier of each order, in every way and in the product's order, from ranks."""
     of = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))
     lists = t.lineitem.groupBy("l_orderkey").agg(F.array(of("l_returnflag"), of("l_linestatus"), of("l_suppkey")).alias("l"))
     made = R.enumerated(lists, R.n_choices(F.col("l")), lambda rank: R.choice(F.col("l"), rank))
-    return made.select("l_orderkey", *[F.get("made", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+    return made.select("l_orderkey", "rank", *[F.get("made", F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
 @query(

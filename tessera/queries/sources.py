@@ -111,7 +111,7 @@ def count_matches(t):
     return t.documents.select("doc_id", n.cast("long").alias("n")).where("n > 0")
 
 
-@query()
+@query("SELECT p_name AS name, p_partkey, p_brand AS head FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_name LIKE '%a%' ORDER BY p_name, p_partkey LIMIT 20")
 def index_search(t):
     """A hash index probe: only the head's folder is read, then a residual filter, then at most twenty."""
     path = _path(t, "index")

@@ -121,5 +121,5 @@ def destination_of(url: Column, base: Column, default: Column, name: Column) ->
 
 
 def find_by_head(index: DataFrame, head, residual: Column, limit: int = 20) -> DataFrame:
-    """Index search: the rows of a head key, filtered, the first `limit` by name. Written partitioned by head, only that folder is read."""
-    return index.where((F.col("head") == F.lit(head)) & residual).orderBy("name").limit(limit)
+    """Index search: the rows of a head key, filtered, the first `limit` by name and then by their other columns. Written partitioned by head, only that folder is read."""
+    return index.where((F.col("head") == F.lit(head)) & residual).orderBy("name", *[c for c in index.columns if c != "name"]).limit(limit)

@@ -68,7 +68,7 @@ def test_fold_in_order_equals_a_loop(spark):
     df = spark.createDataFrame(rows, "k long, i long, x long")
     step = lambda a, x: (a * 31 + x) % 1009
     expected = {}
-    for k, _, x in sorted((r for r in rows if None not in r), key=lambda r: r[1]):
+    for k, _, x in sorted((r for r in rows if r[2] is not None), key=lambda r: r[1]):
         expected[k] = step(expected.get(k, 7), x)
     assert {r["k"]: r["state"] for r in folds.fold_in_order(df, "k", ["i"], "x", 7, step).collect()} == expected
     assert folds.fold_in_order(df.limit(0), "k", ["i"], "x", 7, step).count() == 0
