@@ -119,32 +119,29 @@ def witness_paths(edges: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> D
     for side, start, ahead, behind in (("out", "src", "src", "dst"), ("back", "dst", "dst", "src")):
         first = ends.select("src", "dst", F.col(start).alias("v"), F.lit(None).cast(kind).alias("near"), F.lit(0).alias("steps"))
         seen = Rounds(spark, first.schema, f"witness-{side}")
-        sides[side] = {"seen": seen, "front": seen.add(first), "step": hop.select(F.col(ahead).alias("v"), F.col(behind).alias("w")), "depth": 0}
-    met_schema = ends.withColumn("v", F.lit(None).cast(kind)).schema
-    met = Rounds(spark, met_schema, "met")
+        sides[side] = {"seen": seen, "last": seen.add(first), "step": hop.select(F.col(ahead).alias("v"), F.col(behind).alias("w")), "depth": 0}
+    met = Rounds(spark, ends.withColumn("v", F.lit(None).cast(kind)).schema, "met")
 
     def meet(side: str, other: str) -> None:
         # among the places where the sides meet, the nearest to the other end, then the smallest
-        mine, theirs = sides[side], sides[other]["seen"].all().select("src", "dst", "v", F.col("steps").alias("far"))
-        hit = met.add(mine["front"].join(theirs, ["src", "dst", "v"]).groupBy("src", "dst").agg(F.min(F.struct("far", "v"))["v"].alias("v")))
-        for s in sides.values():
-            s["front"] = write_once(s["front"].join(hit.select("src", "dst"), ["src", "dst"], "left_anti"))
+        theirs = sides[other]["seen"].all().select("src", "dst", "v", F.col("steps").alias("far"))
+        hit = sides[side]["last"].join(theirs, ["src", "dst", "v"])
+        met.add(hit.groupBy("src", "dst").agg(F.min(F.struct("far", "v"))["v"].alias("v")))
 
     meet("out", "back")
     for _ in range(rounds):
-        sizes = {k: s["front"].count() for k, s in sides.items()}
+        sizes = {k: s["last"].count() for k, s in sides.items()}
         if not min(sizes.values()):
             break
         side = min(sizes, key=lambda k: (sizes[k], k))
         other = "back" if side == "out" else "out"
         s = sides[side]
-        s["depth"] += 1
-        reached = s["front"].select("src", "dst", "v").join(s["step"], "v").groupBy("src", "dst", "w").agg(F.min("v").alias("near"))
+        # pairs that have not met, and whose other side was still going on
+        front = s["last"].join(met.all(), ["src", "dst"], "left_anti").join(sides[other]["last"].select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+        reached = front.select("src", "dst", "v").join(s["step"], "v").groupBy("src", "dst", "w").agg(F.min("v").alias("near"))
         new = reached.join(s["seen"].all().select("src", "dst", F.col("v").alias("w")), ["src", "dst", "w"], "left_anti")
-        s["front"] = s["seen"].add(new.select("src", "dst", F.col("w").alias("v"), "near", F.lit(s["depth"]).alias("steps")))
-        # a pair without a frontier on one side has no path
-        live = s["front"].select("src", "dst").distinct()
-        sides[other]["front"] = write_once(sides[other]["front"].join(live, ["src", "dst"], "left_semi"))
+        s["depth"] += 1
+        s["last"] = s["seen"].add(new.select("src", "dst", F.col("w").alias("v"), "near", F.lit(s["depth"]).alias("steps")))
         meet(side, other)
     else:
         raise ValueError("too many steps")
