@@ -48,3 +48,10 @@ def test_shrinking_and_permuting(spark):
     assert row["n"] == [4, 2, 1, 0] and row["z"] == []
     assert [tuple(x) for x in row["f"]] == [(1, 2), (1, 1), (-1, 2), (-1, 1), (0, 2), (0, 1), (0, 2), (0, 1)]
     assert row["p"] == ["b", "c", "a"]
+
+
+def test_each_join_hint_makes_its_own_join(spark, folder):
+    a = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey")
+    b = spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"))
+    for hint, kind in (("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin")):
+        assert kind in a.join(b.hint(hint), "l_orderkey")._jdf.queryExecution().executedPlan().toString()
