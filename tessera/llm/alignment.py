@@ -284,15 +284,15 @@ def _score(path_a: str | None, path_b: str | None, sent):
             for at, piece, ends in both.column(b.column(1)):
                 scores.catch_up()
                 edge = np.concatenate(([0], ends))
-                columns = np.concatenate((both.counts[piece], scores.sums[piece]), 1)
-                sums = np.diff(np.concatenate((np.zeros((1, 6), np.int64), np.cumsum(columns, 0)))[edge], axis=0)
+                # a column at a time, as there are many pieces
+                sums = [np.diff(np.concatenate(([0], np.cumsum(table[piece, i])))[edge]) for table, n in ((both.counts, 4), (scores.sums, 2)) for i in range(n)]
                 text, listed, rare = [], piece.tolist(), []
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     text.append(";".join([both.groups[i] for i in listed[x:y]]))
                     found = Counter(pair for i in listed[x:y] if i in scores.rare for pair in scores.rare[i]) if scores.rare else {}
                     rare.append([{"pair": k, "links": v} for k, v in found.items()])
                 names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "count_sum", "n_best", "groups", "rare"]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), *(pa.array(sums[:, i]) for i in range(6)), pa.array(text), pa.array(rare, _PAIR)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), *map(pa.array, sums), pa.array(text), pa.array(rare, _PAIR)], names=names)
                 if both.full():
                     both.forget()
                     scores.forget()
