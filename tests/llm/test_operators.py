@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and its defined results for odd rows."""
 
+import datetime
 import hashlib
 import json
 import random
@@ -484,10 +485,62 @@ def test_pii_links_and_permutes(spark):
 
 
 def test_pii_long_texts_and_runs(spark):
-    """Long runs of whatever a pattern repeats take no deep stack, and leave what is no value."""
+    """Long runs of whatever a pattern repeats take no deep stack, and leave what is no value; names of any length go."""
     runs = ["x@" + "a." * 20000, "x@" + "ab." * 20000 + "org", "a" * 50000 + "@x.org", "1" * 50000, "1." * 20000]
     out = replaced(spark, runs)
-    assert out[1][1:] == runs[1][1:] and [out[0], *out[2:]] == [runs[0], *runs[2:]]
+    assert out[1][1:] == runs[1][1:] and [out[0], *out[3:]] == [runs[0], *runs[3:]]
+    assert len(out[2]) == len(runs[2]) and out[2].endswith("@x.org") and out[2].count("a") < 5000
+
+
+def test_pii_many_groups_in_a_row(spark):
+    """Twenty thousand digit groups in a row keep their form."""
+    random.seed(7)
+    text = " ".join(str(random.randint(1000, 9999)) for _ in range(20_000))
+    out = replaced(spark, [text])[0]
+    assert [len(x) for x in out.split(" ")] == [len(x) for x in text.split(" ")]
+
+
+def test_pii_forms_are_kept(spark):
+    out = replaced(spark, ["192.168.001.001", "192.168.1.1", "de89 3704 0044 0532 0130 00 then", "DE89370400440532013000", "mp34 this that word here", "...jo@x.org", "jo@x.org"])
+    assert [len(x) for x in out[0].split(".")][2:] == [3, 3] and [int(x) for x in out[0].split(".")] == [int(x) for x in out[1].split(".")]
+    assert out[2].endswith(" then") and out[2][:-5].upper().replace(" ", "") == out[3] and out[2] == out[2].lower()
+    assert out[4] == "mp34 this that word here" and out[5] == "..." + out[6] and out[6] != "jo@x.org"
+
+
+def test_pii_email_names_by_domain_and_alphabet(spark):
+    """Each alphabet is permuted in itself, under the domain; all names of two letters stay apart."""
+    shown = lambda x: next(((ord(a), ord(b) - ord(a) + 1) for a, b in pii.ALPHABETS if a <= x <= b), (ord(x), 1))
+    names = ["josé", "Иван.К-3", "王小", "a", "Ünal_9", "x" * 200]
+    for domain in ("x.org", "Y.org"):
+        want = []
+        for name in names:
+            bases = [shown(c) for c in name]
+            moved = feistel([ord(c) - b for c, (b, _) in zip(name, bases, strict=True)], [n for _, n in bases], "secret", f"email|{domain.lower()}")
+            want.append("".join(chr(b + v) for (b, _), v in zip(bases, moved, strict=True)) + "@" + domain)
+        assert replaced(spark, [f"{x}@{domain}" for x in names], "secret") == want
+    pairs = [a + b + "@x.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = replaced(spark, pairs)
+    assert sorted(out) == sorted(pairs)
+
+
+def test_pii_dates_phones_and_ssns_equal_plain_feistel(spark):
+    first, days = datetime.date(1800, 1, 1), [datetime.date(1999, 12, 31), datetime.date(2024, 2, 29), datetime.date(1800, 1, 1), datetime.date(2199, 12, 31)]
+    want = []
+    for d in days:
+        a, b = feistel(list(divmod((d - first).days, 773)), [189, 773], "secret", "date")
+        want.append((first + datetime.timedelta(a * 773 + b)).isoformat())
+    assert replaced(spark, [d.isoformat() for d in days], "secret") == want
+    moved = "".join(map(str, feistel([3, 0, 1, 2, 3, 4, 5, 6, 7], [10] * 9, "secret", "phone")))
+    assert replaced(spark, ["+49 30 1234567"], "secret") == [f"+49 {moved[:2]} {moved[2:]}"]
+    ssns, want = [(78, 5, 1120), (667, 1, 1), (899, 99, 9999)], []
+    for area, group, serial in ssns:
+        x, y, z = feistel([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], "secret", "ssn")
+        want.append(f"{x + (2 if x > 664 else 1):03d}-{y + 1:02d}-{z + 1:04d}")
+    assert replaced(spark, ["%03d-%02d-%04d" % x for x in ssns], "secret") == want
+    account = "370400440532013000"
+    moved = "".join(map(str, feistel([int(c) for c in account], [10] * 18, "secret", "iban")))
+    check = 98 - int(moved + "131400") % 97
+    assert replaced(spark, ["DE89" + account], "secret") == [f"DE{check:02d}{moved}"]
 
 
 def test_pii_phone_digits_alone_count(spark):
@@ -504,6 +557,7 @@ def feistel(values, radices, key, kind):
     for turn in range(pii.ROUNDS):
         a, b = turn % 2, 1 - turn % 2
         other = ",".join(map(str, sides[b]))
+        other = hashlib.sha256(other.encode()).hexdigest() if len(sides[b]) > pii.LONG_HALF else other
         sides[a] = [(v + int(hashlib.sha256(f"{key}|{kind}|{turn}|{other}|{i}".encode()).hexdigest()[:12], 16)) % r for i, (v, r) in enumerate(zip(sides[a], bases[a], strict=True))]
     return sides[0] + sides[1]
 
