@@ -76,7 +76,10 @@ def _system(frame: pd.DataFrame, order: str, columns: list[str]) -> list[list[Fr
     frame = frame.sort_values(order)
     if frame[order].duplicated().any():
         raise ValueError("rows of a system need an order without ties")
-    return [[Fraction(x) for x in row] for row in frame[columns].astype(float).values.tolist()]
+    if frame[columns].isna().any(axis=None):
+        raise ValueError("a system has no NULL entries")
+    # as Python's own numbers, so that whole numbers beyond 2^53 and decimals stay exact
+    return [[Fraction(x) for x in row] for row in frame[columns].astype(object).values.tolist()]
 
 
 def _bounded(df: DataFrame, key: str) -> None:

@@ -52,6 +52,17 @@ def test_positive_vectors_equal_brute_force():
     assert linear.positive_vector([]) is None
 
 
+def test_entries_are_exact(spark):
+    """Whole numbers beyond 2^53 and decimals are not rounded to doubles on their way in."""
+    big = 2**53
+    whole = spark.createDataFrame([(1, 0, big + 1, 1), (1, 1, big, 1)], "k int, i int, a long, b long")
+    assert sorted(r["values"] for r in linear.eliminated(whole, "k", "i", ["a", "b"]).collect()) == [[0.0, 1.0], [1.0, 0.0]]
+    decimals = whole.selectExpr("k", "i", "cast(a as decimal(30, 10)) + 0.1 AS a", "cast(b as decimal(30, 10)) AS b")
+    assert linear.eliminated(decimals, "k", "i", ["a", "b"]).count() == 2
+    with pytest.raises(Exception, match="no NULL entries"):
+        linear.eliminated(whole.selectExpr("k", "i", "nullif(a, b - 1 + i) AS a", "nullif(b, 1) AS b"), "k", "i", ["a", "b"]).collect()
+
+
 def test_systems_that_are_too_large_or_empty(spark, monkeypatch):
     rows = spark.createDataFrame([(1, i, 1.0) for i in range(5)] + [(None, 0, 2.0)], "k int, i int, x double")
     assert {r["k"]: r["values"] for r in linear.eliminated(rows, "k", "i", ["x"]).collect()} == {1: [1.0], None: [1.0]}
