@@ -14,7 +14,8 @@ parts of addresses with zeros before them keep their width.
 
 A pattern takes the longest value, which may reach into what stands beside a card or an IBAN (an expiry
 date, a code, a currency). Where a match fails its validation, its groups are searched for a card or an
-IBAN that passes, from each group on and down to the shortest, and what lies around it is searched again.
+IBAN that passes, from each group on and down to the shortest, and what lies around it is searched again,
+in work that grows with the text.
 What fails then too stays as it is. Native DataFrame functions only: one row in, one row out, no
 shuffle.
 
@@ -48,6 +49,8 @@ CARD = r"(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[\-.][0-
 PHONE = r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}\-])[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 #: Runs of letters and digits that are permuted among themselves, by first and last character.
 ALPHABETS = ("09", "az", "AZ", "àö", "øþ", "ÀÖ", "ØÞ", "Āſ", "αω", "ΑΡ", "ΣΩ", "ая", "АЯ", "את", "ぁゖ", "ァヺ", "一龥", "가힣")
+#: Tokens of a text, and more of them, and more characters of one, than a card or an IBAN has.
+TOKEN, LONGEST = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]", 40
 ANY = "|".join(f"(?:{x})" for x in (EMAIL, IBAN, DATE, IP, SSN, CARD, PHONE))
 
 
@@ -316,13 +319,6 @@ def longest(candidate: Column, passes) -> Column:
     return F.try_element_at(F.filter(F.transform(ends, lambda i: F.substr(candidate, F.lit(1), i)), passes), F.lit(-1))
 
 
-def shorter(text: Column) -> Column:
-    """The cards and IBANs that start at any group of a text, the longest first."""
-    at_each = lambda pattern, passes: F.transform(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)), lambda c: longest(c, passes))
-    found = F.concat(at_each(IBAN, is_iban), at_each(CARD, is_card))
-    return F.array_sort(F.array_distinct(F.array_compact(found)), lambda a, b: F.length(b) - F.length(a))
-
-
 def unsettled(m: Column) -> Column:
     """Whether a match has a card's, an IBAN's or a phone's form and reaches too far or is none."""
     return F.when(m.rlike(f"^(?:{CARD})$"), ~is_card(m)).when(m.rlike(f"^(?:{IBAN})$"), ~is_iban(m)).otherwise(m.startswith("+") & (F.length(digits(m)) > 15))
@@ -335,13 +331,48 @@ def cut(text: Column) -> Column:
     return F.struct(F.when(some, F.split(text, ANY, -1)).otherwise(F.array(text)).alias("gaps"), F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none).alias("values"))
 
 
-def cut_around(text: Column, values: Column) -> Column:
-    """cut(text) with these cards and IBANs as matches, and what is found between them."""
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(values, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    pieces = F.transform(F.split(text, pattern, -1), cut)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    found = F.zip_with(pieces, hits, lambda p, h: F.concat(p["values"], F.array_compact(F.array(h))))
-    return F.struct(F.flatten(pieces["gaps"]).alias("gaps"), F.flatten(found).alias("values"))
+def best(around: Column) -> Column:
+    """The card or IBAN that starts behind the first character, the longest that passes; NULL where there is none."""
+    first = lambda pattern, passes: longest(F.regexp_extract(around, f"(?s)^.({pattern})", 1), passes)
+    return let(F.array_compact(F.array(first(CARD, is_card), first(IBAN, is_iban))), lambda found: F.get(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), F.lit(0)))
+
+
+def tokens(s: Column) -> Column:
+    """Runs of letters and digits, and each other character; a text is its tokens joined."""
+    return F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0))
+
+
+def cut_again(parts: Column) -> Column:
+    """A cut text, cut anew where a match is unsettled: first at the cards and IBANs that start at any of its groups.
+
+    A value has a bounded number of tokens, so each group looks at so many, and the leftmost values that don't
+    overlap are chosen in one fold: the work grows with the text. Settled matches are tokens that no value reaches across.
+    """
+    pair = lambda shown, seen: F.struct(shown.alias("shown"), seen.alias("seen"))
+    plain = lambda s: F.transform(tokens(s), lambda t: pair(t, F.substring(t, 1, LONGEST)))
+    settled = lambda m: F.when(m.isNotNull(), F.array(pair(m, F.lit("\n")))).otherwise(F.array().cast("array<struct<shown: string, seen: string>>"))
+    rows = F.flatten(F.zip_with(parts["gaps"], parts["values"], lambda g, m: F.concat(plain(g), F.when(unsettled(m), plain(m)).otherwise(settled(m)))))
+    # what a token sees begins with the token before it
+    both = let(rows, lambda r: pair(r["shown"], F.concat(F.array(F.lit("\n")), r["seen"])))
+
+    def picked(s: Column) -> Column:
+        """struct(i, n) of the values that are chosen: the first token and the number of tokens."""
+        starts = F.filter(F.transform(s["shown"], lambda t, i: F.when(t.rlike("^(?:[0-9]|[A-Z]{2}[0-9]{2}|[a-z]{2}[0-9]{2})"), i + 1)), lambda i: i.isNotNull())
+        found = F.transform(starts, lambda i: F.struct(i.alias("i"), F.size(tokens(best(F.array_join(F.slice(s["seen"], i, LONGEST + 2), "")))).alias("n")))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i: int, n: int>>").alias("all"))
+        take = lambda a, x: F.when(x["i"] >= a["end"], F.struct((x["i"] + x["n"]).alias("end"), F.array_append(a["all"], x).alias("all"))).otherwise(a)
+        return F.aggregate(F.filter(found, lambda x: x["n"] > 0), start, take, lambda a: a["all"])
+
+    def around(s: Column, values: Column) -> Column:
+        text = lambda i, n: F.array_join(F.slice(s["shown"], i, n), "")
+        begins = F.concat(F.array(F.lit(1)), F.transform(values, lambda x: x["i"] + x["n"]))
+        ends = F.concat(F.transform(values, lambda x: x["i"]), F.array(F.size(s["shown"]) + 1))
+        pieces = F.zip_with(begins, ends, lambda a, b: cut(text(a, b - a)))
+        hits = F.transform(values, lambda x: text(x["i"], x["n"]))
+        found = lambda p: F.zip_with(p, hits, lambda x, h: F.concat(x["values"], F.array_compact(F.array(h))))
+        return let(pieces, lambda p: F.struct(F.flatten(p["gaps"]).alias("gaps"), F.flatten(found(p)).alias("values")))
+
+    return let(both, lambda s: let(picked(s), lambda values: F.when(F.size(values) > 0, around(s, values)).otherwise(parts)))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "found_kinds") -> DataFrame:
@@ -351,15 +382,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     `found_col`, it stays, and the kinds stand under the first free name with underscores before it.
     """
     text, found_col = F.col(text_col), free_name(docs.columns, found_col)
-    parts, shorts = (free_name([*docs.columns, found_col], x) for x in ("text_parts", "shorter_values"))
+    parts = free_name([*docs.columns, found_col], "text_parts")
     made = docs.withColumn(parts, cut(text))
-    # what no match holds for good; a line end stands for each other match, so that nothing reaches across it
-    left = F.array_join(F.zip_with(F.col(parts)["gaps"], F.col(parts)["values"], lambda p, m: F.concat(p, F.when(unsettled(m), m).otherwise("\n"))), "")
-    made = made.withColumn(shorts, F.when(F.exists(F.col(parts)["values"], unsettled), shorter(left)).otherwise(F.array().cast("array<string>")))
-    made = made.withColumn(parts, F.when(F.size(shorts) > 0, cut_around(text, F.col(shorts))).otherwise(F.col(parts)))
+    made = made.withColumn(parts, F.when(F.exists(F.col(parts)["values"], unsettled), cut_again(F.col(parts))).otherwise(F.col(parts)))
     made = made.withColumn(found_col, F.transform(F.col(parts)["values"], lambda m: pseudonym(m, key)))
     joined = F.array_join(F.zip_with(F.col(parts)["gaps"], F.col(found_col), lambda p, m: F.concat(p, F.coalesce(m["text"], F.lit("")))), "")
-    made = made.withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text)).drop(parts, shorts)
+    made = made.withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text)).drop(parts)
     return made.withColumn(found_col, F.coalesce(F.filter(F.col(f"{found_col}.kind"), lambda k: k.isNotNull()), F.array().cast("array<string>")))
 
 
