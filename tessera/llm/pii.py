@@ -346,7 +346,7 @@ def cut_again(parts: Column) -> Column:
     """A cut text, cut anew where a match is unsettled: first at the cards and IBANs that start at any of its groups.
 
     A value has a bounded number of tokens, so each group looks at so many, and the leftmost values that don't
-    overlap are chosen in one fold: the work grows with the text. Settled matches are tokens that no value reaches across.
+    overlap are chosen in one fold: the work grows with the text. Settled matches stay as they are, each as one token.
     """
     pair = lambda shown, seen: F.struct(shown.alias("shown"), seen.alias("seen"))
     plain = lambda s: F.transform(tokens(s), lambda t: pair(t, F.substring(t, 1, LONGEST)))
@@ -356,9 +356,11 @@ def cut_again(parts: Column) -> Column:
     both = let(rows, lambda r: pair(r["shown"], F.concat(F.array(F.lit("\n")), r["seen"])))
 
     def picked(s: Column) -> Column:
-        """struct(i, n) of the values that are chosen: the first token and the number of tokens."""
-        starts = F.filter(F.transform(s["shown"], lambda t, i: F.when(t.rlike("^(?:[0-9]|[A-Z]{2}[0-9]{2}|[a-z]{2}[0-9]{2})"), i + 1)), lambda i: i.isNotNull())
-        found = F.transform(starts, lambda i: F.struct(i.alias("i"), F.size(tokens(best(F.array_join(F.slice(s["seen"], i, LONGEST + 2), "")))).alias("n")))
+        """struct(i, n) of the settled matches and the values that are chosen: the first token and the number of tokens."""
+        fixed = lambda t, i: (F.get(s["seen"], i + 1) == "\n") & (t != "\n")
+        starts = F.filter(F.transform(s["shown"], lambda t, i: F.when(fixed(t, i) | t.rlike("^(?:[0-9]|[A-Z]{2}[0-9]{2}|[a-z]{2}[0-9]{2})"), F.struct((i + 1).alias("i"), fixed(t, i).alias("fixed")))), lambda x: x.isNotNull())
+        n = lambda i: F.size(tokens(best(F.array_join(F.slice(s["seen"], i, LONGEST + 2), ""))))
+        found = F.transform(starts, lambda x: F.struct(x["i"].alias("i"), F.when(x["fixed"], 1).otherwise(n(x["i"])).alias("n")))
         start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i: int, n: int>>").alias("all"))
         take = lambda a, x: F.when(x["i"] >= a["end"], F.struct((x["i"] + x["n"]).alias("end"), F.array_append(a["all"], x).alias("all"))).otherwise(a)
         return F.aggregate(F.filter(found, lambda x: x["n"] > 0), start, take, lambda a: a["all"])
