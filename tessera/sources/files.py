@@ -123,3 +123,21 @@ def destination_of(url: Column, base: Column, default: Column, name: Column) ->
 def find_by_head(index: DataFrame, head, residual: Column, limit: int = 20) -> DataFrame:
     """Index search: the rows of a head key, filtered, the first `limit` by name and then by their other columns. Written partitioned by head, only that folder is read."""
     return index.where((F.col("head") == F.lit(head)) & residual).orderBy("name", *[c for c in index.columns if c != "name"]).limit(limit)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, parts: int = 8, **options: str) -> None:
+    """Append to a database's table, over at most `parts` connections."""
+    df.coalesce(parts).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, parts: int = 8, **options: str) -> DataFrame:
+    """A database's table, read by `parts` tasks over ranges of a whole-number key; rows without a key are read by the first.
+
+    The key's bounds are asked of the database, which also takes over filters, columns and sums. Keys far from
+    even fill some ranges more than others; no row is lost, as the outer ranges are open. An empty table gives no rows.
+    """
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    low, high = rows.load().agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.load()
+    return rows.options(partitionColumn=key, lowerBound=low, upperBound=max(high, low + 1), numPartitions=parts).load()
