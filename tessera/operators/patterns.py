@@ -6,7 +6,7 @@ arguments. A list of words is a row of tokens of arity 0. A pattern may have hol
 
 The trie has a row per edge: (node, key, hole, child). Nodes are named by digests of what leads to them, so it is
 built in one pass, without a round per level. A walk keeps (term, place, node, holes) rows and takes
-one equi-join per level of the longest pattern; each row asks for its symbol's edge and for the holes' edges.
+one equi-join per level of the longest pattern, all in one pass; each row asks for its symbol's edge and for the holes' edges.
 The score of a match is the number of symbols that had to be equal, and of holes met again.
 """
 
@@ -20,6 +20,8 @@ from ..plans.tables import write_once
 #: Largest trie, in bytes of its edges, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
 ROOT = "root"
+#: The key of a leaf's edge to itself; a symbol's key begins with a number.
+STOP = "."
 TOKENS = "array<struct<sym:string,arity:int>>"
 
 
@@ -44,7 +46,9 @@ def ends(tokens: Column) -> Column:
         return F.struct(F.concat(F.array(end), rest).alias("stack"), F.concat(F.array(end), acc["out"]).alias("out"))
 
     none = F.array().cast("array<int>")
-    return F.aggregate(F.reverse(tokens), F.struct(none.alias("stack"), none.alias("out")), step)["out"]
+    folded = F.aggregate(F.reverse(tokens), F.struct(none.alias("stack"), none.alias("out")), step)["out"]
+    # in a list of words each is a whole term
+    return F.when(F.exists(tokens, lambda t: t["arity"] != 0), folded).otherwise(F.transform(tokens, lambda t, i: i + 1))
 
 
 def _key(t: Column) -> Column:
@@ -85,35 +89,34 @@ def matches(terms: DataFrame, patterns: DataFrame, whole: bool = True) -> DataFr
     and empty terms fit nothing.
     """
     edges, leaves, longest = index(patterns)
-    edges, leaves = _sized(edges), _sized(leaves.withColumn("child", F.lit("")).withColumn("key", F.lit(""))).select("node", "pattern_id")
+    # a leaf has an edge to itself, which a match takes until the longest pattern is through: all levels are one pass, and nothing is written between them
+    stops = leaves.select("node", F.lit(STOP).alias("key"), F.lit(None).cast("int").alias("hole"), F.col("node").alias("child")).distinct()
+    edges = _sized(edges.unionByName(stops))
+    leaves = _sized(leaves.withColumn("child", F.lit("")).withColumn("key", F.lit(""))).select("node", "pattern_id")
     none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
-    keys = F.transform("tokens", _key)
-    walk = terms.where(F.size("tokens") > 0).select("term_id", keys.alias("keys"), ends(F.col("tokens")).alias("ends"), F.lit(0).alias("at"), F.lit(ROOT).alias("node"), none.alias("holes"), F.lit(0).alias("score"))
-    found = None
-    for _ in range(longest):
-        here = F.get("keys", F.col("at"))
-        asked = walk.withColumn("key", F.explode(F.array(here, F.lit("*")))).where("key IS NOT NULL AND at < size(keys)")
-        met = asked.join(edges, ["node", "key"])
+    # the first step asks before anything is made of a term's other tokens, so terms that no pattern begins cost one look
+    walk = terms.where(F.size("tokens") > 0).withColumn("key", F.explode(F.array(_key(F.get("tokens", F.lit(0))), F.lit("*")))).where("key IS NOT NULL").withColumn("node", F.lit(ROOT))
+    met = walk.join(edges, ["node", "key"]).select("term_id", "key", F.transform("tokens", _key).alias("keys"), ends(F.col("tokens")).alias("ends"), F.lit(0).alias("at"), "hole", "child", none.alias("holes"), F.lit(0).alias("score"))
+    for i in range(longest + 1):
+        if i:
+            here, more = F.get("keys", F.col("at")), [] if whole else [F.lit(STOP)]
+            asked = F.when((F.col("key") == STOP) | (F.col("at") >= F.size("keys")), F.array(F.lit(STOP))).otherwise(F.array(here, F.lit("*"), *more))
+            met = walk.withColumn("key", F.explode(asked)).where("key IS NOT NULL").join(edges, ["node", "key"])
+        stopped, holed = F.col("key") == STOP, F.col("hole").isNotNull()
         end = F.get("ends", F.col("at"))
-        taken = F.array_join(F.slice("keys", F.col("at") + 1, end - F.col("at")), " ")
-        before = F.try_element_at("holes", F.col("hole"))
-        fits = F.col("hole").isNull() | before.isNull() | (before == taken)
-        walk = met.where(fits).select(
+        taken = F.when(holed, F.array_join(F.slice("keys", F.col("at") + 1, end - F.col("at")), " "))
+        before = F.when(holed, F.try_element_at("holes", F.col("hole")))
+        walk = met.where(~holed | before.isNull() | (before == taken)).select(
             "term_id",
+            "key",
             "keys",
             "ends",
-            F.when(F.col("hole").isNull(), F.col("at") + 1).otherwise(end).alias("at"),
+            F.when(stopped, F.col("at")).when(holed, end).otherwise(F.col("at") + 1).alias("at"),
             F.col("child").alias("node"),
-            F.when(F.col("hole").isNotNull() & before.isNull(), F.map_concat("holes", F.map_from_arrays(F.array("hole"), F.array(taken)))).otherwise(F.col("holes")).alias("holes"),
-            (F.col("score") + F.when(F.col("hole").isNull() | before.isNotNull(), 1).otherwise(0)).alias("score"),
+            F.when(holed & before.isNull(), F.map_concat("holes", F.map_from_arrays(F.array("hole"), F.array(taken)))).otherwise(F.col("holes")).alias("holes"),
+            (F.col("score") + F.when(~stopped & (~holed | before.isNotNull()), 1).otherwise(0)).alias("score"),
         )
-        walk = write_once(walk)
-        done = (walk.where(F.col("at") == F.size("keys")) if whole else walk).join(leaves, "node").select("term_id", "pattern_id", "score", "holes")
-        found = done if found is None else found.unionAll(done)
-    if found is None:
-        ids = patterns.schema["pattern_id"].dataType
-        return walk.where("false").select("term_id", F.lit(None).cast(ids).alias("pattern_id"), "score", "holes")
-    return found
+    return walk.where(F.col("key") == STOP).join(leaves, "node").select("term_id", "pattern_id", "score", "holes")
 
 
 def windows(texts: DataFrame, text: str, width: int) -> DataFrame:
@@ -121,4 +124,4 @@ def windows(texts: DataFrame, text: str, width: int) -> DataFrame:
     w = F.col("__w")
     listed = texts.withColumn("__w", words(F.col(text))).drop(text)
     cut = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, F.lit(width)).alias("tokens")))
-    return listed.where(F.size(w) > 0).select(*[c for c in listed.columns if c != "__w"], F.inline(cut))
+    return listed.where(F.size(w) > 0).select(*[c for c in listed.columns if c != "__w"], F.inline_outer(cut))

@@ -80,3 +80,16 @@ def test_ends_of_terms_and_empty_index(spark):
     assert [r[0] for r in df.select(P.ends(F.col("tokens"))).collect()] == [[4, 2, 4, 4], [1, 2]]
     none = spark.createDataFrame([], "pattern_id long, tokens array<struct<sym:string,arity:int,hole:int>>")
     assert P.matches(df, none).count() == 0
+
+
+def test_all_levels_are_one_pass(spark, monkeypatch):
+    """Only the trie is written; a pattern that ends inside a longer one is found beside it."""
+    written = []
+    monkeypatch.setattr(P, "write_once", lambda df, keep=P.write_once: written.append(df) or keep(df))
+    a, b, hole = ("a", 0, None), ("b", 0, None), ("*", 0, 0)
+    index = spark.createDataFrame(list(enumerate([[a], [a, b], [a, hole, b], [a, hole, hole, a]])), "pattern_id long, tokens array<struct<sym:string,arity:int,hole:int>>")
+    rows = spark.createDataFrame([(0, "abb"), (1, "abba"), (2, "aa"), (3, "ba")], "term_id long, w string")
+    terms = rows.select("term_id", P.words(F.regexp_replace("w", "(.)", "$1 ")).alias("tokens"))
+    found = sorted((r["term_id"], r["pattern_id"], r["score"]) for r in P.matches(terms, index, whole=False).collect())
+    assert found == [(0, 0, 1), (0, 1, 2), (0, 2, 2), (1, 0, 1), (1, 1, 2), (1, 2, 2), (1, 3, 3), (2, 0, 1)]
+    assert len(written) == 2
