@@ -17,12 +17,13 @@ def _sym(x, arity=0):
 
 
 def _lines(t):
-    """Each line as line(flag, status, place(region, nation), place(region, nation)), the customer's place and the supplier's."""
+    """The different lines as line(flag, status, place(region, nation), place(region, nation)), the customer's place and the supplier's, with how many there are of each."""
     n = t.nation.select("n_nationkey", "n_regionkey")
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("cr")), "c_nationkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("sr")), "s_nationkey")
     line = F.array(*[P.token(F.lit(x), k) if k else P.token(x) for x, k in (("line", 4), ("l_returnflag", 0), ("l_linestatus", 0), ("place", 2), ("cr", 0), ("c_nationkey", 0), ("place", 2), ("sr", 0), ("s_nationkey", 0))])
-    return rows.select(F.struct("l_orderkey", "l_linenumber").alias("term_id"), line.alias("tokens"))
+    kinds = rows.groupBy("l_returnflag", "l_linestatus", "cr", "c_nationkey", "sr", "s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.select(F.struct("l_returnflag", "l_linestatus", "c_nationkey", "s_nationkey", "n").alias("term_id"), line.alias("tokens"))
 
 
 @query(
@@ -35,7 +36,7 @@ def _lines(t):
     "SELECT 'R within ' || cr, 6 FROM t WHERE f = 'R' AND cr = sr) GROUP BY p"
 )
 def pattern_index_terms(t):
-    """Lines of orders that fit patterns with holes: a hole takes a whole place, and one that stands twice asks for equal places."""
+    """Lines of orders that fit patterns with holes: a hole takes a whole place, and one that stands twice asks for equal places. Equal lines are matched once."""
     line, place = _sym("line", 4), _sym("place", 2)
     fixed = [
         ("same place", [line, _hole(0), _hole(1), _hole(2), _hole(2)]),
@@ -48,7 +49,7 @@ def pattern_index_terms(t):
     nations = t.nation.select(F.concat(F.lit("from "), F.col("n_nationkey").cast("string")).alias("pattern_id"), F.array(line, _hole(0), _hole(1), place, _sym(F.col("n_regionkey")), _sym(F.col("n_nationkey")), _hole(2)).alias("tokens"))
     regions = t.region.select(F.concat(F.lit("R within "), F.col("r_regionkey").cast("string")).alias("pattern_id"), F.array(line, _sym("R"), _hole(0), place, _sym(F.col("r_regionkey")), _hole(1), place, _sym(F.col("r_regionkey")), _hole(2)).alias("tokens"))
     found = P.matches(_lines(t), rows.unionByName(nations).unionByName(regions))
-    return found.groupBy(F.col("pattern_id").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("long").alias("score"))
+    return found.groupBy(F.col("pattern_id").alias("pattern")).agg(F.sum("term_id.n").alias("n"), F.min("score").cast("long").alias("score"))
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
