@@ -6,11 +6,14 @@ group is an error, not a cut. Numbers are exact fractions inside and doubles out
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Most rows of a system.
 LARGEST = 256
@@ -72,14 +75,15 @@ def positive_vector(matrix: list[list[Fraction]]) -> list[Fraction] | None:
     return answer
 
 
-def _system(frame: pd.DataFrame, order: str, columns: list[str]) -> list[list[Fraction]]:
-    frame = frame.sort_values(order)
-    if frame[order].duplicated().any():
+def _system(listed: list[dict], columns: list[str]) -> list[list[Fraction]]:
+    """The rows of a system by their order; entries are Python's own numbers, so whole numbers beyond 2^53 and decimals stay exact."""
+    orders = [r["order"] for r in listed]
+    if len(set(orders)) < len(orders):
         raise ValueError("rows of a system need an order without ties")
-    if frame[columns].isna().any(axis=None):
+    if any(r[c] is None or r[c] != r[c] for r in listed for c in columns):
         raise ValueError("a system has no NULL entries")
-    # as Python's own numbers, so that whole numbers beyond 2^53 and decimals stay exact
-    return [[Fraction(x) for x in row] for row in frame[columns].astype(object).values.tolist()]
+    listed = [*sorted((r for r in listed if r["order"] is not None), key=lambda r: r["order"]), *(r for r in listed if r["order"] is None)]
+    return [[Fraction(r[c]) for c in columns] for r in listed]
 
 
 def _bounded(df: DataFrame, key: str) -> None:
@@ -88,19 +92,41 @@ def _bounded(df: DataFrame, key: str) -> None:
         raise ValueError(f"a system of {most} rows; the most is {LARGEST}")
 
 
+def _solved(df: DataFrame, key: str, order: str, columns: list[str], solve: Callable[[list[list[Fraction]]], list[tuple]], schema: str) -> DataFrame:
+    """(key, ...): solve's rows for each group's system. A system is one row with its rows as a list, and many of them go to Python at a time."""
+    _bounded(df, key)
+    names = [f"c{i}" for i in range(len(columns))]
+    row = F.struct(F.col(order).alias("order"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    systems = df.groupBy(F.col(key).alias("key")).agg(F.collect_list(row).alias("rows"))
+    fields = [f.name for f in StructType.fromDDL(schema).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            made: list[dict] = []
+            for i, rows in enumerate(batch.column(1).to_pylist()):
+                for out in solve(_system(rows, names)):
+                    at.append(i)
+                    made.append(dict(zip(fields, out, strict=True)))
+            table = pa.Table.from_pylist(made, kinds) if made else kinds.empty_table()
+            for part in table.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *part.columns], names=[key, *fields])
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return systems.mapInArrow(run, StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(schema).fields]))
+
+
 def eliminated(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """(key, row, values) of each group's reduced row echelon form, rows without a pivot left out; a NULL key is a group.
 
     The rows of a group are its equations by `order`, `columns` their coefficients and right sides.
     """
-    _bounded(df, key)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, pivots = reduced(_system(frame, order, columns))
-        return pd.DataFrame({key: [frame[key].iloc[0]] * len(pivots), "row": range(len(pivots)), "values": [[float(x) for x in r] for r in rows[: len(pivots)]]})
+    def solve(system: list[list[Fraction]]) -> list[tuple]:
+        rows, pivots = reduced(system)
+        return [(i, [float(x) for x in r]) for i, r in enumerate(rows[: len(pivots)])]
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, order, *columns).groupBy(key).applyInPandas(run, f"{key} {kind}, row int, values array<double>")
+    return _solved(df, key, order, columns, solve, "row int, values array<double>")
 
 
 def positive_combinations(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -108,12 +134,9 @@ def positive_combinations(df: DataFrame, key: str, order: str, columns: list[str
 
     The rows of a group are its vectors by `order`, `columns` their entries.
     """
-    _bounded(df, key)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        vectors = _system(frame, order, columns)
+    def solve(vectors: list[list[Fraction]]) -> list[tuple]:
         found = positive_vector([list(r) for r in zip(*vectors, strict=True)])
-        return pd.DataFrame({key: [frame[key].iloc[0]], "weights": [None if found is None else [float(x) for x in found]]})
+        return [(None if found is None else [float(x) for x in found],)]
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, order, *columns).groupBy(key).applyInPandas(run, f"{key} {kind}, weights array<double>")
+    return _solved(df, key, order, columns, solve, "weights array<double>")

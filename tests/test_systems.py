@@ -100,3 +100,14 @@ def test_intersections(spark):
     sets = spark.createDataFrame([([1, 2, 3],), ([2, 3, 4],), ([1, 3, 4],), ([1, 2, 3],)], "members array<int>")
     found = sorted(r["members"] for r in G.intersections(sets).collect())
     assert found == [[1, 2, 3], [1, 3], [1, 3, 4], [2, 3], [2, 3, 4], [3], [3, 4]]
+
+
+def test_many_systems_go_to_python_at_a_time(spark):
+    """Systems travel as rows of batches, not group by group; a NULL key is a group, and a group may have no pivot."""
+    rows = [(k, i, a, b) for k, m in ((1, [(2, 4), (1, 3)]), (2, [(0, 0), (0, 0)]), (None, [(0, 5), (3, 1)])) for i, (a, b) in enumerate(m)]
+    df = linear.eliminated(spark.createDataFrame(rows, "k int, i int, a long, b long"), "k", "i", ["a", "b"])
+    assert "InPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, ((r["k"], r["row"], r["values"]) for r in df.collect()))) == sorted(map(str, ((k, i, v) for k in (1, None) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0]]))))
+    for bad in ([(1, 0, 1, 1), (1, 0, 2, 2)], [(1, 0, None, 1)]):
+        with pytest.raises(Exception, match="without ties|no NULL"):
+            linear.eliminated(spark.createDataFrame(bad, "k int, i int, a long, b long"), "k", "i", ["a", "b"]).collect()
