@@ -120,11 +120,19 @@ def not_covered(t):
 
 @query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value FROM events) SELECT a.user_id AS x, b.user_id AS y FROM e a JOIN e b ON a.i = b.i AND a.user_id < b.user_id AND a.i <= 3 AND abs(a.value - b.value) < 4 GROUP BY ALL HAVING count(*) = 3")
 def dynamical_entourage(t):
-    """Pairs that stay close for the first three steps of their orbits: a join by step and by cells as wide as the bound, next cells included."""
-    e = t.events.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 3").select("user_id", "i", "value", F.floor(F.col("value") / 4).alias("cell"))
-    a, b = e.alias("a"), e.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("b")
-    both = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.user_id") < F.col("b.user_id")) & (F.abs(F.col("a.value") - F.col("b.value")) < 4))
-    return both.groupBy(F.col("a.user_id").alias("x"), F.col("b.user_id").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("x", "y")
+    """Pairs that stay close for the first three steps of their orbits: one join by the cells of all three, as wide as the bound, next cells included."""
+    e = t.events.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 3")
+    values = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"v{i}") for i in (1, 2, 3)]
+    orbits = e.groupBy("user_id").agg(*values).where("user_id IS NOT NULL AND v1 IS NOT NULL AND v2 IS NOT NULL AND v3 IS NOT NULL")
+    a = b = orbits.select("*", *[F.floor(F.col(f"v{i}") / 4).alias(f"c{i}") for i in (1, 2, 3)])
+    for i in (1, 2, 3):
+        c = F.col(f"c{i}")
+        b = b.withColumn(f"c{i}", F.explode(F.array(c - 1, c, c + 1)))
+    a, b = a.alias("a"), b.alias("b")
+    met = F.col("a.user_id") < F.col("b.user_id")
+    for i in (1, 2, 3):
+        met &= (F.col(f"a.c{i}") == F.col(f"b.c{i}")) & (F.abs(F.col(f"a.v{i}") - F.col(f"b.v{i}")) < 4)
+    return a.join(b, met).select(F.col("a.user_id").alias("x"), F.col("b.user_id").alias("y"))
 
 
 @query("SELECT bool_and(b.r_regionkey IS NOT NULL) AS preserved FROM nation a LEFT JOIN region b ON a.n_regionkey = b.r_regionkey")

@@ -52,6 +52,12 @@ def test_every_query_has_an_origin():
     assert set(registry.ORIGIN.values()) == {"algebra", "driver"}
 
 
+def test_entourage_shuffles_no_pairs(spark, folder):
+    """Pairs come from one join by all three cells and go nowhere after it."""
+    plan = registry.QUERIES["dynamical_entourage"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan.split("Join")[0]
+
+
 def test_markdown_table(spark, folder):
     rows = spark.createDataFrame([("a|b", "big", 1), ("c", "little", 22)], "name string, size string, n int")
     table = files.table_text(rows, {"name": "left", "size": "center", "n": "right"}).orderBy("ord", "line")
