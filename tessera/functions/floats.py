@@ -169,3 +169,16 @@ def to_double(x: Column) -> Column:
         return F.when(n["m"] == INFINITE, s["sign"] * float("inf")).otherwise(s["sign"] * n["m"].cast("double") * F.pow(F.lit(2.0), n["e"].cast("double")))
 
     return _let(lambda s: F.when(s["x"].isNotNull(), _let(value, x=s["x"], sign=F.when(s["x"]["neg"], F.lit(-1.0)).otherwise(1.0))), x=x)
+
+
+def total(values: Column, f: Format) -> Column:
+    """A list of doubles added one after another from the left, each sum rounded to the format, as a double; NULL where a part is no number.
+
+    The 24 digits of `SINGLE` are those of Spark's FLOAT, whose sums the machine rounds to the nearest, ties to even; other
+    formats are added on whole numbers.
+    """
+    if f == SINGLE:
+        out = F.aggregate(values, F.lit(0.0).cast("float"), lambda a, x: a + x.cast("float")).cast("double")
+        return F.when(~F.isnan(out), out)
+    start = number(F.lit(False), F.lit(0), F.lit(f.emin))
+    return to_double(F.aggregate(F.transform(values, lambda x: from_double(x, f)), start, lambda a, x: add(a, x, f)))

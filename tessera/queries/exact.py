@@ -88,8 +88,5 @@ def single_precision_sums(t):
 @query("SELECT l_orderkey, (list_reduce(list(l_extendedprice::FLOAT ORDER BY l_extendedprice), lambda a, x: a + x)::DOUBLE * 16384)::BIGINT AS x FROM lineitem GROUP BY l_orderkey")
 def single_precision_folds(t):
     """Each order's prices added one after another in 24 binary digits, each sum rounded."""
-    start = X.number(F.lit(False), F.lit(0), F.lit(X.SINGLE.emin))
     lists = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("l"))
-    numbers = lists.select("l_orderkey", F.transform("l", lambda x: X.from_double(x, X.SINGLE)).alias("l"))
-    total = F.aggregate("l", start, lambda a, x: X.add(a, x, X.SINGLE))
-    return numbers.select("l_orderkey", (X.to_double(total) * 16384).cast("long").alias("x"))
+    return lists.select("l_orderkey", (X.total(F.col("l"), X.SINGLE) * 16384).cast("long").alias("x"))
