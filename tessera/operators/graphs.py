@@ -104,58 +104,62 @@ def shortest_paths(edges: DataFrame, root: int) -> DataFrame:
     return paths.all()
 
 
+#: Roots of one word of bits.
+WORD = 63
+
+
 def witness_paths(edges: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(src, dst, steps, path): for each pair (src, dst) with a path, a shortest one; for src = dst the path without an edge.
 
-    Breadth first from both ends at once, all pairs together. A side's round adds (pair, vertex, neighbour it came
-    from); the side whose frontier is smaller goes next. A pair leaves both frontiers in the round in which its
-    sides meet, and one whose frontier on a side is empty has no path. The path is read off the
-    neighbours from the meeting place outwards, a join per step.
+    Breadth first for all pairs together, from the ends of which there are fewer different ones, the roots. A round
+    has a row (v, word, bits) for each vertex that roots reach for the first time, 63 roots in a word of bits, so pairs that
+    share a root share its search. A root whose pairs are all found goes no further. Paths are read off backwards, one
+    round after another for all pairs: before each vertex stands the smallest one that its root reached in the round before.
     """
+    from .relations import ordinal
+
     spark, kind = edges.sparkSession, edges.schema["src"].dataType
     hop = write_once(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     ends = write_once(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    sides = {}
-    for side, start, ahead, behind in (("out", "src", "src", "dst"), ("back", "dst", "dst", "src")):
-        first = ends.select("src", "dst", F.col(start).alias("v"), F.lit(None).cast(kind).alias("near"), F.lit(0).alias("steps"))
-        seen = Rounds(spark, first.schema, f"witness-{side}")
-        sides[side] = {"seen": seen, "last": seen.add(first), "step": hop.select(F.col(ahead).alias("v"), F.col(behind).alias("w")), "depth": 0}
-    met = Rounds(spark, ends.withColumn("v", F.lit(None).cast(kind)).schema, "met")
-
-    def meet(side: str, other: str) -> None:
-        # among the places where the sides meet, the nearest to the other end, then the smallest
-        theirs = sides[other]["seen"].all().select("src", "dst", "v", F.col("steps").alias("far"))
-        hit = sides[side]["last"].join(theirs, ["src", "dst", "v"])
-        met.add(hit.groupBy("src", "dst").agg(F.min(F.struct("far", "v"))["v"].alias("v")))
-
-    meet("out", "back")
-    for _ in range(rounds):
-        sizes = {k: s["last"].count() for k, s in sides.items()}
-        if not min(sizes.values()):
+    n_src, n_dst = ends.agg(F.count_distinct("src"), F.count_distinct("dst")).first()
+    start, goal = ("src", "dst") if n_src <= n_dst else ("dst", "src")
+    step = hop.select(F.col(start).alias("v"), F.col(goal).alias("w"))
+    numbered = ordinal(ends.select(F.col(start).alias("root")).distinct(), "root", name="number")
+    roots = numbered.select("root", F.floor(F.col("number") / WORD).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % WORD).cast("int")).alias("bit"))
+    left = write_once(ends.join(roots, F.col(start) == F.col("root")).select("root", "word", "bit", F.col(goal).alias("goal")))
+    first = left.select(F.col("root").alias("v"), "word", F.col("bit").alias("bits")).distinct()
+    reached = Rounds(spark, first.schema, "witness-reached")
+    met = Rounds(spark, left.withColumn("depth", F.lit(0)).schema, "witness-met")
+    new = reached.add(first)
+    for depth in range(rounds):
+        hit = new.select(F.col("v").alias("goal"), "word", "bits")
+        hits = met.add(left.join(hit, ["goal", "word"]).where("bits & bit <> 0").withColumn("depth", F.lit(depth)))
+        left = write_once(left.join(hits.select("root", "goal"), ["root", "goal"], "left_anti").select(*left.columns))
+        open_bits = left.groupBy("word").agg(F.bit_or("bit").alias("open"))
+        front = new.join(F.broadcast(open_bits), "word").select("v", "word", F.expr("bits & open").alias("bits")).where("bits <> 0")
+        told = front.join(step, "v").select(F.col("w").alias("v"), "word", "bits", F.lit(0).cast("long").alias("had"))
+        known = reached.all().select("v", "word", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("had"))
+        both = told.unionAll(known).groupBy("v", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        new = reached.add(both.select("v", "word", F.expr("bits & ~had").alias("bits")).where("bits <> 0"))
+        if not new.limit(1).count():
             break
-        side = min(sizes, key=lambda k: (sizes[k], k))
-        other = "back" if side == "out" else "out"
-        s = sides[side]
-        # pairs that have not met, and whose other side was still going on
-        front = s["last"].join(met.all(), ["src", "dst"], "left_anti").join(sides[other]["last"].select("src", "dst").distinct(), ["src", "dst"], "left_semi")
-        reached = front.select("src", "dst", "v").join(s["step"], "v").groupBy("src", "dst", "w").agg(F.min("v").alias("near"))
-        new = reached.join(s["seen"].all().select("src", "dst", F.col("v").alias("w")), ["src", "dst", "w"], "left_anti")
-        s["depth"] += 1
-        s["last"] = s["seen"].add(new.select("src", "dst", F.col("w").alias("v"), "near", F.lit(s["depth"]).alias("steps")))
-        meet(side, other)
     else:
         raise ValueError("too many steps")
-    path = met.all().select("src", "dst", F.col("v").alias("first"), F.col("v").alias("last"), F.array("v").alias("path"))
-    for side, end in (("out", "first"), ("back", "last")):
-        trail = sides[side]["seen"].all().select("src", "dst", F.col("v").alias(end), "near")
-        done, left = Rounds(spark, path.schema, "walked"), write_once(path)
-        for _ in range(sides[side]["depth"] + 1):
-            step = write_once(left.join(trail, ["src", "dst", end]))
-            done.add(step.where("near IS NULL").select(*path.columns))
-            grown = F.concat(F.array("near"), "path") if side == "out" else F.concat("path", F.array("near"))
-            left = step.where("near IS NOT NULL").withColumn("path", grown).withColumn(end, F.col("near")).select(*path.columns)
-        path = done.all()
-    return path.select("src", "dst", (F.size("path") - 1).alias("steps"), "path")
+    # from the deepest round to the roots; a step is (root, goal, depth, at)
+    at = met.all().withColumn("at", F.col("goal"))
+    steps = Rounds(spark, at.schema, "witness-steps")
+    here = None
+    for d in range(depth, -1, -1):
+        mine = at.where(F.col("depth") == d)
+        here = steps.add(mine if here is None else mine.unionByName(here))
+        if d:
+            before = spark.read.schema(first.schema).parquet(f"{reached.path}/round={d - 1}").alias("b")
+            back = here.join(step, F.col("at") == F.col("w")).select(*here.columns, "v").join(before.select("v", F.col("word").alias("its"), "bits"), "v").where("word = its AND bits & bit <> 0")
+            here = back.groupBy("root", "word", "bit", "goal").agg(F.min("v").alias("at")).withColumn("depth", F.lit(d - 1))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "at"))), lambda x: x["at"])
+    found = steps.all().groupBy("root", "goal").agg(path.alias("path"))
+    whole = found.select(F.col("root").alias(start), F.col("goal").alias(goal), (F.col("path") if start == "src" else F.reverse("path")).cast(f"array<{kind.simpleString()}>").alias("path"))
+    return whole.select("src", "dst", (F.size("path") - 1).alias("steps"), "path")
 
 
 def weighted_distances(edges: DataFrame, root: int) -> DataFrame:

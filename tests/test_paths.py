@@ -56,6 +56,26 @@ def test_witness_paths(spark, seed):
     assert not found
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_pairs_of_one_end_share_its_search(spark, monkeypatch, turned):
+    """The rows of a search are at most as many as its vertices, however many pairs there are."""
+    kept = []
+
+    class Counted(G.Rounds):
+        def __init__(self, spark, schema, name="rounds"):
+            super().__init__(spark, schema, name)
+            kept.append((name, self))
+
+    monkeypatch.setattr(G, "Rounds", Counted)
+    edges = [(a, b) if not turned else (b, a) for a, b in graph(9, 40, 70)]
+    adjacent, vertices = adjacency(edges), sorted({v for e in edges for v in e})
+    asked = [(2000, v) if not turned else (v, 2000) for v in vertices]
+    found = G.witness_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(asked, "src long, dst long")).collect()
+    assert {(r["src"], r["dst"]): r["steps"] for r in found} == {p: n for p in asked if (n := search(adjacent, p[0]).get(p[1])) is not None}
+    assert len(found) > 12
+    assert sum(r.all().count() for name, r in kept if name == "witness-reached") <= len(vertices)
+
+
 def test_shortest_paths_and_distances(spark):
     edges = graph(3, 50, 90)
     adjacent = adjacency(edges)
