@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import maths as M
 from ..functions import strings as S
+from ..operators import numbers
 from ..operators.relations import ordinal
 from ..registry import query
 
@@ -97,7 +98,9 @@ def valuations(t):
 
 @query(f"WITH {_NUMBERS}, p AS (SELECT i FROM range(2, (SELECT max(p_partkey) + 1 FROM part)) r(i) WHERE len([j FOR j IN range(2, i) IF i % j = 0]) = 0) SELECT n, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS primes, coalesce(max(i), n) AS largest FROM n LEFT JOIN p ON n % i = 0 AND n > 0 GROUP BY n")
 def primes_of(t):
-    return _n(t).select("n", F.array_join(F.transform(M.prime_factors(F.col("n")), lambda p: p.cast("string")), ",").alias("primes"), M.largest_prime(F.col("n")).alias("largest"))
+    """The primes of each number by a sieve of blocks, so that work grows with the numbers and not with their roots."""
+    found = numbers.factored(_n(t), "n")
+    return found.select("n", F.array_join(F.transform("primes", lambda p: p.cast("string")), ",").alias("primes"), F.coalesce(F.try_element_at("primes", F.lit(-1)), "n").alias("largest"))
 
 
 @query("SELECT n_nationkey, (SELECT min(x) FROM range(105) r(x) WHERE x % 3 = n_nationkey % 3 AND x % 5 = n_regionkey % 5 AND x % 7 = n_nationkey % 4) AS x FROM nation")
