@@ -50,15 +50,14 @@ def n_choices(lists: Column) -> Column:
     return F.aggregate(lists, _long(1), lambda acc, x: acc * F.size(x))
 
 
-def choice(lists: Column, rank: Column) -> Column:
-    """The choice of a rank by mixed-radix digits, the last list's the fastest."""
+def radices(lists: Column) -> Column:
+    """For each list, how many choices the lists after it have."""
+    return F.reverse(F.slice(F.aggregate(F.reverse(lists), F.array(_long(1)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) * F.size(x))), F.lit(1), F.size(lists)))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.size(x).cast("long")
-        return F.struct(F.concat(F.array(F.get(x, (acc["rank"] % n).cast("int"))), acc["done"]).alias("done"), F.call_function("div", acc["rank"], n).alias("rank"))
 
-    none = F.slice(F.flatten(lists), F.lit(1), F.lit(0))
-    return F.aggregate(F.reverse(lists), F.struct(none.alias("done"), rank.cast("long").alias("rank")), step)["done"]
+def choice(lists: Column, rank: Column, weights: Column | None = None) -> Column:
+    """The choice of a rank by mixed-radix digits, the last list's the fastest; weights: the lists' radices, if they are known."""
+    return F.zip_with(lists, radices(lists) if weights is None else weights, lambda x, w: F.get(x, (F.call_function("div", rank.cast("long"), w) % F.size(x)).cast("int")))
 
 
 def n_subsets(items: Column, k: int) -> Column:
@@ -76,22 +75,45 @@ def binomial(n: Column, k: int) -> Column:
     return F.when(n >= k, out.cast("long")).otherwise(_long(0))
 
 
-def subset(items: Column, k: int, rank: Column) -> Column:
-    """The k-subset of a rank, in the combinatorial number system: places are passed while all subsets from them are before the rank."""
+#: Numbers of subsets beyond this are kept as this; no rank reaches it.
+MOST = (1 << 63) - 1
+
+
+def subset_tables(items: Column, k: int) -> Column:
+    """For j from k down to 2, the binomials of 0 to the list's length over j: each table is the one of j - 1 added up."""
     n = F.size(items)
 
-    def step(acc: Column, i: Column) -> Column:
-        # how many subsets have the item at place i as their next
-        left = F.lit(k) - F.size(acc["done"])
-        here = F.get(F.array(_long(0), *[binomial(n - i - 1, j - 1) for j in range(1, k + 1)]), left)
-        take = (left > 0) & (acc["rank"] < here)
-        return F.struct(
-            F.when(take, F.concat(acc["done"], F.slice(items, i + 1, F.lit(1)))).otherwise(acc["done"]).alias("done"),
-            F.when(take | (left <= 0), acc["rank"]).otherwise(acc["rank"] - here).alias("rank"),
-        )
+    def added_up(table: Column) -> Column:
+        step = lambda acc, x: F.array_append(acc, F.when(F.element_at(acc, -1) > MOST - x, _long(MOST)).otherwise(F.element_at(acc, -1) + x))
+        return F.aggregate(F.slice(table, F.lit(1), n), F.array(_long(0)), step)
+
+    ones = F.array(F.sequence(_long(0), n.cast("long")))
+    if k < 2:
+        return F.slice(ones, F.lit(1), F.lit(0))
+    tables = F.aggregate(F.sequence(F.lit(2), F.lit(k)), ones, lambda acc, _: F.array_append(acc, added_up(F.element_at(acc, -1))))
+    return F.reverse(F.slice(tables, F.lit(2), F.lit(k - 1)))
 
-    start = F.struct(F.slice(items, F.lit(1), F.lit(0)).alias("done"), rank.cast("long").alias("rank"))
-    return F.when(n == 0, items).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), start, step)["done"])
+
+def subset(items: Column, k: int, rank: Column, tables: Column | None = None) -> Column:
+    """The k-subset of a rank, in the combinatorial number system: counted from the last subset, each digit is the largest binomial that is left.
+
+    tables: the list's subset_tables, if they are known.
+    """
+    none = F.slice(items, F.lit(1), F.lit(0))
+    if k == 0:
+        return none
+    n = F.size(items)
+    item = lambda c: F.slice(items, n - c.cast("int"), F.lit(1))
+    if k == 1:
+        return F.slice(items, rank.cast("int") + 1, F.lit(1))
+    tables = subset_tables(items, k) if tables is None else tables
+
+    def step(acc: Column, table: Column) -> Column:
+        below = F.array(F.filter(table, lambda x: x <= acc["rank"]))
+        return F.get(F.transform(below, lambda b: F.struct(F.concat(acc["done"], item(F.size(b) - 1)).alias("done"), (acc["rank"] - F.element_at(b, -1)).alias("rank"))), F.lit(0))
+
+    start = F.struct(none.alias("done"), (F.element_at(F.get(tables, F.lit(0)), -1) - 1 - rank.cast("long")).alias("rank"))
+    return F.when(n < k, none).otherwise(F.aggregate(tables, start, step, lambda acc: F.concat(acc["done"], item(acc["rank"]))))
 
 
 def enumerated(df: DataFrame, count: Column, make: Callable[[Column], Column], name: str = "made", size: int = RANGE) -> DataFrame:
@@ -100,5 +122,18 @@ def enumerated(df: DataFrame, count: Column, make: Callable[[Column], Column], n
     ranges = df.withColumn("__n", count.cast("long")).where(n > 0).withColumn("__first", F.explode(F.sequence(_long(0), n - 1, _long(size))))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ranges.repartition(parts, F.xxhash64(*df.columns, "__first")) if df.columns else ranges
-    listed = dealt.withColumn("rank", F.explode(F.sequence(first, F.least(first + size, n) - 1)))
-    return listed.withColumn(name, make(F.col("rank"))).drop("__n", "__first")
+    # a range's results are made from one copy of its row; no range is empty, and for inline alone Spark would put a filter before it that makes them again
+    made = F.transform(F.sequence(first, F.least(first + size, n) - 1), lambda rank: F.struct(rank.alias("rank"), make(rank).alias(name)))
+    return dealt.select(*df.columns, F.inline_outer(made))
+
+
+def subsets(df: DataFrame, items: str, k: int, name: str = "made", size: int = RANGE) -> DataFrame:
+    """df's rows with (rank, name) for each k-subset of their list; a list's binomials are made once, not for each rank."""
+    held = df.withColumn("__tables", subset_tables(F.col(items), k))
+    return enumerated(held, n_subsets(F.col(items), k), lambda rank: subset(F.col(items), k, rank, F.col("__tables")), name, size).drop("__tables")
+
+
+def choices(df: DataFrame, lists: str, name: str = "made", size: int = RANGE) -> DataFrame:
+    """df's rows with (rank, name) for each choice of one item from each of their lists; the radices are made once for a row."""
+    held = df.withColumn("__radices", radices(F.col(lists)))
+    return enumerated(held, n_choices(F.col(lists)), lambda rank: choice(F.col(lists), rank, F.col("__radices")), name, size).drop("__radices")

@@ -26,7 +26,7 @@ def permutations_by_rank(t):
 def subsets_by_rank(t):
     """The sets of three parts within each order, from ranks; the size is a parameter."""
     lists = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("l"))
-    made = R.enumerated(lists, R.n_subsets(F.col("l"), 3), lambda rank: R.subset(F.col("l"), 3, rank))
+    made = R.subsets(lists, "l", 3)
     return made.select("l_orderkey", *[F.get("made", F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 
@@ -35,7 +35,7 @@ def choices_by_rank(t):
     """One flag, one status and one supplier of each order, in every way and in the product's order, from ranks."""
     of = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))
     lists = t.lineitem.groupBy("l_orderkey").agg(F.array(of("l_returnflag"), of("l_linestatus"), of("l_suppkey")).alias("l"))
-    made = R.enumerated(lists, R.n_choices(F.col("l")), lambda rank: R.choice(F.col("l"), rank))
+    made = R.choices(lists, "l")
     return made.select("l_orderkey", "rank", *[F.get("made", F.lit(i)).alias(c) for i, c in enumerate("abc")])
 
 

@@ -61,7 +61,7 @@ def upload_destinations(t):
 def triplewise(t):
     """Whether all rising triples of a region's nations widen, and how many don't: triples by rank."""
     lists = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("l"))
-    made = R.enumerated(lists, R.n_subsets(F.col("l"), 3), lambda rank: R.subset(F.col("l"), 3, rank))
+    made = R.subsets(lists, "l", 3)
     x, y, z = (F.get("made", F.lit(i)) for i in range(3))
     fits = (z - y) >= (y - x)
     return made.groupBy("n_regionkey").agg(F.bool_and(fits).alias("triplewise"), F.count_if(~fits).alias("against"))

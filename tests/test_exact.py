@@ -43,6 +43,27 @@ def test_single_ranks_of_long_lists(spark):
         df.select(R.n_permutations(F.col("l"))).collect()
 
 
+def test_subsets_of_lists_from_tables(spark):
+    """Binomials of fewer members may leave 64 bits where the asked ones do not."""
+    l = [f"{i:02d}" for i in range(70)]
+    df = lists(spark, [l[:9], [], ["a"], l[:5]])
+    for k in (0, 1, 2, 3, 5):
+        found = R.subsets(df, "l", k, size=7).collect()
+        for i, items in enumerate([l[:9], [], ["a"], l[:5]]):
+            mine = [tuple(r["made"]) for r in sorted((r for r in found if r["id"] == i), key=lambda r: r["rank"])]
+            assert mine == list(itertools.combinations(items, k))
+    one = spark.createDataFrame([(l,)], "l array<string>")
+    first, last = one.select(R.subset(F.col("l"), 65, F.lit(0)), R.subset(F.col("l"), 65, F.lit(math.comb(70, 65) - 1))).first()
+    assert first == l[:65] and last == l[5:]
+
+
+def test_choices_from_radices(spark):
+    rows = [(0, [["a", "b"], ["x"], ["1", "2", "3"]]), (1, [["a"], []]), (2, [])]
+    found = R.choices(spark.createDataFrame(rows, "id long, l array<array<string>>"), "l", size=4).collect()
+    for i, l in rows:
+        assert [tuple(r["made"]) for r in sorted((r for r in found if r["id"] == i), key=lambda r: r["rank"])] == list(itertools.product(*l))
+
+
 def test_choices_by_rank(spark):
     rows = [(0, [["a", "b"], ["x"], ["1", "2", "3"]]), (1, [["a"], []]), (2, [])]
     df = spark.createDataFrame(rows, "id long, l array<array<string>>")
