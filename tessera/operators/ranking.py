@@ -122,9 +122,9 @@ def enumerated(df: DataFrame, count: Column, make: Callable[[Column], Column], n
     ranges = df.withColumn("__n", count.cast("long")).where(n > 0).withColumn("__first", F.explode(F.sequence(_long(0), n - 1, _long(size))))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ranges.repartition(parts, F.xxhash64(*df.columns, "__first")) if df.columns else ranges
-    # a range's results are made from one copy of its row; no range is empty, and for inline alone Spark would put a filter before it that makes them again
+    # a range's results are made from one copy of its row
     made = F.transform(F.sequence(first, F.least(first + size, n) - 1), lambda rank: F.struct(rank.alias("rank"), make(rank).alias(name)))
-    return dealt.select(*df.columns, F.inline_outer(made))
+    return dealt.select(*df.columns, F.inline(made))
 
 
 def subsets(df: DataFrame, items: str, k: int, name: str = "made", size: int = RANGE) -> DataFrame:
