@@ -64,6 +64,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sorted_joins(df: DataFrame) -> DataFrame:
+    """A written table that Spark never sends to every executor by itself.
+
+    Spark takes a file's bytes for the size of the rows in it. Compressed tables of ids are a tenth of what they
+    are in memory, several times over while the driver builds the relation, so a table that grows is joined by a shuffle
+    unless join_small() has counted its rows.
+    """
+    out = df.hint("merge")
+    if hasattr(df, "_written_to"):
+        out._written_to = df._written_to
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing will read again."""
     drop_path(df.sparkSession, df._written_to)
@@ -92,19 +105,19 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "cc") -> DataF
     Alternates large-star and small-star steps, each one shuffle of the edges; stars shrink the
     diameter, so the number of rounds grows with its logarithm. Every round is written to the shared folder.
     """
-    cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name)
+    cur = sorted_joins(materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name))
     old = None
     while True:
         # large star: each larger neighbour links to the smallest id seen from here, itself included
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(sorted_joins(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: the smaller neighbours, and the id itself, link to the smallest
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        small = large.join(sorted_joins(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = sorted_joins(materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), name))
         mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == old:
-            return nxt.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionAll(nxt.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            return sorted_joins(nxt.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionAll(nxt.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
         cur, old = nxt, mark

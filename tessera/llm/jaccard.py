@@ -44,7 +44,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relations import ordinal
-from .common import components, free_name, join_small, materialize, release
+from .common import components, free_name, join_small, release, sorted_joins
+from .common import materialize as written
 
 WORDS_PER_SHINGLE = 5
 #: Least similarity, in per cent; the bounds below hold for it.
@@ -65,6 +66,11 @@ BLOCK, RUN_BYTES, HUB = 4000, 4 << 20, 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Tables here have a row for each class, signature or pair: only join_small() sends one to every executor."""
+    return sorted_joins(written(df, name))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64 bits: products with odd constants and shifted differences."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -436,7 +442,7 @@ def shared_signatures(texts: DataFrame, rows: DataFrame, classes: DataFrame) ->
     # from here on a class stands for its copies
     some = some.join(classes.select(F.col("doc_id").alias("id"), "rep"), "id").groupBy("sig", F.col("rep").alias("id")).agg(F.max("own").alias("own"))
     often = some.groupBy("sig").agg(F.count(F.lit(1)).alias("often"), F.min("id").alias("head")).where("often > 1")
-    return materialize(some.join(often, "sig"), "buckets")
+    return materialize(some.join(sorted_joins(often), "sig"), "buckets")
 
 
 #: Ids beyond this are too near the ends of 64 bits for new ones after them.
@@ -525,10 +531,10 @@ def with_own_ids(docs: DataFrame, clash: DataFrame) -> DataFrame:
         return renumbered(docs, clash)
     place = F.monotonically_increasing_id()
     rows = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
-    own = rows.join(clash, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    own = join_small(rows.select("doc_id", "digest"), clash, "doc_id", "left_semi").distinct()
     # the ids need no order, only to be new; what is written keeps them the same for all that reads them
     own = materialize(own.withColumn("own", F.lit(top) + 1 + place if top <= ROOM else F.lit(low) - 1 - place), "own-ids")
-    split = rows.join(own, ["doc_id", "digest"], "left").select(F.coalesce("own", "doc_id").alias("doc_id"), "text")
+    split = join_small(rows, own, ["doc_id", "digest"]).select(F.coalesce("own", "doc_id").alias("doc_id"), "text")
     found = link_components(split)
     back = own.select("own", "doc_id")
     for column in ("doc_id", "rep", "component"):
