@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,37 +14,50 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..plans.tables import shared_path
 
 
-def stalls(s: DataFrame, key: str, time: str, bound_ms: int, delay: str = "1 second") -> DataFrame:
+def stalls(s: DataFrame, key: str, time: str, bound_ms: int, delay: str = "1 second", buckets: int = 512) -> DataFrame:
     """(key, since_ms, resumed): each wait of a key that is longer than the bound, when it is known.
 
     A wait is reported by the key's next row, or by a timer once event time has passed the bound without one
     (resumed is then false). A key that a timer has reported keeps no state; its next row begins anew. Rows of a
     key arrive in order, as from a replay. The delay is above 0, as Spark takes a row at the watermark itself for late.
+
+    State is kept per bucket of keys, which are plain values: a call of Python per bucket and batch sorts a bucket's rows,
+    whatever the number of keys. More keys or longer batches want more buckets; keys that are NULL have one of their own.
     """
     kind = dict(s.dtypes)[key]
     rows = s.withColumn("__at", F.unix_millis(time)).withWatermark(time, delay)
 
-    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
+    def run(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, null = state.getCurrentWatermarkMs(), bucket[0] < 0
+        parts = [] if state.hasTimedOut else [f[["key", "__at"]] for f in frames]
+        held = 0
+        if state.exists:
+            keys, lasts = state.get
+            held = len(keys)
+            parts.insert(0, pd.DataFrame({"key": keys, "__at": lasts}))
+        both = pd.concat(parts, ignore_index=True)
+        if null:
+            both["key"] = 0
+        code, names = pd.factorize(both["key"], use_na_sentinel=False)
+        at, old = both["__at"].to_numpy("int64"), np.arange(len(both)) < held
+        order = np.lexsort((at, ~old, code))
+        code, at, old = code[order], at[order], old[order]
+        same = code[1:] == code[:-1]
+        wait = np.append(same & (at[1:] - at[:-1] > bound_ms), False)
+        end = np.append(~same, True)
+        due = old & end & (at + bound_ms + 1 < mark)
+        told, kept = wait | due, end & ~due
+        if told.any():
+            yield pd.DataFrame({"key": [None] * int(told.sum()) if null else names.take(code[told]), "since_ms": at[told], "resumed": wait[told]})
+        if kept.any():
+            state.update(([None] if null else names.take(code[kept]).tolist(), at[kept].tolist()))
+            state.setTimeoutTimestamp(max(int(at[kept].min()) + bound_ms + 1, mark + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"key": [keys[0]], "since_ms": [last], "resumed": [False]})
-            return
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            at = frame["__at"].sort_values()
-            before = at.shift(1)
-            if last is not None:
-                before.iloc[0] = last
-            wait = before[(at - before) > bound_ms]
-            last = int(at.iloc[-1])
-            if len(wait):
-                yield pd.DataFrame({"key": keys[0], "since_ms": wait.astype("int64"), "resumed": True})
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + bound_ms + 1, state.getCurrentWatermarkMs() + 1))
-
-    narrow = rows.select(F.col(key).alias("key"), "__at", time)
-    return narrow.groupBy("key").applyInPandasWithState(run, f"key {kind}, since_ms long, resumed boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout).withColumnRenamed("key", key)
+
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    narrow = rows.select(bucket.alias("bucket"), F.col(key).alias("key"), "__at", time)
+    return narrow.groupBy("bucket").applyInPandasWithState(run, f"key {kind}, since_ms long, resumed boolean", f"keys array<{kind}>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout).withColumnRenamed("key", key)
 
 
 class TotalsAndLate:

@@ -47,6 +47,23 @@ def test_reported_keys_keep_no_state(spark):
     assert run.progress[-1].stateOperators[0].numRowsTotal == 1
 
 
+def test_state_is_kept_per_bucket_of_keys(spark):
+    """More keys than buckets, a NULL among them and more rows than an Arrow batch: few rows of state, and the waits of each key."""
+    # three rows of each key, waits of 5000 s and of 100 s; every seventh key has the first two alone
+    keys = [None, *range(10**17, 10**17 + 300)]
+    times = sorted(((k, t + i) for i, k in enumerate(keys) for t in (0, 5000, 5100) if t < 5100 or i % 7), key=lambda x: x[1])
+    table = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(times)], "seq long, k long, s long").select("seq", "k", F.timestamp_seconds(F.col("s") + BASE).alias("ts"))
+    for batch, most in ((len(times), 10_000), (200, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            run = endless.Run(spark, "s").until_read(late.stalls(endless.replayed(table, batch), "k", "ts", 3_600_000, buckets=8))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        got = sorted((r["k"] or 0, r["since_ms"] // 1000 - BASE) for r in run.read().collect())
+        assert got == sorted((k or 0, i) for i, k in enumerate(keys))
+        assert run.progress[-1].stateOperators[0].numRowsTotal <= 9
+
+
 def test_late_rows_are_a_second_output(spark):
     times = [("a", 10), ("a", 3700), ("a", 20), ("b", 90), ("a", 7300), ("b", 3650), ("b", 30), ("b", 7400)]
     done = late.TotalsAndLate(spark, "ts", "value", 3_600_000, 60_000).run(endless.replayed(rows_of(spark, times), 2))
