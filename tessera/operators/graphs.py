@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType
 
 from ..plans.tables import Rounds, write_once
 
@@ -104,62 +105,41 @@ def shortest_paths(edges: DataFrame, root: int) -> DataFrame:
     return paths.all()
 
 
-#: Roots of one word of bits.
-WORD = 63
-
-
 def witness_paths(edges: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(src, dst, steps, path): for each pair (src, dst) with a path, a shortest one; for src = dst the path without an edge.
 
-    Breadth first for all pairs together, from the ends of which there are fewer different ones, the roots. A round
-    has a row (v, word, bits) for each vertex that roots reach for the first time, 63 roots in a word of bits, so pairs that
-    share a root share its search. A root whose pairs are all found goes no further. Paths are read off backwards, one
-    round after another for all pairs: before each vertex stands the smallest one that its root reached in the round before.
+    Breadth first for all pairs together, from the ends of which there are fewer different ones, the roots: pairs that
+    share a root share its search, and a root whose pairs are all found goes no further. Edges are dealt to buckets once;
+    a round moves what is new between the buckets (`searches`). Paths are read off backwards, one round after another for
+    all pairs: before each vertex stands the smallest one that its root reached in the round before.
     """
+    from . import searches
     from .relations import ordinal
 
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    hop = write_once(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    kind = edges.schema["src"].dataType
+    hop = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
     ends = write_once(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    kinds = {c: ends.schema[c].dataType for c in ends.columns}
+    names = None
+    if not all(isinstance(f.dataType, IntegralType) for f in [*hop.schema, *ends.schema]):
+        # other ids go by their numbers in order
+        every = hop.select(F.col("src").alias("id")).unionAll(hop.select("dst")).unionAll(ends.select("src")).unionAll(ends.select("dst"))
+        names = write_once(ordinal(every.distinct(), "id", name="name"))
+        hop, ends = (df.join(names.select(F.col("id").alias("src"), F.col("name").alias("s")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")) for df in (hop, ends))
+    hop, ends = (write_once(df.select(F.col("src").cast("long"), F.col("dst").cast("long"))) for df in (hop, ends))
     n_src, n_dst = ends.agg(F.count_distinct("src"), F.count_distinct("dst")).first()
     start, goal = ("src", "dst") if n_src <= n_dst else ("dst", "src")
-    step = hop.select(F.col(start).alias("v"), F.col(goal).alias("w"))
     numbered = ordinal(ends.select(F.col(start).alias("root")).distinct(), "root", name="number")
-    roots = numbered.select("root", F.floor(F.col("number") / WORD).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % WORD).cast("int")).alias("bit"))
-    left = write_once(ends.join(roots, F.col(start) == F.col("root")).select("root", "word", "bit", F.col(goal).alias("goal")))
-    first = left.select(F.col("root").alias("v"), "word", F.col("bit").alias("bits")).distinct()
-    reached = Rounds(spark, first.schema, "witness-reached")
-    met = Rounds(spark, left.withColumn("depth", F.lit(0)).schema, "witness-met")
-    new = reached.add(first)
-    for depth in range(rounds):
-        hit = new.select(F.col("v").alias("goal"), "word", "bits")
-        hits = met.add(left.join(hit, ["goal", "word"]).where("bits & bit <> 0").withColumn("depth", F.lit(depth)))
-        left = write_once(left.join(hits.select("root", "goal"), ["root", "goal"], "left_anti").select(*left.columns))
-        open_bits = left.groupBy("word").agg(F.bit_or("bit").alias("open"))
-        front = new.join(F.broadcast(open_bits), "word").select("v", "word", F.expr("bits & open").alias("bits")).where("bits <> 0")
-        told = front.join(step, "v").select(F.col("w").alias("v"), "word", "bits", F.lit(0).cast("long").alias("had"))
-        known = reached.all().select("v", "word", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("had"))
-        both = told.unionAll(known).groupBy("v", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
-        new = reached.add(both.select("v", "word", F.expr("bits & ~had").alias("bits")).where("bits <> 0"))
-        if not new.limit(1).count():
-            break
-    else:
-        raise ValueError("too many steps")
-    # from the deepest round to the roots; a step is (root, goal, depth, at)
-    at = met.all().withColumn("at", F.col("goal"))
-    steps = Rounds(spark, at.schema, "witness-steps")
-    here = None
-    for d in range(depth, -1, -1):
-        mine = at.where(F.col("depth") == d)
-        here = steps.add(mine if here is None else mine.unionByName(here))
-        if d:
-            before = spark.read.schema(first.schema).parquet(f"{reached.path}/round={d - 1}").alias("b")
-            back = here.join(step, F.col("at") == F.col("w")).select(*here.columns, "v").join(before.select("v", F.col("word").alias("its"), "bits"), "v").where("word = its AND bits & bit <> 0")
-            here = back.groupBy("root", "word", "bit", "goal").agg(F.min("v").alias("at")).withColumn("depth", F.lit(d - 1))
-    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "at"))), lambda x: x["at"])
-    found = steps.all().groupBy("root", "goal").agg(path.alias("path"))
-    whole = found.select(F.col("root").alias(start), F.col("goal").alias(goal), (F.col("path") if start == "src" else F.reverse("path")).cast(f"array<{kind.simpleString()}>").alias("path"))
-    return whole.select("src", "dst", (F.size("path") - 1).alias("steps"), "path")
+    wants = write_once(ends.select(F.col(start).alias("root"), F.col(goal).alias("goal")).join(numbered, "root").select("goal", "root", "number"))
+    whole = searches.paths(hop.select(F.col(start).alias("v"), F.col(goal).alias("w")), wants, rounds)
+    if start == "dst":
+        whole = whole.select(F.reverse("path").alias("path"))
+    if names is not None:
+        own = write_once(whole.withColumn("pair", F.struct(F.get("path", F.lit(0)).alias("a"), F.element_at("path", -1).alias("z"))))
+        named = own.select("pair", F.posexplode("path").alias("i", "name")).join(names, "name").groupBy("pair")
+        whole = named.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("path"))
+    first, last = F.get("path", F.lit(0)).cast(kinds["src"]), F.element_at("path", -1).cast(kinds["dst"])
+    return whole.select(first.alias("src"), last.alias("dst"), (F.size("path") - 1).alias("steps"), F.col("path").cast(ArrayType(kind)).alias("path"))
 
 
 def weighted_distances(edges: DataFrame, root: int) -> DataFrame:

@@ -76,6 +76,39 @@ def test_pairs_of_one_end_share_its_search(spark, monkeypatch, turned):
     assert sum(r.all().count() for name, r in kept if name == "witness-reached") <= len(vertices)
 
 
+def test_a_round_moves_what_is_new_and_not_the_edges(spark, monkeypatch):
+    """Over all rounds, a search records a vertex once, sends over an edge once, and never shuffles the edges again."""
+    from tessera.operators import searches
+
+    told, whole = [], searches._Moving.add
+
+    def add(self, df):
+        out = whole(self, df)
+        told.append((self.path, [(len(r["at"]) // 8, r["sent"]) for r in out.where("NOT moving AND at IS NOT NULL").select("at", "sent").collect()] if "sent" in self.schema.names else []))
+        return out
+
+    monkeypatch.setattr(searches._Moving, "add", add)
+    edges = graph(9, 40, 70)
+    adjacent, vertices = adjacency(edges), sorted({v for e in edges for v in e})
+    found = G.witness_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(2000, v) for v in vertices], "src long, dst long")).collect()
+    wanted = search(adjacent, 2000)
+    assert {r["dst"]: r["steps"] for r in found} == wanted
+    rows = [r for _, round_ in told for r in round_]
+    assert sum(n for n, _ in rows) == len(wanted) and sum(n for _, n in rows) <= len(edges)
+
+
+def test_more_roots_than_a_word_hubs_and_names(spark, monkeypatch):
+    from tessera.operators import searches
+
+    monkeypatch.setattr(searches, "SLICE", 1)
+    # 70 roots reach a hub by two ways each, and the hub leads to 80 goals
+    edges = [(f"r{i:02}", f"m{i % 3}") for i in range(70)] + [(f"r{i:02}", "m3") for i in range(70)] + [(f"m{i}", "hub") for i in range(4)] + [("hub", f"z{i:02}") for i in range(80)]
+    asked = [(f"r{i:02}", f"z{j:02}") for i in range(70) for j in range(80) if (i + j) % 7 == 0]
+    found = G.witness_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(asked, "src string, dst string")).collect()
+    assert {(r["src"], r["dst"]): r["path"] for r in found} == {(a, z): [a, f"m{int(a[1:]) % 3}", "hub", z] for a, z in asked}
+    assert {r["steps"] for r in found} == {3}
+
+
 def test_shortest_paths_and_distances(spark):
     edges = graph(3, 50, 90)
     adjacent = adjacency(edges)
